@@ -89,5 +89,7 @@ def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

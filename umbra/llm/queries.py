@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import exact_dedup, hilbert, piece_codec
+from umbra.llm import exact_dedup, hilbert, piece_codec, simhash
 from umbra.llm.common import read_documents
 
 
@@ -16,6 +16,10 @@ def op3_sentencepiece(spark, sf_dir):
     return piece_codec.encode_documents(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash.simhash_groups(read_documents(spark, sf_dir), width=3, differ=3)
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), keep="largest")
 
@@ -30,7 +34,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
