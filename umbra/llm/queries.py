@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import exact_dedup, hilbert, piece_codec, simhash
+from umbra.llm import exact_dedup, hilbert, piece_codec, resampling, simhash
 from umbra.llm.common import read_documents
 
 
@@ -24,6 +24,10 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), keep="largest")
 
 
+def op10_quality(spark, sf_dir):
+    return resampling.importance_resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 OP9_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (
@@ -34,7 +38,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
