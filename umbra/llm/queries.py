@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import exact_dedup, hilbert, pii, piece_codec, resampling, simhash
+from umbra.llm import exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash
 from umbra.llm.common import read_documents
 
 
@@ -24,6 +24,10 @@ def op7_pii(spark, sf_dir):
     return pii.find_personal_data(read_documents(spark, sf_dir))
 
 
+def op8_decontamination(spark, sf_dir):
+    return latent.contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), keep="largest")
 
@@ -42,7 +46,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op7_pii, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
