@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash
+from umbra.llm import anchors, exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash
 from umbra.llm.common import read_documents
 
 
@@ -20,6 +20,10 @@ def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(read_documents(spark, sf_dir), width=3, differ=3)
 
 
+def op6_anchored_repeats(spark, sf_dir):
+    return anchors.remove_repeats(read_documents(spark, sf_dir), window=35, with_text=False)
+
+
 def op7_pii(spark, sf_dir):
     return pii.find_personal_data(read_documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op6_anchored_repeats, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
