@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import anchors, exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash
+from umbra.llm import anchors, exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash, suffix_arrays
 from umbra.llm.common import read_documents
 
 
@@ -16,6 +16,10 @@ def op3_sentencepiece(spark, sf_dir):
     return piece_codec.encode_documents(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_suffix_arrays(spark, sf_dir):
+    return suffix_arrays.remove_repeated_bytes(read_documents(spark, sf_dir), window=400, with_text=False)
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(read_documents(spark, sf_dir), width=3, differ=3)
 
@@ -50,7 +54,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op5_simhash, op6_anchored_repeats, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op4_suffix_arrays, op5_simhash, op6_anchored_repeats, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
