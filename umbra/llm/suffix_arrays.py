@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from umbra.llm.exchange import meeting_positions, rolling
 GRAM = 48  # bytes hashed to pick anchors
 SORTED_BYTES = 1_500_000  # text sorted at once; ranks of three then fit 63 bits
 LARGE_CLASS = 24_000_000  # bytes of one anchor class beyond which its windows are grouped by Spark instead
-_BYTE_VALUES = np.array([random.Random(29).getrandbits(64) for _ in range(256)], np.uint64)
+_BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 29) for b in range(256)], np.uint64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
