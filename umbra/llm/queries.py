@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from umbra.llm import anchors, exact_dedup, hilbert, latent, pii, piece_codec, resampling, simhash, suffix_arrays
+from umbra.llm import anchors, exact_dedup, gru, hilbert, latent, pii, piece_codec, resampling, simhash, suffix_arrays
 from umbra.llm.common import read_documents
 
 
+def op1_gru_scoring(spark, sf_dir):
+    return gru.score_documents(read_documents(spark, sf_dir))
+
+
 def op2_hilbert_sharding(spark, sf_dir):
     return hilbert.hilbert_shards(read_documents(spark, sf_dir), shards=24)
 
@@ -54,7 +58,7 @@ FROM (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_sentencepiece, op4_suffix_arrays, op5_simhash, op6_anchored_repeats, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_gru_scoring, op2_hilbert_sharding, op3_sentencepiece, op4_suffix_arrays, op5_simhash, op6_anchored_repeats, op7_pii, op8_decontamination, op9_exact_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
