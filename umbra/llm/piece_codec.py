@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -199,22 +200,13 @@ class PieceCodec:
             out.append(_utf8(bytes(held)))
         return "".join(out)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        if not text:
-            nothing = hashlib.sha256(b"").hexdigest()
-            return 0, nothing, nothing
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            ids = self.encode(text)
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
-        words = text.split(" ")
-        if not self.prefixed:
+    def coded(self, text: str) -> tuple[bytes, bytes]:
+        """(ids joined by commas, the decoded text in UTF-8): by remembered words where single spaces part them."""
+        if not self.prefixed or not text or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
             ids = self.encode(text)
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
-        got = list(map(self.words.__getitem__, words))
-        csv = b",".join([g[0] for g in got])
-        said = b"".join([g[1] for g in got])[1:]
-        return csv.count(b",") + 1, hashlib.sha256(csv).hexdigest(), hashlib.sha256(said).hexdigest()
+            return ",".join(map(str, ids)).encode(), self.decode(ids).encode()
+        got = list(map(self.words.__getitem__, text.split(" ")))
+        return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]
 
 
 class _Words(dict):
@@ -276,13 +268,19 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = [own.digest(t) for t in texts]
-            cols = [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+            counts, digests, saids, ids, texts = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                csv, said = own.coded(text)
+                counts.append(csv.count(b",") + 1 if csv else 0)
+                digests.append(hashlib.sha256(csv).hexdigest())
+                saids.append(hashlib.sha256(said).hexdigest())
+                if with_ids:
+                    ids.append(np.array(csv.split(b",") if csv else [], np.int32))
+                    texts.append(said.decode())
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(saids, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                ids = [own.encode(t) for t in texts]
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())]
+                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
