@@ -41,5 +41,5 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row of docs for each text, with the smallest or largest doc_id, all columns as they were."""
     kept = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])  # rows alike in both

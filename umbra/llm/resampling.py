@@ -211,4 +211,4 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
 def keep_resampled(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
     """The rows that importance_resample keeps, all columns as they were."""
     kept = importance_resample(docs, labels, bound).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

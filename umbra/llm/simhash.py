@@ -174,4 +174,4 @@ def simhash_groups(docs: DataFrame, width: int = 5, differ: int = 3) -> DataFram
 def drop_near_copies(docs: DataFrame, width: int = 5, differ: int = 3) -> DataFrame:
     """The row with the smallest doc_id of each component stays, all columns as they were."""
     kept = simhash_groups(docs, width, differ).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
