@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from umbra.plans import text_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(text_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(text_queries.SQL)
 
 
 def flagship(spark, sf_dir: str):
