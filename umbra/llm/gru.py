@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from umbra.llm.common import materialise
 
 END = b"\n"  # no word holds white space
-HEAD = 131_072  # most frequent words whose counts every task gets; the others are looked up by a join
-SOFT = 2_048  # most frequent words that the network tells apart
-CLASSES = 32
+HEAD = 131_072  # bound on the frequent words whose counts every task gets; the others are looked up by a join
+SOFT = 512  # most frequent words that the network tells apart
+CLASSES = 16
 TAILS = 64  # inputs for all other words, by their last bytes
 HIDDEN = 16
 STEPS = 16  # length of truncated backpropagation
 LANES = 1_024
-FLUSH = 300_000
+FLUSH = 600_000
 ROUNDS = (0.25, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
 GATHER = 16  # rows in which the weights of all tasks come to the driver
 
@@ -64,6 +64,22 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD words with their counts, by falling count: all above a count that a small histogram tells."""
+    bins = F.when(F.col("c") < 64, F.col("c")).otherwise(F.floor(F.log2("c") * 16)).cast("int")  # 63 is below log2(64) * 16
+    sizes = counts.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()  # some 1,000 rows at most
+    cut, room = None, HEAD
+    for r in sorted(sizes, key=lambda r: -r["low"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        cut = r["low"]
+    if cut is None:
+        return []
+    rows = counts.where(F.col("c") >= cut).toArrow()
+    return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda wc: (-wc[1], wc[0]))
+
+
 @dataclass
 class Vocabulary:
     """The head words by falling count, and the totals over all words."""
@@ -91,18 +107,30 @@ class Vocabulary:
     def base_log(self) -> float:
         return math.log10(self.tokens + 0.1 * (self.distinct + 1))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Number of each word, HEAD for one outside the head."""
-        return np.fromiter((self.head.get(w, HEAD) for w in words), np.int32, len(words))
+    def codes(self) -> Codes:
+        return Codes(self.head)
 
+    def inputs(self) -> np.ndarray:
+        """Network input of each code: soft words as they are, others by a hash of their last bytes."""
+        out = np.empty(HEAD + TAILS, np.int32)
+        out[HEAD:] = SOFT + np.arange(TAILS)
+        for w, k in self.head.items():
+            out[k] = k if k < self.soft else SOFT + _tail(w)
+        return out
 
-def symbols(ids: np.ndarray, words: list[bytes], soft: int) -> np.ndarray:
-    """Network inputs: soft words as they are, others by a hash of their last two bytes."""
-    out = ids.astype(np.int32)
-    for k in np.flatnonzero(ids >= soft).tolist():
-        w = words[k]
-        out[k] = SOFT + (w[-1] * 7 + (w[-2] if len(w) > 1 else 0)) % TAILS
-    return out
+
+def _tail(word: bytes) -> int:
+    return (word[-1] * 7 + (word[-2] if len(word) > 1 else 0)) % TAILS
+
+
+class Codes(dict):
+    """Word -> its number in the head, or HEAD plus a hash of its last bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        return HEAD + _tail(word)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 START = SOFT + TAILS
@@ -126,79 +154,94 @@ def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One gated step: (new state, what backpropagation needs)."""
+    """One gated step: (new state, what backpropagation needs). The logistic function is a shifted tanh."""
     a, g = w["in"][x], h @ w["rec"]
-    gates = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+    gates = np.tanh((a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]) * np.float32(0.5))
+    gates += 1
+    gates *= np.float32(0.5)
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-    return n + z * (h - n), (z, r, n, g[:, 2 * HIDDEN :], h)
+    inner = g[:, 2 * HIDDEN :]
+    n = np.tanh(a[:, 2 * HIDDEN :] + r * inner)
+    return n + z * (h - n), (z, r, n, inner, h)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _chances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of x, their sums by row). Scores start as log shares and stay small; the bound keeps them finite."""
+    e = np.exp(np.minimum(x, 60))
+    return e, np.maximum(e @ np.ones(x.shape[1], x.dtype), np.finfo(x.dtype).tiny)
 
 
 def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(natural log probability of each target, gradient for h). A target outside the soft words stands for the tail class."""
     size = w["word"].shape[1]
+    order = np.argsort(np.where(y < soft, y // size, CLASSES).astype(np.uint8), kind="stable")
+    h, y = h[order], y[order]  # class by class
     group = np.where(y < soft, y // size, CLASSES)
-    logs = _log_softmax(h @ w["class"] + w["class_bias"])
-    out = logs[np.arange(len(y)), group].astype(np.float64)
+    bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+    rows = np.arange(len(y))
+    scores = h @ w["class"] + w["class_bias"]
+    e, total = _chances(scores)
+    logs = np.minimum(scores[rows, group], 60) - np.log(total)
     back = None
     if grad is not None:
-        d = np.exp(logs)
-        d[np.arange(len(y)), group] -= 1
-        grad["class"] += h.T @ d
-        grad["class_bias"] += d.sum(axis=0)
-        back = d @ w["class"].T
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        e *= (1 / total)[:, None]
+        e[rows, group] -= 1
+        grad["class"] += h.T @ e
+        grad["class_bias"] += np.ones(len(e), e.dtype) @ e
+        back = e @ w["class"].T
     for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if not len(at):
+        s, t = bounds[c], bounds[c + 1]
+        if s == t:
             continue
-        own, target = h[at], y[at] - c * size
-        logs = _log_softmax(own @ w["word"][c].T + w["word_bias"][c])
-        out[at] += logs[np.arange(len(at)), target]
+        own, target, rows = h[s:t], y[s:t] - c * size, np.arange(t - s)
+        scores = own @ w["word"][c].T + w["word_bias"][c]
+        e, total = _chances(scores)
+        logs[s:t] += np.minimum(scores[rows, target], 60) - np.log(total)
         if grad is not None:
-            d = np.exp(logs)
-            d[np.arange(len(at)), target] -= 1
-            grad["word"][c] += d.T @ own
-            grad["word_bias"][c] += d.sum(axis=0)
-            back[at] += d @ w["word"][c]
+            e *= (1 / total)[:, None]
+            e[rows, target] -= 1
+            grad["word"][c] += e.T @ own
+            grad["word_bias"][c] += np.ones(t - s, e.dtype) @ e
+            back[s:t] += e @ w["word"][c]
+    out = np.empty(len(y))
+    out[order] = logs
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
     return out, back
 
 
 def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, soft: int) -> tuple[Weights, np.ndarray, float]:
     """Truncated backpropagation over x, y of shape (steps, lanes) from state h: (gradient, last state, sum of logs)."""
     grad = {k: np.zeros_like(v) for k, v in w.items()}
+    alive = (x != START).astype(w["rec"].dtype)[:, :, None]  # the state before a document's first word is zero
     kept, states = [], []
     for t in range(len(x)):
-        h = np.where((x[t] == START)[:, None], np.float32(0), h)
-        h, cache = step(w, x[t], h)
+        h, cache = step(w, x[t], h * alive[t])
         kept.append(cache)
         states.append(h)
-    flat = np.concatenate(states)
-    logs, back = outputs(w, flat, y.reshape(-1), soft, grad)
+    logs, back = outputs(w, np.concatenate(states), y.reshape(-1), soft, grad)
     back = back.reshape(len(x), -1, HIDDEN)
+    z, r, n, inner, before = (np.stack(c) for c in zip(*kept, strict=True))
+    to_n = (1 - z) * (1 - n * n)
+    to_z = (before - n) * z * (1 - z)
+    to_r = inner * r * (1 - r)
+    inputs = np.empty((len(x), x.shape[1], 3 * HIDDEN), z.dtype)
+    through = np.empty_like(inputs)
     ahead = np.zeros_like(h)
-    inputs = np.empty((len(x), x.shape[1], 3 * HIDDEN), np.float32)
     for t in range(len(x) - 1, -1, -1):
-        z, r, n, gn, before = kept[t]
         d = back[t] + ahead
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        grad["rec"] += before.T @ dg
-        ahead = (d * z + dg @ w["rec"].T) * (x[t] != START)[:, None]
+        dn = d * to_n[t]
+        own = inputs[t]
+        np.multiply(d, to_z[t], out=own[:, :HIDDEN])
+        np.multiply(dn, to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
+        own[:, 2 * HIDDEN :] = dn
+        through[t] = own
+        through[t][:, 2 * HIDDEN :] *= r[t]
+        ahead = (d * z[t] + through[t] @ w["rec"].T) * alive[t]
+    grad["rec"] += before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
     ids = x.reshape(-1)
     order = np.argsort(ids.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
@@ -256,17 +299,16 @@ def train_round(train: DataFrame, w: Weights, v: Vocabulary, rate: float) -> Wei
     chunk = LANES * STEPS * 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer(w, rate)
+        own, codes, inputs = Trainer(w, rate), v.codes(), v.inputs()
+        end = min(v.head.get(END, HEAD), v.soft)
         xs: list[np.ndarray] = []
         ys: list[np.ndarray] = []
         held = total = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                ids = v.ids(words)
-                sym = symbols(ids, words, v.soft)
-                xs.append(np.concatenate([[START], sym]).astype(np.int32))
-                ys.append(np.append(np.minimum(ids, v.soft), v.head[END] if v.head[END] < v.soft else v.soft).astype(np.int32))
+                ids = codes.of(words_of(text))
+                xs.append(np.append(np.int32(START), inputs[ids]))
+                ys.append(np.append(np.minimum(ids, np.int32(v.soft)), np.int32(end)))
                 held += len(ids) + 1
                 if held >= chunk:
                     own.learn(np.concatenate(xs), np.concatenate(ys), v.soft)
@@ -297,34 +339,31 @@ def train_round(train: DataFrame, w: Weights, v: Vocabulary, rate: float) -> Wei
 
 def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft: int) -> np.ndarray:
     """Natural log probability of each document, soft words and classes only: the state is carried from its first word to its end."""
+    if not xs:
+        return np.zeros(0)
     order = np.argsort([-len(x) for x in xs], kind="stable")
     lengths = np.array([len(xs[k]) for k in order])
+    x, y = np.concatenate([xs[k] for k in order]), np.concatenate([ys[k] for k in order])
+    begins = np.cumsum(lengths) - lengths
     out = np.zeros(len(xs))
     h = np.zeros((len(xs), HIDDEN), np.float32)
-    for t in range(0, int(lengths[0]) if len(lengths) else 0, 2 * STEPS):
-        alive = int(np.searchsorted(-lengths, -t, side="left"))  # documents longer than t
-        states, targets, owners = [], [], []
-        width = min(2 * STEPS, int(lengths[0]) - t)
-        x = np.full((width, alive), START, np.int32)
-        y = np.zeros((width, alive), np.int32)
-        for k in range(alive):
-            part = xs[order[k]][t : t + width]
-            x[: len(part), k] = part
-            y[: len(part), k] = ys[order[k]][t : t + width]
-        for s in range(width):
-            now = int(np.searchsorted(-lengths, -(t + s), side="left"))
-            h[:now] = step(w, x[s, :now], h[:now])[0]
-            states.append(h[:now].copy())
-            targets.append(y[s, :now])
+    for t in range(0, int(lengths[0]), 2 * STEPS):
+        states, places, owners = [], [], []
+        for s in range(t, min(t + 2 * STEPS, int(lengths[0]))):
+            now = int(np.searchsorted(-lengths, -s, side="left"))  # documents longer than s
+            at = begins[:now] + s
+            h = step(w, x[at], h[:now])[0]
+            states.append(h)
+            places.append(at)
             owners.append(np.arange(now))
-        logs, _ = outputs(w, np.concatenate(states), np.concatenate(targets), soft)
+        logs, _ = outputs(w, np.concatenate(states), y[np.concatenate(places)], soft)
         out += np.bincount(np.concatenate(owners), weights=logs, minlength=len(xs))
     back = np.empty(len(xs))
     back[order] = out
     return back
 
 
-def score_documents(docs: DataFrame, unit_bytes: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, unit_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     Words are runs of other than ASCII white space with A-Z lower-cased, and an end.
@@ -346,8 +385,8 @@ def score_documents(docs: DataFrame, unit_bytes: int = 8_000_000) -> DataFrame:
     train = own.where(~F.col("held_out"))
     counts = materialise(count_words(train))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    v = Vocabulary({bytes(r["word"]): k for k, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64), total["n"], total["v"])
+    top = frequent(counts)
+    v = Vocabulary({word: k for k, (word, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), total["n"], total["v"])
     w = None
     if top:
         w = fresh_weights(v)
@@ -361,21 +400,21 @@ def score_documents(docs: DataFrame, unit_bytes: int = 8_000_000) -> DataFrame:
         part, made = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         size = 0
+        codes, inputs, end = v.codes(), v.inputs(), v.head.get(END, HEAD)
 
         def out(rows: list[tuple], first: int) -> pa.RecordBatch:
             xs, ys, cols, rest = [], [], [], []
             for _, _, text in rows:
                 words = words_of(text)
-                ids = v.ids(words)
-                end = v.head.get(END, HEAD)
-                every = np.append(ids, end)
+                ids = codes.of(words)
+                every = np.append(ids, np.int32(end))
                 low = every[every < HEAD]
                 logs = np.log10(v.counts[low] + 0.1) if len(low) else np.zeros(0)
                 cols.append((len(every), len(low), float(logs.sum()), float(logs[low >= v.soft].sum()), int((every >= v.soft).sum())))
                 rest.append([words[k] for k in np.flatnonzero(ids >= HEAD).tolist()] + [END] * (end >= HEAD))
                 if w is not None:
-                    xs.append(np.concatenate([[START], symbols(ids, words, v.soft)]).astype(np.int32))
-                    ys.append(np.minimum(every, v.soft).astype(np.int32))
+                    xs.append(np.append(np.int32(START), inputs[ids]))
+                    ys.append(np.minimum(every, np.int32(v.soft)))
             neural = document_logs(w, xs, ys, v.soft) / math.log(10) if w is not None else np.zeros(len(rows))
             n, low, base, tail, outside = zip(*cols, strict=True)
             arrays = [
