@@ -51,7 +51,7 @@ def drawn(spark, d):
     return table(spark, d, "documents", ["doc_id"]).select("doc_id", F.array(*truths).alias("truths"), F.array(*guesses).alias("guesses"))
 
 
-t, g = F.col("truths"), F.col("guesses")
+t, g = "truths", "guesses"
 
 
 @query("a01_merge", FIX + f'SELECT doc_id, s AS start, e AS "end", c AS category FROM {merged_sql("guesses")}')

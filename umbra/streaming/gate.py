@@ -17,7 +17,8 @@ def redaction_gate(stream: DataFrame, text: str = "text", patterns: dict[str, st
 def leak_rate(gated: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Rows and rows with personal data by tumbling window; the watermark bounds the state."""
     return (
-        gated.withWatermark(time, late)
+        gated.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(F.window(time, window).alias("window"))
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n_spans") > 0).alias("leaking"))
         .select(F.col("window.start").alias("window_start"), "rows", "leaking")
