@@ -11,11 +11,11 @@ from umbra.functions.text import draw
 def numbered(df: DataFrame, *keys: str, name: str = "rn") -> DataFrame:
     """0-based position in the order of keys, without a single task that sees all rows.
 
-    keys must tell rows apart. Rows are cut into buckets by range of the first key's
+    keys must tell rows apart, the first one mostly so. Rows are cut into buckets by range of the first key's
     quantiles; a bucket is numbered alone and shifted by what lies before it.
     """
     first = keys[0]
-    buckets = 64
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(F.col(first), F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter(F.coalesce("cuts", F.array().cast(f"array<{dict(df.dtypes)[first]}>")), lambda c: c < F.col(first)))).drop("cuts")
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
