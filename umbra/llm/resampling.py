@@ -38,6 +38,7 @@ def features(text: str) -> np.ndarray:
 def _features(tokens: list[bytes]) -> np.ndarray:
     one = np.fromiter(map(_memo.__getitem__, tokens), np.uint64, len(tokens))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(49)
+    two[one[:-1] == one[1:]] = HALF - 1  # a token behind itself, whichever it is
     return np.concatenate([one & np.uint64(HALF - 1), two + np.uint64(HALF)]).astype(np.int64)
 
 
