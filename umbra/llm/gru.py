@@ -20,7 +20,7 @@ HEAD = 131_072  # bound on the frequent words whose counts every task gets; the
 SOFT = 512  # most frequent words that the network tells apart
 CLASSES = 16
 TAILS = 64  # inputs for all other words, by their last bytes
-HIDDEN = 16
+HIDDEN = 12
 STEPS = 16  # length of truncated backpropagation
 LANES = 1_024
 FLUSH = 600_000
