@@ -177,8 +177,9 @@ def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool) -> DataFra
             yield from close()
 
     rows = keyed.mapInArrow(send, "unit long, bucket int, about binary, codes binary, gaps binary, first long")
-    # the row about a unit needs no bucket of its own: it is dealt by unit
-    dealt = rows.repartition(F.when(F.col("bucket") < 0, -F.col("unit") - 1).otherwise(F.col("bucket"))).sortWithinPartitions("bucket", "unit")
+    # a partition for each bucket, so that no two buckets meet by chance; the rows about units are dealt over all
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("unit"), F.lit(buckets))).otherwise(F.col("bucket"))
+    dealt = rows.repartitionById(buckets, place.cast("int")).sortWithinPartitions("bucket", "unit")
     met = dealt.mapInArrow(answer, "unit long, about binary, hits binary")
     found = met.repartition("unit").sortWithinPartitions("unit").mapInArrow(join_up, "doc_id long, key long, hits array<int>")
     return found.groupBy("doc_id", "key").agg(F.first("hits").alias("hits"))  # rows alike in id and text have equal hits
