@@ -148,7 +148,7 @@ def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
         "in": (r.standard_normal((START + 1, 3 * HIDDEN)) * 0.3).astype(np.float32),
         "rec": (r.standard_normal((HIDDEN, 3 * HIDDEN)) / math.sqrt(HIDDEN)).astype(np.float32),
         "class": np.zeros((HIDDEN, CLASSES + 1), np.float32),
-        "class_bias": np.log(per_class / per_class.sum()).astype(np.float32),
+        "class_bias": np.where(np.append(np.arange(CLASSES) * size < soft, True), np.log(per_class / per_class.sum()), -1e4).astype(np.float32),  # classes without words have no share
         "word": np.zeros((CLASSES, size, HIDDEN), np.float32),
         "word_bias": inner.astype(np.float32),
     }
