@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from umbra.llm.common import id_and_text
 
 SPACE = "▁"  # stands for a space inside pieces
-CACHE = 250_000  # words, parts and pairs remembered by a worker process
+CACHE = 250_000  # parts and pairs remembered by a worker process
+WORDS = 400_000  # words remembered, and as many of the generation before
 
 
 class PieceCodec:
@@ -223,7 +224,7 @@ class _Words(dict):
             ids = self.codec.word(SPACE + word)
             made = (",".join(map(str, ids)).encode(), (" " + self.codec.decode(ids)).encode())
         if len(word) <= 48:
-            if len(self) > CACHE:
+            if len(self) > WORDS:
                 self.old = dict(self)
                 self.clear()
             self[word] = made
