@@ -329,6 +329,26 @@ def test_op8_recall_on_paraphrases(spark, texts):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_op8_finds_hot_and_common_items(spark):
+    """An item in a third of the documents, one of words that all documents hold, and one of such words and a rare one."""
+    rnd = random.Random(8)
+    plain = [f"plain{k}" for k in range(40)]
+    bench = [(1, " ".join(f"hot{k}" for k in range(25))), (2, " ".join(rnd.sample(plain, 24))), (3, " ".join([*rnd.sample(plain, 20), "seldom"]))]
+    made, want = [], set()
+    for k in range(600):
+        words = [w for _ in range(3) for w in rnd.sample(plain, 40)] + [f"own{rnd.randrange(5000)}" for _ in range(60)]
+        rnd.shuffle(words)
+        for item in [1] * (k % 3 == 0) + [2] * (k % 100 == 1) + [3] * (k % 100 == 2):
+            at = rnd.randrange(len(words))
+            words[at:at] = bench[item - 1][1].split()
+            want.add((k, item))
+        made.append((k, " ".join(words)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert want <= got
+    assert {d for d, item in got if item == 1} == {d for d, item in want if item == 1}
+
+
 def test_lcs():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
