@@ -31,7 +31,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of MULTIPLIER and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+    if not _powers or len(_powers["up"]) < n:
         size = max(n, 1 << 20)
         _powers["up"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, MULTIPLIER))])
         _powers["down"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, INVERSE))])
@@ -55,6 +55,14 @@ def rolling(symbols: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[: n - width + 1]) * down[: n - width + 1])
 
 
+def rolled_at(symbols: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The values of rolling at some starts."""
+    up, down = powers(len(symbols))
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up, out=total[1:])
+    return mix((total[at + width] - total[at]) * down[at])
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes], list]]:
     """(ids, keys, texts, extra) for up to UNIT_BYTES of text, or one longer text."""
     ids: list[int] = []

@@ -11,18 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.anchors import keyed_documents
-from umbra.llm.common import materialise
-from umbra.llm.exchange import meeting_positions, rolling
+from umbra.llm.anchors import keyed_documents, real_id
+from umbra.llm.common import materialise, sliced
+from umbra.llm.exchange import meeting_positions, rolled_at, rolling
 
 GRAM = 48  # bytes hashed to pick anchors
-SORTED_BYTES = 1_500_000  # text sorted at once; ranks of three then fit 63 bits
-LARGE_CLASS = 24_000_000  # bytes of one anchor class beyond which its windows are grouped by Spark instead
+PROBE = 256  # bytes of the shorter strings that n_repeated counts
+SORTED_BYTES = 1_500_000  # text sorted at once
+LARGE_CLASS = 8_000_000  # bytes of one class beyond which its windows are spread over tasks by their hashes
+BODY_BATCH = 4_000_000  # bytes of stretches sent on at once
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 29) for b in range(256)], np.uint64)
+_OTHER_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 31) for b in range(256)], np.uint64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative integers by the difference cover of 3.
+    """Suffix array of integers from 0 to 2**31 - 2 by the difference cover of 3.
 
     Suffixes at positions 1 and 2 modulo 3 are sorted by their triples and named; if
     names repeat, the string of names is sorted recursively. The others are sorted by
@@ -31,15 +34,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 40:
         return np.array(sorted(range(n), key=lambda k: text[k:].tolist()), np.int64)
-    if text.max() >= 1 << 21:
-        text = np.unique(text, return_inverse=True)[1]
     t = np.concatenate([text.astype(np.int64) + 1, np.zeros(3, np.int64)])
     bits = int(t.max()).bit_length()
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one position past the end keeps the halves apart
     sampled = np.concatenate([ones, twos])
-    triples = (t[sampled] << (2 * bits)) | (t[sampled + 1] << bits) | t[sampled + 2]
-    order = np.argsort(triples)
-    fresh = np.concatenate([[0], np.cumsum(np.diff(triples[order]) != 0)])
+    pairs, last = (t[sampled] << bits) | t[sampled + 1], t[sampled + 2]  # symbols are below the length, so two fit 63 bits
+    if 3 * bits <= 63:
+        triples = (pairs << bits) | last
+        order = np.argsort(triples)
+        fresh = np.concatenate([[0], np.cumsum(np.diff(triples[order]) != 0)])
+    else:
+        order = np.lexsort((last, pairs))
+        fresh = np.concatenate([[0], np.cumsum((np.diff(pairs[order]) != 0) | (np.diff(last[order]) != 0))])
     if fresh[-1] + 1 < len(sampled):
         names = np.empty(len(sampled), np.int64)
         names[order] = fresh
@@ -96,8 +102,6 @@ def anchors_of(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
 def _served(at: np.ndarray, codes: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor number, first start, last start) of the windows whose anchor each anchor is, where there are any."""
     width = window - GRAM + 1
-    first = np.zeros(len(at), np.int64)
-    last = np.zeros(len(at), np.int64)
     # an anchor serves starts from behind the last anchor before it that is as small, to before the next smaller one
     stack: list[int] = []
     nearest = np.full(len(at), -1, np.int64)
@@ -115,165 +119,235 @@ def _served(at: np.ndarray, codes: np.ndarray, n: int, window: int) -> tuple[np.
     return number, first[number], last[number]
 
 
-def anchor_coder(window: int):
+def stretches_of(text: bytes, probe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, first start, last start) by rising start: each window of probe bytes belongs to one stretch, equal windows to stretches of one class.
+
+    A window holds its anchor and, before or behind it, half of the rest or more. So the
+    starts that an anchor serves are parted in two, and the class is a hash of the
+    anchor together with the half that all windows of the part hold.
+    """
+    at, grams = anchors_of(text, probe)
+    number, first, last = _served(at, grams, len(text), probe)
+    at = at[number]
+    side = (probe - GRAM) // 2
+    before, behind = np.flatnonzero(first <= at - side), np.flatnonzero(last > at - side)
+    codes = rolled_at(_OTHER_VALUES[np.frombuffer(text, np.uint8)], GRAM + side, np.concatenate([at[before] - side, at[behind]]))
+    codes[: len(before)] |= np.uint64(1)
+    codes[len(before) :] &= ~np.uint64(1)
+    start = np.concatenate([first[before], np.maximum(first, at - side + 1)[behind]])
+    stop = np.concatenate([np.minimum(last, at - side)[before], last[behind]])
+    order = np.argsort(start)
+    return codes[order], start[order], stop[order]
+
+
+def stretch_coder(probe: int):
+    """The class of each stretch, placed at its first start."""
+
     def code(texts: list[bytes], _: list):
         lengths = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        found = [anchors_of(t, window) for t in texts]
-        at = np.concatenate([s + a for s, (a, _) in zip(starts, found, strict=True)]).astype(np.int64)
-        return lengths, at, np.concatenate([c for _, c in found]), np.zeros(len(at), bool)
+        found = [stretches_of(t, probe) for t in texts]
+        at = np.concatenate([s + start for s, (_, start, _) in zip(np.cumsum(lengths) - lengths, found, strict=True)]).astype(np.int64)
+        return lengths, at, np.concatenate([c for c, _, _ in found]), np.zeros(len(at), bool)
 
     return code
 
 
-def _extents(found: DataFrame, window: int) -> DataFrame:
-    """A row for each hit anchor: its class, the bytes that its windows span, and where these start in the document."""
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+def _extents(found: DataFrame, window: int, probe: int) -> DataFrame:
+    """A row for each stretch that was hit: its class, its number of starts, the bytes of their windows, and where it starts."""
+    names = ["doc_id", "key", "start", "class", "digest", "starts", "size", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
             for k in range(batch.num_rows):
                 i, key, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py().encode()
-                at, codes = anchors_of(text, window)
-                number, first, last = _served(at, codes, len(text), window)
-                use = np.isin(at[number], batch.column(3)[k].values.to_numpy(zero_copy_only=False))
-                for c, s, e in zip(codes[number[use]].view(np.int64).tolist(), first[use].tolist(), last[use].tolist(), strict=True):
+                codes, start, stop = stretches_of(text, probe)
+                use = np.isin(start, batch.column(3)[k].values.to_numpy(zero_copy_only=False))
+                for c, s, e in zip(codes[use].view(np.int64).tolist(), start[use].tolist(), stop[use].tolist(), strict=True):
                     body = text[s : e + window]
-                    # equal bytes with the anchor elsewhere can't be: the anchor is a function of the bytes
-                    rows.append((i, key, s, c, xxhash.xxh3_128_digest(body, 5), body))
+                    rows.append((i, key, s, c, xxhash.xxh3_128_digest(body, e - s), e - s + 1, len(body), body))
                     size += len(body)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    if size > BODY_BATCH:
+                        yield _batch(rows, names, kinds)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows, names, kinds)
+
+    return found.mapInArrow(run, "doc_id long, key long, start int, class long, digest binary, starts int, size int, body binary")
+
 
-    names = ["doc_id", "key", "start", "class", "digest", "body"]
-    return found.mapInArrow(run, "doc_id long, key long, start int, class long, digest binary, body binary")
+def _runs(at: np.ndarray) -> np.ndarray:
+    """First and last of each run of adjacent numbers, one behind the other."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return np.stack([at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]], axis=1).ravel().astype(np.int32)
 
 
-def _repeats_in(bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """For each body the window starts whose bytes start elsewhere in the bodies too: adjacent suffixes are compared."""
+def _repeats_in(bodies: list[bytes], starts: list[int], widths: tuple[int, int]) -> list[list[np.ndarray]]:
+    """For each width and body the runs of starts whose strings of that width start elsewhere in the bodies too: adjacent suffixes are compared."""
     lengths = np.array([len(b) + 1 for b in bodies])
     text = np.frombuffer(b"".join(b + b"\0" for b in bodies), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(lengths)
     text[ends - 1] = 0
+    begins = ends - lengths
     order = suffix_array(text)
-    local = np.arange(len(text)) - np.repeat(ends - lengths, lengths)
-    whole = local + window <= np.repeat(lengths - 1, lengths)
-    order = order[whole[order]]
-    raw = text.astype(np.uint16)
-    views = np.lib.stride_tricks.sliding_window_view(raw, window)
-    same = np.zeros(len(order) + 1, bool)
-    for k in range(0, len(order) - 1, 4096):
-        part = views[order[k : k + 4097]]
-        same[k + 1 : k + len(part)] = (part[1:] == part[:-1]).all(axis=1)
-    again = np.zeros(len(text), bool)
-    again[order[same[:-1] | same[1:]]] = True
-    return [np.flatnonzero(again[e - n : e]).astype(np.int32) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-
-
-def _distinct_repeats(bodies: DataFrame, window: int) -> DataFrame:
-    """(digest, starts) for bodies (class, digest, body): window starts that repeat among the bodies of the class."""
-    sizes = bodies.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("total")).where("n > 1")
-    shared = bodies.join(sizes, "class")
-    small = shared.where(F.col("total") <= LARGE_CLASS).select("class", "digest", "body")
-    large = shared.where(F.col("total") > LARGE_CLASS)
+    local = np.arange(len(text)) - np.repeat(begins, lengths)
+    order = order[(local < np.repeat(starts, lengths))[order]]
+    left = (np.repeat(lengths, lengths) - 1 - local)[order]  # bytes of the body from there on
+    raw, values = text.astype(np.uint16), np.concatenate([np.zeros(1, np.uint64), _BYTE_VALUES])[text]
+    out = []
+    for width in widths:
+        own = order[left >= width]
+        again = np.zeros(len(text), bool)
+        if len(own) > 1:
+            codes = rolled_at(values, width, own)
+            near = np.flatnonzero(codes[1:] == codes[:-1])
+            views = np.lib.stride_tricks.sliding_window_view(raw, width)
+            for k in range(0, len(near), 4096):
+                a, b = own[near[k : k + 4096]], own[near[k : k + 4096] + 1]
+                same = (views[a] == views[b]).all(axis=1)
+                again[a[same]] = again[b[same]] = True
+        out.append([_runs(np.flatnonzero(again[s:e])) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)])
+    return out
+
+
+def _distinct_repeats(extents: DataFrame, window: int, probe: int) -> DataFrame:
+    """(class, digest, long_runs, short_runs) of stretches: starts whose window, or probe, starts elsewhere too.
+
+    A body that stands at several places repeats whole. Others are looked up in their
+    class: by suffix sorting, or, where a class is too large for a task, by counting the
+    128-bit hashes of its windows over all tasks.
+    """
+    runs = lambda last: F.when(last >= 0, F.array(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    places = extents.groupBy("class", "digest").agg(F.first("starts").alias("starts"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    whole = places.where("n > 1").select("class", "digest", runs(F.least(F.col("starts") - 1, F.col("size") - window)).alias("long_runs"), runs(F.col("starts") - 1).alias("short_runs"))
+    sizes = places.groupBy("class").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("size").cast("long")).alias("total"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    bodies = extents.groupBy("class", "digest").agg(F.first("starts").alias("starts"), F.first("body").alias("body"))
+    # dealt by class before the join: whatever join is chosen, a class stays in one task
+    shared = bodies.repartition("class").join(sizes.select("class", "total"), "class").select("class", "digest", "starts", "body", "total")
+    names, kinds = ["class", "digest", "long_runs", "short_runs"], [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, int, bytes]] = []
 
-        def done(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-            found = [(d, s) for (_, d, _), s in zip(rows, _repeats_in([b for _, _, b in rows], window), strict=True) if len(s)]
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.int32()))], ["digest", "starts"])
+        def done(rows: list[tuple[int, bytes, int, bytes]]) -> pa.RecordBatch:
+            found = _repeats_in([r[3] for r in rows], [r[2] for r in rows], (window, probe))
+            return _batch([(c, d, x, y) for (c, d, _, _), x, y in zip(rows, *found, strict=True) if len(y)], names, kinds)
 
-        size = 0
+        held_bytes = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # a class stays whole; several small ones are sorted together
-                if held and size > SORTED_BYTES and row[0] != held[-1][0]:
+                if held and held_bytes > SORTED_BYTES and row[0] != held[-1][0]:
                     yield done(held)
-                    held, size = [], 0
+                    held, held_bytes = [], 0
                 held.append(row)
-                size += len(row[2]) + 1
+                held_bytes += len(row[3]) + 1
         if held:
             yield done(held)
 
-    sorted_ = small.repartition("class").sortWithinPartitions("class", "digest").mapInArrow(run, "digest binary, starts array<int>")
-    # a class too large for one task: its windows are spread by their own digest and counted
-    windows = large.select("digest", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - window)).alias("at"))
-    windows = windows.select("digest", "at", F.unhex(F.sha2(F.substring("body", F.col("at") + 1, F.lit(window)), 256)).alias("own"))
-    again = windows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own")
-    counted = windows.join(again, "own").groupBy("digest").agg(F.array_sort(F.collect_list("at")).alias("starts"))
-    return sorted_.unionAll(counted)
+    small = shared.where(F.col("total") <= LARGE_CLASS).select("class", "digest", "starts", "body")
+    sorted_ = small.sortWithinPartitions("class", "digest").mapInArrow(run, "class long, digest binary, long_runs array<int>, short_runs array<int>")
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, digest, starts, body = (col[k].as_py() for col in batch.columns)
+                raw = np.frombuffer(body, np.uint8)
+                for width in (window, probe):
+                    at = np.arange(min(starts, len(body) - width + 1))
+                    if len(at):
+                        cols = [rolled_at(v[raw], width, at).view(np.int64) for v in (_BYTE_VALUES, _OTHER_VALUES)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([width] * len(at), pa.int32()), *map(pa.array, cols), pa.array([c] * len(at), pa.int64()), pa.array([digest] * len(at), pa.binary()), pa.array(at, pa.int32())], ["width", "a", "b", "class", "digest", "at"]
+                        )
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes) for every row of docs.
+    large = shared.where(F.col("total") > LARGE_CLASS).select("class", "digest", "starts", "body").repartition("digest").mapInArrow(hashes, "width int, a long, b long, class long, digest binary, at int")
+    again = large.groupBy("width", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("width", "a", "b")
+    at = lambda width: F.flatten(F.collect_list(F.when(F.col("width") == width, F.array("at", "at"))))
+    counted = large.join(again, ["width", "a", "b"]).groupBy("class", "digest").agg(at(window).alias("long_runs"), at(probe).alias("short_runs"))
+    return whole.unionAll(sorted_).unionAll(counted)  # a body may come twice; runs that overlap do no harm
+
+
+def _covered(runs: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n bytes lie under a string of that width whose start is in one of the runs."""
+    pairs = runs.reshape(-1, 2).astype(np.int64)
+    edge = np.bincount(pairs[:, 0], minlength=n + 1) - np.bincount(pairs[:, 1] + width, minlength=n + 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, probe: int = PROBE, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated and, if asked for, kept (bytes) for every row of docs.
 
     A byte goes if a string of window bytes over it starts anywhere else too, judged on
-    the UTF-8 of the input. Each string of that length has an anchor, the leftmost
-    smallest of its grams, so equal strings have equal anchors: anchors that stand
-    alone are left out, and the rest are the classes by which suffix sorting is
-    distributed. Suffixes of one class meet in one task, are sorted by the difference
-    cover, and neighbours in that order are compared over window bytes. Equal stretches
-    are collapsed to one before, with the fact that they repeat; so are whole documents
-    with equal text. A class that is too large for a task is grouped by Spark window by
-    window instead.
-
-    Null text is empty; texts under window bytes lose nothing; rows alike in id and
-    text are documents of their own. doc_id is an integer. Other columns are not read.
-    An empty table gives an empty result.
+    the UTF-8 of the input. n_repeated counts the bytes under a string of probe bytes that
+    starts anywhere else too: repeats that are too short to be removed show there.
+
+    Each string of probe bytes has an anchor, the leftmost smallest of its grams, so equal
+    strings have equal anchors. An anchor with the half of the string that lies beside it
+    names a class; classes of a single stretch are left out, and the others are what
+    suffix sorting is distributed by. Equal stretches are collapsed to one before, with the
+    fact that they repeat; so are documents with equal text. Suffixes of one class meet in
+    one task, are sorted by the difference cover, and neighbours in that order are
+    compared over window and probe bytes. A class that is too large for a task is spread
+    window by window instead.
+
+    Null text is empty; texts under probe bytes lose nothing and have no repeats; rows
+    alike in id and text are documents of their own, and so are rows with a null id. doc_id
+    is an integer. Other columns are not read. An empty table gives an empty result.
     """
+    probe = min(probe, window)
     keyed = keyed_documents(docs)
     body = F.col("text").cast("binary")
     rows = keyed.select("doc_id", "key", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole_sha256"))
-    groups = rows.groupBy("key", "whole_sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("kept_id"))
-    base = materialise(rows.join(groups, ["key", "whole_sha256"]))
-    hits = materialise(meeting_positions(keyed, anchor_coder(window), anchored=False))
+    groups = rows.groupBy("whole_sha256").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key")).alias("stays"))
+    base = materialise(rows.join(groups, "whole_sha256"))
+    hits = materialise(meeting_positions(keyed, stretch_coder(probe), anchored=False))
     # one document of each group of copies stands for all
-    lone = base.where(F.col("doc_id") == F.col("kept_id")).select("doc_id", "key").dropDuplicates()
+    lone = base.where(F.struct("doc_id", "key") == F.col("stays")).select("doc_id", "key").dropDuplicates()
     hits = hits.join(lone, ["doc_id", "key"])
     found = keyed.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "hits").dropDuplicates(["doc_id", "key"])
-    extents = materialise(_extents(found, window))
-    bodies = extents.groupBy("class", "digest").agg(F.first("body").alias("body"))
-    counts = extents.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("body")).alias("size")).where("n > 1")
-    whole = counts.select("digest", F.sequence(F.lit(0), F.col("size") - window).alias("starts"))
-    repeats = _distinct_repeats(bodies, window).unionAll(whole)
-    runs = materialise(repeats.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
+    extents = materialise(_extents(found, window, probe))
+    runs = materialise(_distinct_repeats(extents, window, probe))
     single = base.where("copies = 1").select("doc_id", "key")  # in a group of copies all goes anyway
-    placed = extents.select("doc_id", "key", "start", "digest").join(runs, "digest").join(single, ["doc_id", "key"], "left_semi")
-    starts = placed.groupBy("doc_id", "key").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: s + F.col("start")))).alias("starts"))
+    placed = extents.select("doc_id", "key", "start", "class", "digest").join(runs, ["class", "digest"]).join(single, ["doc_id", "key"], "left_semi")
+    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda s: s + F.col("start")))).alias(c)
+    starts = placed.groupBy("doc_id", "key").agg(moved("long_runs"), moved("short_runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out: list[tuple] = []
             for k in range(batch.num_rows):
                 text = np.frombuffer(batch.column(2)[k].as_py().encode(), np.uint8)
-                at = np.asarray(batch.column(3)[k].values.to_numpy(zero_copy_only=False), np.int64)
-                edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + window, minlength=len(text) + 1)
-                gone = np.cumsum(edge)[:-1] > 0
+                gone, again = (_covered(batch.column(c)[k].values.to_numpy(zero_copy_only=False), w, len(text)) for c, w in ((3, window), (4, probe)))
                 kept = text[~gone].tobytes()
-                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.view(np.int8)])) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
-
-    names = ["doc_id", "key", "cut_removed", "cut_spans", "cut_sha256", "cut"][: 6 if with_text else 5]
-    touched = keyed.join(starts, ["doc_id", "key"]).select("doc_id", "key", "text", "starts")
-    shorter = touched.mapInArrow(cut, "doc_id long, key long, cut_removed long, cut_spans long, cut_sha256 string" + (", cut binary" if with_text else ""))
+                spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) > 0).sum())
+                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(again.sum()), *([kept] if with_text else [])))
+            yield _batch(out, names, kinds)
+
+    names = ["doc_id", "key", "cut_removed", "cut_spans", "cut_sha256", "cut_repeated", *(["cut"] if with_text else [])]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), *([pa.binary()] if with_text else [])]
+    touched = keyed.join(starts, ["doc_id", "key"]).select("doc_id", "key", "text", "long_runs", "short_runs")
+    shorter = touched.mapInArrow(cut, "doc_id long, key long, cut_removed long, cut_spans long, cut_sha256 string, cut_repeated long" + (", cut binary" if with_text else ""))
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     both = base.join(shorter, ["doc_id", "key"], "left")
     if with_text:
         both = both.join(keyed.select("doc_id", "key", body.alias("_body")).dropDuplicates(["doc_id", "key"]), ["doc_id", "key"])
     nothing = hashlib.sha256(b"").hexdigest()
     return both.select(
-        "doc_id",
+        real_id("doc_id"),
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("cut_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("cut_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "whole_sha256")).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_bytes") >= probe), F.col("n_bytes")).otherwise(F.coalesce("cut_repeated", F.lit(0))).cast("long").alias("n_repeated"),
         *([F.when(gone, F.lit(b"")).otherwise(F.coalesce("cut", "_body")).alias("kept")] if with_text else []),
     )
