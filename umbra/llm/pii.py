@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from umbra.llm.common import id_and_text
+from umbra.llm.common import Memo, id_and_text, sliced
 
 # fixed values: the kinds with rules, in the order in which ties at one start are listed
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -75,8 +75,8 @@ def base_spans(text: str) -> list[Span]:
 
 # High-recall generators: (kind, pattern, group that is the span). They overlap freely.
 GENERATORS = [
-    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9+/_-]{16,128}(?![A-Za-z0-9])"), 0),
-    ("secret", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,128})"""), 1),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9])"), 0),
+    ("secret", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,})"""), 1),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
     ("loose_phone", re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"), 0),
@@ -94,7 +94,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     found = []
     digits = bool(_DIGIT.search(text))
     for g, (kind, pattern, group) in enumerate(GENERATORS):
-        if (kind == "hidden_email" and "(at)" not in text.lower() and "[at]" not in text.lower()) or (kind != "hidden_email" and not digits and g != 1):
+        if (kind == "hidden_email" and "(at)" not in text.lower() and "[at]" not in text.lower()) or (kind not in ("hidden_email", "secret") and not digits):
             continue
         if g == 1 and "=" not in text and ":" not in text:
             continue
@@ -204,6 +204,7 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int, int]]:
     digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(k))
+    letters = lambda k: "".join(rnd.choice(string.ascii_letters) for _ in range(k))
 
     def iban(good: bool) -> str:
         land, rest = rnd.choice(["DE", "FR", "ES", "GB"]), digits(18)
@@ -220,7 +221,10 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int, int]]:
         body, label = rnd.choice(
             [
                 (f"{name}{rnd.choice([' = ', '=', ': '])}{quote}{rnd.choice([hexes, mixed])(rnd.randint(16, 64))}{quote}", 1),
+                (f"{name}{rnd.choice([' = ', '=', ': '])}{quote}{rnd.choice([hexes, mixed, letters])(rnd.randint(20, 600))}{quote}", 1),
                 (f"password: {mixed(rnd.randint(8, 14))}", 1),
+                ("-".join(word() for _ in range(rnd.randint(3, 60))), 0),
+                ("/".join(word() for _ in range(rnd.randint(3, 60))), 0),
                 (f"{rnd.choice(['commit', 'sha', 'md5', 'checksum', 'build'])} {hexes(rnd.choice([32, 40, 64]))}", 0),
                 ("-".join(word() for _ in range(rnd.randint(3, 6))) + "-2024", 0),
                 ("/".join(word() for _ in range(rnd.randint(3, 6))) + digits(1), 0),
@@ -300,11 +304,11 @@ def digest(text: str, detector: Detector) -> tuple:
     order = {k: i for i, k in enumerate((*BASE_KINDS, *EXTRA_KINDS))}
     every = sorted(base + detector.extra(text, base), key=lambda s: (s[1], order[s[0]], s[2]))
     say = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-    return (*[sum(s[0] == k for s in base) for k in BASE_KINDS], hashlib.sha256(say(base).encode()).hexdigest(), say(every))
+    return (*[sum(s[0] == k for s in base) for k in BASE_KINDS], hashlib.sha256(say(base).encode()).hexdigest(), say(every), len(every))
 
 
 def find_personal_data(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans (base and added ones) for every row of docs.
 
     The rules' spans always stay; the trees add spans of EXTRA_KINDS where a
     generator's proposal passes its kind's calibrated threshold and touches no base
@@ -316,14 +320,14 @@ def find_personal_data(docs: DataFrame, detector: Detector | None = None) -> Dat
     slim = id_and_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [digest(t, model) for t in batch.column(1).to_pylist()]
-            cols = list(zip(*got, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        Memo.enter("pii")
+        for batch in sliced(batches):
+            cols = zip(*[digest(t, model) for t in batch.column(1).to_pylist()], strict=True)
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return slim.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, spans: str, mark: str = "[{}]") -> str:
