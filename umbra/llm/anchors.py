@@ -8,24 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialise
+from umbra.llm.common import Memo, materialise, sliced
 from umbra.llm.exchange import meeting_positions, rolling
 
-MEMO = 400_000
+class _Symbols(Memo):
+    """Word -> a 64-bit value."""
 
-
-class _Symbols(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word, 91)
-        return made
+        return self.put(word, xxhash.xxh64_intdigest(word, 91), 180 + len(word))
 
 
-_memo = _Symbols()
+_memo = _Symbols("anchors", 48_000_000)
 
 
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +73,17 @@ def window_coder(window: int, block: int):
     return code
 
 
+NO_ID = -(1 << 63)  # stands for a null id on the way
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text to tell rows of one id apart, and the text with null as empty."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+
+
+def real_id(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -115,7 +118,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
     buckets of its windows; no pairs are formed.
 
     Null text has no words. Rows alike in id and text count as documents of their own,
-    so all their windows repeat. doc_id is an integer. Other columns are not read. An
+    so all their windows repeat; so do rows with a null id. doc_id is an integer. Other columns are not read. An
     empty table gives an empty result.
     """
     keyed = keyed_documents(docs)
@@ -123,7 +126,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
     kept_type = ", kept string" if with_text else ""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             split = [t.encode().split() for t in batch.column(2).to_pylist()]
             lines = [b" ".join(w) for w in split]
             cols = [batch.column(0), batch.column(1), pa.array([len(w) for w in split], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in lines], pa.string())]
@@ -134,7 +137,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
             yield pa.RecordBatch.from_arrays(cols, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             removed, digests, texts = [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = text.encode().split()
@@ -155,5 +158,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
     shorter = touched.mapInArrow(cut, f"doc_id long, key long, n_removed long, cut_sha256 string{', cut string' if with_text else ''}")
     both = plain.join(shorter, ["doc_id", "key"], "left")
     return both.select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), *([F.coalesce("cut", "kept").alias("kept")] if with_text else [])
+        real_id("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), *([F.coalesce("cut", "kept").alias("kept")] if with_text else [])
     )

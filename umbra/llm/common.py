@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +21,56 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most so many bytes of a text column (or one longer text): what Python makes of them stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            below = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, below + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+class Memo(dict):
+    """Values that a worker process remembers, up to a bound in bytes; then it starts anew."""
+
+    known: dict[str, list[Memo]] = {}
+
+    def __init__(self, owner: str, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+        self.known.setdefault(owner, []).append(self)
+
+    def put(self, key, value, size: int):
+        if self.size + size > self.most:
+            self.empty()
+        self.size += size
+        self[key] = value
+        return value
+
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
+
+    @classmethod
+    def enter(cls, owner: str) -> None:
+        """A task of this owner starts: what others remember in this process goes, since Spark uses its workers again."""
+        for name, memos in cls.known.items():
+            if name != owner:
+                for memo in memos:
+                    memo.empty()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is made up only where the session names none."""
+    """The checkpoint folder of the session, which all executors share. There is no other: a local one would lose what executors write."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-checkpoints-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return context.getCheckpointDir().get()
 
 

@@ -13,10 +13,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from umbra.llm.common import id_and_text
+from umbra.llm.common import Memo, id_and_text, sliced
 
 SPACE = "▁"  # stands for a space inside pieces
-CACHE = 250_000  # words, parts and pairs remembered by a worker process
+OWNER = "piece_codec"
+# bytes, roughly, that a worker process remembers: pairs of pieces, parts of words, and each of two generations of words
+PAIR_BYTES, PART_BYTES, WORD_BYTES = 12_000_000, 16_000_000, 32_000_000
 
 
 class PieceCodec:
@@ -46,15 +48,14 @@ class PieceCodec:
             raise ValueError("pieces with a space inside are not supported")
         self.pairs = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
         self.runs = {len(p) for p in self.plain if not p.strip(SPACE)}
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.compatible = Memo(OWNER, PAIR_BYTES)
         self.sound = {p for p in self.plain if (p.strip(SPACE) or p == SPACE) and self.remerge(p) == [p]}  # merging makes these
         self.trie = ahocorasick.Automaton()
         for p in self.sound:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
         self.shorter: dict[str, str | None] = {}
-        self.longest: dict[str, str] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts = Memo(OWNER, PART_BYTES)
         self.words = _Words(self)
 
     def remerge(self, text: str) -> list[str]:
@@ -73,9 +74,7 @@ class PieceCodec:
     def _joins(self, left: str, right: str) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) > CACHE:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self.remerge(left + right) == [left, right]
+            known = self.compatible.put((left, right), self.remerge(left + right) == [left, right], 160)
         return known
 
     def _prefix(self, token: str) -> str | None:
@@ -84,39 +83,30 @@ class PieceCodec:
             self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if token[:k] in self.sound), None)
         return self.shorter[token]
 
-    def _match(self, text: str, at: int) -> str:
-        """The longest piece at a position: the automaton's deepest state, or the longest piece that is a prefix of it."""
-        rest = text[at:] if at else text
-        state = rest[: self.trie.longest_prefix(rest)]
-        token = self.longest.get(state)
-        if token is None:
-            if len(self.longest) > CACHE:
-                self.longest.clear()
-            token = self.longest[state] = state if state in self.sound else self._prefix(state)
-        return token
-
     def backtrack(self, text: str) -> list[str]:
-        """Tokens of a part all of whose characters are pieces."""
-        open_at = (1 << (len(text) + 1)) - 1
+        """Tokens of a part all of whose characters are pieces. One pass of the automaton gives the longest match at each position."""
+        longest: list[str | None] = [None] * len(text)
+        for end, token in self.trie.iter(text):
+            longest[end - len(token) + 1] = token  # matches come by their ends, so the last one from a position is its longest
+        failed = bytearray(len(text) + 1)
         got: list[str] = []
-        at, token = 0, self._match(text, 0)
+        at, token = 0, longest[0]
         while at < len(text):
             while token is not None:
                 end = at + len(token)
-                if open_at >> end & 1 and (not got or self._joins(got[-1], token)):
+                if not failed[end] and (not got or self._joins(got[-1], token)):
                     got.append(token)
                     at = end
-                    token = self._match(text, at) if at < len(text) else None
+                    token = longest[at] if at < len(text) else None
                     break
                 token = self._prefix(token)
             else:
-                open_at &= ~(1 << at)
+                failed[at] = 1
                 if not got:
                     raise ValueError("no encoding")
                 last = got.pop()
                 at -= len(last)
                 token = self._prefix(last)  # the taken one leads nowhere
-                continue
         return got
 
     def _part(self, text: str) -> tuple[int, ...]:
@@ -140,11 +130,9 @@ class PieceCodec:
     def _known(self, part: str) -> tuple[int, ...]:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
             ids = self._part(part)
             if len(part) <= 64:
-                self.parts[part] = ids
+                self.parts.put(part, ids, 220 + 2 * len(part) + 8 * len(ids))
         return ids
 
     def spaces(self, n: int) -> list[int]:
@@ -209,11 +197,11 @@ class PieceCodec:
         return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]
 
 
-class _Words(dict):
+class _Words(Memo):
     """Word behind one space -> (ids joined by commas, what the ids decode to), both as bytes."""
 
     def __init__(self, codec: PieceCodec):
-        super().__init__()
+        super().__init__(OWNER, WORD_BYTES)
         self.codec = codec
         self.old: dict[str, tuple[bytes, bytes]] = {}  # the generation before, so that frequent words survive
 
@@ -223,12 +211,18 @@ class _Words(dict):
             ids = self.codec.word(SPACE + word)
             made = (",".join(map(str, ids)).encode(), (" " + self.codec.decode(ids)).encode())
         if len(word) <= 48:
-            if len(self) > CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[word] = made
+            size = 320 + 3 * len(word) + len(made[0])
+            if self.size + size > self.most:
+                held = dict(self)
+                self.empty()
+                self.old = held
+            self.put(word, made, size)
         return made
 
+    def empty(self) -> None:
+        super().empty()
+        self.old = {}
+
 
 def _utf8(raw: bytes) -> str:
     out = []
@@ -267,7 +261,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        Memo.enter(OWNER)
+        for batch in sliced(batches):
             counts, digests, saids, ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 csv, said = own.coded(text)

@@ -11,23 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import id_and_text, materialise, with_global_rank
+from umbra.llm.common import Memo, id_and_text, materialise, sliced, with_global_rank
 
 HALF = 1 << 15  # buckets of single tokens; as many again for pairs
 TOKENS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
-MEMO = 300_000
 LEXICON = 2_000  # words at most that mark toxic text
 
 
-class _Buckets(dict):
+class _Buckets(Memo):
     def __missing__(self, token: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        made = self[token] = xxhash.xxh32_intdigest(token)
-        return made
+        return self.put(token, xxhash.xxh32_intdigest(token), 170 + len(token))
 
 
-_memo = _Buckets()
+_memo = _Buckets("resampling", 32_000_000)
 
 
 def features(text: str) -> np.ndarray:
@@ -116,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
         total = np.zeros((2, 2 * HALF), np.int64)
         held: list[np.ndarray] = []
         words: dict[bytes, list[int]] = {}
-        for batch in batches:
+        Memo.enter("resampling")
+        for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = features(text)
                 held.append(found)
@@ -157,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
         model.alarm[bytes(r["word"])] = float(np.log(r["target"] / (r["raw"] + 0.5) / odds))
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [(*known[i], *model.scores(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i in known and _half(i) == 1]
             cols = list(zip(*got, strict=True)) or [[]] * 5
             kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
@@ -192,7 +189,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
     slim = id_and_text(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        Memo.enter("resampling")
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             got = [model.scores(t) for t in batch.column(1).to_pylist()]
             ratio, n, alarm = (np.array([g[k] for g in got], float) for k in range(3))
@@ -207,7 +205,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
             )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = slim.mapInArrow(score, f"doc_id {kind}, log_ratio double, n_features long, toxic_lift double, weight double, draw double, likely boolean")
+    # written out, since a range shuffle reads its input twice
+    scored = materialise(slim.mapInArrow(score, f"doc_id {kind}, log_ratio double, n_features long, toxic_lift double, weight double, draw double, likely boolean"))
     ranked = with_global_rank(scored, ["draw", "doc_id"])
     k = ranked.agg(F.sum(F.col("likely").cast("long"))).first()[0] or 0
     return ranked.select("doc_id", "log_ratio", "n_features", "toxic_lift", "weight", (F.col("rank") < F.lit(k)).alias("kept"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import component_labels, id_and_text, materialise
+from umbra.llm.common import Memo, component_labels, id_and_text, materialise, sliced
 
 BYTES = 8
 BLOCK = 4096  # most fingerprints of one posting that meet in one task, taken two blocks at a time
@@ -40,7 +40,8 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     slim = id_and_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        Memo.enter("simhash")
+        for batch in sliced(batches):
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
