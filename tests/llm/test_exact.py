@@ -77,7 +77,9 @@ def test_state_is_carried_over_windows():
     y = np.append(x[1:], 2)
     h, total = np.zeros((1, gru.HIDDEN), np.float32), 0.0
     for a, b in zip(x, y, strict=True):
-        h = gru.step(w, np.array([a]), h)[0]
+        room = [np.empty((1, k * gru.HIDDEN), np.float32) for k in (2, 1, 1, 1)]
+        gru.step(w, np.array([a]), h, *room)
+        h = room[-1]
         total += gru.outputs(w, h, np.array([b]), v.soft)[0][0]
     both = gru.document_logs(w, [x[:7], x], [y[:7], y], v.soft)
     assert math.isclose(both[1], total, rel_tol=1e-4)
@@ -88,10 +90,35 @@ def test_class_factored_chances_sum_to_one():
     w = gru.fresh_weights(v)
     w["class"] = np.random.default_rng(2).standard_normal(w["class"].shape).astype(np.float32)
     h = np.random.default_rng(3).standard_normal((1, gru.HIDDEN)).astype(np.float32)
-    logs = [gru.outputs(w, h, np.array([k]), v.soft)[0][0] for k in range(v.soft + 1)]
+    logs = [gru.outputs(w, h, np.array([k]), v.soft)[0][0] for k in range(v.soft + v.bands)]
     assert math.isclose(sum(map(math.exp, logs)), 1, rel_tol=1e-5)
 
 
+def test_bands_cover_all_other_words(monkeypatch):
+    """The shares in the bands sum to one as well, unknown words included."""
+    monkeypatch.setattr(gru, "SOFT", 4)
+    counts = np.array([50, 40, 30, 20, 9, 8, 7, 6, 5, 4, 3, 2, 2], np.int64)
+    v = gru.Vocabulary({bytes([97 + k]): k for k in range(13)}, counts, int(counts.sum()) + 5, 18)  # five words outside the head, once each
+    targets, logs = v.targets(), v.band_logs()
+    assert targets[:4].tolist() == [0, 1, 2, 3] and targets[4:8].tolist() == [4] * 4 and targets[8:13].tolist() == [5] * 5 and targets[gru.HEAD] == 6
+    for band, (own, n) in enumerate((((9, 8, 7, 6), 0), ((5, 4, 3, 2, 2), 0), ((1,) * 5, 1))):
+        assert math.isclose(sum((c + 0.1) / 10 ** logs[band] for c in own) + 0.1 * n / 10 ** logs[band], 1)
+
+
+def test_flat_vocabulary(spark, monkeypatch):
+    """More words of one count than the head has room for: the scores are whole all the same."""
+    monkeypatch.setattr(gru, "HEAD", 50)
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " " + text), (3, "w1 new new"), (28, "w2 other other")], "doc_id long, text string")  # 28 is held out
+    got = {r["doc_id"]: r for r in gru.score_documents(docs).collect()}
+    assert [got[k]["held_out"] for k in (1, 2, 3, 28)] == [zlib.crc32(str(k).encode()) % 10 == 0 for k in (1, 2, 3, 28)]
+    counts = Counter(w for k, r in enumerate((text, text + " " + text, "w1 new new", "w2 other other")) if not got[(1, 2, 3, 28)[k]]["held_out"] for w in [*r.split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    for k, r in zip((1, 2, 3, 28), (text, text + " " + text, "w1 new new", "w2 other other"), strict=True):
+        want = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*r.split(), "\n"])
+        assert math.isclose(got[k]["base_score"], want, rel_tol=1e-9) and got[k]["score"] < 0 and got[k]["train_tokens"] == n
+
+
 @pytest.mark.parametrize("n,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_walk_is_a_curve(spark, n, bits):
     side = 1 << bits

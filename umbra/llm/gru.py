@@ -13,18 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialise
+from umbra.llm.common import Memo, materialise, sliced
 
 END = b"\n"  # no word holds white space
 HEAD = 131_072  # bound on the frequent words whose counts every task gets; the others are looked up by a join
-SOFT = 512  # most frequent words that the network tells apart
-CLASSES = 16
+SOFT = 2_048  # most frequent words that the network tells apart
+CLASSES = 32  # of those words; the others are in classes by frequency, each double the one before
 TAILS = 64  # inputs for all other words, by their last bytes
-HIDDEN = 12
+HIDDEN = 16
 STEPS = 16  # length of truncated backpropagation
-LANES = 1_024
+LANES = 512
 FLUSH = 600_000
-ROUNDS = (0.25, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
+BLOCK = 1_024  # rows of scores worked on at once, so that they stay in the cache
+ROUNDS = (0.125, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
 GATHER = 16  # rows in which the weights of all tasks come to the driver
 
 Weights = dict[str, np.ndarray]
@@ -52,7 +53,8 @@ def count_words(train: DataFrame) -> DataFrame:
                 part = items[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        Memo.enter("gru")
+        for batch in sliced(batches, 0):
             for text in batch.column(0).to_pylist():
                 counts.update(words_of(text))
                 counts[END] += 1
@@ -65,24 +67,31 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """At most HEAD words with their counts, by falling count: all above a count that a small histogram tells."""
+    """At most HEAD words with their counts, by falling count: all above a count that a small histogram tells, and of the bin that it cuts as many as there is room for, chosen by hash."""
     bins = F.when(F.col("c") < 64, F.col("c")).otherwise(F.floor(F.log2("c") * 16)).cast("int")  # 63 is below log2(64) * 16
     sizes = counts.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()  # some 1,000 rows at most
-    cut, room = None, HEAD
+    low, share, room = 0, 1.0, HEAD
     for r in sorted(sizes, key=lambda r: -r["low"]):
-        room -= r["n"]
-        if room < 0:
+        if r["n"] > room:
+            low, share = r["low"], room / r["n"]
             break
-        cut = r["low"]
-    if cut is None:
-        return []
-    rows = counts.where(F.col("c") >= cut).toArrow()
-    return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda wc: (-wc[1], wc[0]))
+        room -= r["n"]
+    chosen = counts.where(F.col("c") >= low)
+    if share < 1:
+        cut = next(r["bin"] for r in sizes if r["low"] == low)
+        chosen = chosen.where((bins != cut) | (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < F.lit(int(0.98 * share * (1 << 30)))))
+    rows = chosen.toArrow()
+    return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda wc: (-wc[1], wc[0]))[:HEAD]
 
 
 @dataclass
 class Vocabulary:
-    """The head words by falling count, and the totals over all words."""
+    """The head words by falling count, and the totals over all words.
+
+    The first words are soft: the network tells them apart. The others are in bands by
+    rank, each double the one before, and what is outside the head in a last one. In
+    a band a word has its smoothed share of the counts, so every word has a chance.
+    """
 
     head: dict[bytes, int]
     counts: np.ndarray
@@ -96,12 +105,25 @@ class Vocabulary:
     @property
     def size(self) -> int:
         """Words in a class."""
-        return math.ceil(self.soft / CLASSES)
+        return math.ceil(max(self.soft, 1) / CLASSES)
+
+    def band_edges(self) -> list[int]:
+        """First ranks of the bands inside the head, and its end."""
+        edges = [self.soft]
+        while edges[-1] < len(self.counts):
+            edges.append(min(2 * edges[-1], len(self.counts)))
+        return edges
 
     @property
-    def tail_log(self) -> float:
-        """log10 of what a tail word's smoothed count is divided by inside its class."""
-        return math.log10(self.tokens - int(self.counts[: self.soft].sum()) + 0.1 * (self.distinct - self.soft + 1))
+    def bands(self) -> int:
+        return len(self.band_edges())
+
+    def band_logs(self) -> np.ndarray:
+        """log10 of what a word's smoothed count is divided by in each band."""
+        edges = self.band_edges()
+        own = [(int(self.counts[s:e].sum()), e - s) for s, e in zip(edges, edges[1:], strict=False)]
+        own.append((self.tokens - int(self.counts.sum()), self.distinct - len(self.counts) + 1))
+        return np.array([math.log10(c + 0.1 * n) for c, n in own])
 
     @property
     def base_log(self) -> float:
@@ -118,6 +140,15 @@ class Vocabulary:
             out[k] = k if k < self.soft else SOFT + _tail(w)
         return out
 
+    def targets(self) -> np.ndarray:
+        """What the network is to tell for each code: a soft word, or soft plus a band."""
+        out = np.full(HEAD + TAILS, self.soft + self.bands - 1, np.int32)
+        out[: self.soft] = np.arange(self.soft)
+        edges = self.band_edges()
+        for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
+            out[s:e] = self.soft + k
+        return out
+
 
 def _tail(word: bytes) -> int:
     return (word[-1] * 7 + (word[-2] if len(word) > 1 else 0)) % TAILS
@@ -142,68 +173,80 @@ def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
     size, soft = v.size, v.soft
     counts = np.zeros(CLASSES * size)
     counts[:soft] = v.counts[:soft]
-    per_class = np.append(counts.reshape(CLASSES, size).sum(axis=1), v.tokens - counts.sum()) + 0.1
+    per_class = np.concatenate([counts.reshape(CLASSES, size).sum(axis=1) + 0.1, 10 ** v.band_logs()])
+    filled = np.concatenate([np.arange(CLASSES) * size < soft, np.ones(v.bands, bool)])  # classes without words have no share
     inner = np.where(np.arange(CLASSES * size) < soft, np.log(counts + 0.1), -1e4).reshape(CLASSES, size)
+    inner -= inner.max(axis=1, keepdims=True)
     return {
         "in": (r.standard_normal((START + 1, 3 * HIDDEN)) * 0.3).astype(np.float32),
         "rec": (r.standard_normal((HIDDEN, 3 * HIDDEN)) / math.sqrt(HIDDEN)).astype(np.float32),
-        "class": np.zeros((HIDDEN, CLASSES + 1), np.float32),
-        "class_bias": np.where(np.append(np.arange(CLASSES) * size < soft, True), np.log(per_class / per_class.sum()), -1e4).astype(np.float32),  # classes without words have no share
-        "word": np.zeros((CLASSES, size, HIDDEN), np.float32),
+        "class": np.zeros((HIDDEN, CLASSES + v.bands), np.float32),
+        "class_bias": np.where(filled, np.log(per_class / per_class[filled].sum()), -1e4).astype(np.float32),
+        "word": np.zeros((CLASSES, HIDDEN, size), np.float32),
         "word_bias": inner.astype(np.float32),
     }
 
 
-def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One gated step: (new state, what backpropagation needs). The logistic function is a shifted tanh."""
+def step(w: Weights, x: np.ndarray, h: np.ndarray, gates: np.ndarray, inner: np.ndarray, fresh: np.ndarray, out: np.ndarray) -> None:
+    """One gated step from state h into out; gates, inner and fresh get what backpropagation needs. The logistic function is a shifted tanh."""
     a, g = w["in"][x], h @ w["rec"]
-    gates = np.tanh((a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]) * np.float32(0.5))
+    np.add(a[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=gates)
+    gates *= 0.5
+    np.tanh(gates, out=gates)
     gates += 1
-    gates *= np.float32(0.5)
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = g[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * inner)
-    return n + z * (h - n), (z, r, n, inner, h)
-
-
-def _chances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials of x, their sums by row). Scores start as log shares and stay small; the bound keeps them finite."""
-    e = np.exp(np.minimum(x, 60))
-    return e, np.maximum(e @ np.ones(x.shape[1], x.dtype), np.finfo(x.dtype).tiny)
+    gates *= 0.5
+    inner[:] = g[:, 2 * HIDDEN :]
+    np.multiply(gates[:, HIDDEN:], inner, out=fresh)
+    fresh += a[:, 2 * HIDDEN :]
+    np.tanh(fresh, out=fresh)
+    np.subtract(h, fresh, out=out)
+    out *= gates[:, :HIDDEN]
+    out += fresh
+
+
+def _log_softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(natural log share of each target among the scores h w + bias, gradient of those scores). Scores start as log shares and stay small; the bound keeps them finite."""
+    scores = h @ w
+    scores += bias
+    np.minimum(scores, 60, out=scores)
+    rows = np.arange(len(target))
+    logs = scores[rows, target]
+    np.exp(scores, out=scores)
+    total = np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), np.finfo(scores.dtype).tiny)
+    logs -= np.log(total)
+    if not learning:
+        return logs, None
+    scores *= (1 / total)[:, None]
+    scores[rows, target] -= 1
+    return logs, scores
 
 
 def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(natural log probability of each target, gradient for h). A target outside the soft words stands for the tail class."""
-    size = w["word"].shape[1]
-    order = np.argsort(np.where(y < soft, y // size, CLASSES).astype(np.uint8), kind="stable")
-    h, y = h[order], y[order]  # class by class
-    group = np.where(y < soft, y // size, CLASSES)
+    """(natural log probability of each target, gradient for h). A target from soft on stands for a band."""
+    size = w["word"].shape[2]
+    group = np.where(y < soft, y // size, y + (CLASSES - soft))
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    h, y, group = h[order], y[order], group[order]  # class by class
     bounds = np.searchsorted(group, np.arange(CLASSES + 1))
-    rows = np.arange(len(y))
-    scores = h @ w["class"] + w["class_bias"]
-    e, total = _chances(scores)
-    logs = np.minimum(scores[rows, group], 60) - np.log(total)
-    back = None
-    if grad is not None:
-        e *= (1 / total)[:, None]
-        e[rows, group] -= 1
-        grad["class"] += h.T @ e
-        grad["class_bias"] += np.ones(len(e), e.dtype) @ e
-        back = e @ w["class"].T
+    logs, learning = np.empty(len(y)), grad is not None
+    back = np.empty_like(h) if learning else None
+    for s in range(0, len(y), BLOCK):
+        own = h[s : s + BLOCK]
+        logs[s : s + BLOCK], e = _log_softmax(own, w["class"], w["class_bias"], group[s : s + BLOCK], learning)
+        if learning:
+            grad["class"] += own.T @ e
+            grad["class_bias"] += np.ones(len(e), e.dtype) @ e
+            back[s : s + BLOCK] = e @ w["class"].T
     for c in range(CLASSES):
-        s, t = bounds[c], bounds[c + 1]
-        if s == t:
-            continue
-        own, target, rows = h[s:t], y[s:t] - c * size, np.arange(t - s)
-        scores = own @ w["word"][c].T + w["word_bias"][c]
-        e, total = _chances(scores)
-        logs[s:t] += np.minimum(scores[rows, target], 60) - np.log(total)
-        if grad is not None:
-            e *= (1 / total)[:, None]
-            e[rows, target] -= 1
-            grad["word"][c] += e.T @ own
-            grad["word_bias"][c] += np.ones(t - s, e.dtype) @ e
-            back[s:t] += e @ w["word"][c]
+        for s in range(bounds[c], bounds[c + 1], BLOCK):
+            t = min(s + BLOCK, bounds[c + 1])
+            own = h[s:t]
+            found, e = _log_softmax(own, w["word"][c], w["word_bias"][c], y[s:t] - c * size, learning)
+            logs[s:t] += found
+            if learning:
+                grad["word"][c] += own.T @ e
+                grad["word_bias"][c] += np.ones(t - s, e.dtype) @ e
+                back[s:t] += e @ w["word"][c].T
     out = np.empty(len(y))
     out[order] = logs
     if back is not None:
@@ -216,28 +259,29 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights |
 def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, soft: int) -> tuple[Weights, np.ndarray, float]:
     """Truncated backpropagation over x, y of shape (steps, lanes) from state h: (gradient, last state, sum of logs)."""
     grad = {k: np.zeros_like(v) for k, v in w.items()}
-    alive = (x != START).astype(w["rec"].dtype)[:, :, None]  # the state before a document's first word is zero
-    kept, states = [], []
+    kind, shape = w["rec"].dtype, (*x.shape, HIDDEN)
+    alive = (x != START).astype(kind)[:, :, None]  # the state before a document's first word is zero
+    gates = np.empty((*x.shape, 2 * HIDDEN), kind)
+    before, inner, n, states = (np.empty(shape, kind) for _ in range(4))
     for t in range(len(x)):
-        h, cache = step(w, x[t], h * alive[t])
-        kept.append(cache)
-        states.append(h)
-    logs, back = outputs(w, np.concatenate(states), y.reshape(-1), soft, grad)
-    back = back.reshape(len(x), -1, HIDDEN)
-    z, r, n, inner, before = (np.stack(c) for c in zip(*kept, strict=True))
+        np.multiply(h, alive[t], out=before[t])
+        step(w, x[t], before[t], gates[t], inner[t], n[t], states[t])
+        h = states[t]
+    logs, back = outputs(w, states.reshape(-1, HIDDEN), y.reshape(-1), soft, grad)
+    back = back.reshape(shape)
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
     to_n = (1 - z) * (1 - n * n)
     to_z = (before - n) * z * (1 - z)
     to_r = inner * r * (1 - r)
-    inputs = np.empty((len(x), x.shape[1], 3 * HIDDEN), z.dtype)
+    inputs = np.empty((*x.shape, 3 * HIDDEN), kind)
     through = np.empty_like(inputs)
     ahead = np.zeros_like(h)
     for t in range(len(x) - 1, -1, -1):
         d = back[t] + ahead
-        dn = d * to_n[t]
         own = inputs[t]
         np.multiply(d, to_z[t], out=own[:, :HIDDEN])
-        np.multiply(dn, to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
-        own[:, 2 * HIDDEN :] = dn
+        np.multiply(d, to_n[t], out=own[:, 2 * HIDDEN :])
+        np.multiply(own[:, 2 * HIDDEN :], to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
         through[t] = own
         through[t][:, 2 * HIDDEN :] *= r[t]
         ahead = (d * z[t] + through[t] @ w["rec"].T) * alive[t]
@@ -270,16 +314,16 @@ class Trainer:
             self.w[k] -= rate * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
 
     def learn(self, x: np.ndarray, y: np.ndarray, soft: int) -> None:
-        """x and y are the tokens of whole documents behind one another; they are cut in lanes that run side by side."""
-        lanes = max(1, min(LANES, len(x) // (STEPS * 40)))
-        length = len(x) // lanes
-        if length < 1:
-            return
-        x, y = (a[: lanes * length].reshape(lanes, length).T for a in (x, y))
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, length, STEPS):
-            grad, h, _ = window_gradient(self.w, np.ascontiguousarray(x[t : t + STEPS]), np.ascontiguousarray(y[t : t + STEPS]), h, soft)
-            self.update(grad, lanes * len(x[t : t + STEPS]))
+        """x and y are the tokens of whole documents behind one another; they are cut in lanes that run side by side, and what is left over runs behind in one."""
+        while len(x):
+            lanes = max(1, min(LANES, len(x) // (STEPS * 40)))
+            length = len(x) // lanes
+            a, b = (v[: lanes * length].reshape(lanes, length).T for v in (x, y))
+            h = np.zeros((lanes, HIDDEN), np.float32)
+            for t in range(0, length, STEPS):
+                grad, h, _ = window_gradient(self.w, np.ascontiguousarray(a[t : t + STEPS]), np.ascontiguousarray(b[t : t + STEPS]), h, soft)
+                self.update(grad, lanes * len(a[t : t + STEPS]))
+            x, y = x[lanes * length :], y[lanes * length :]
 
 
 def _pack(w: Weights) -> bytes:
@@ -299,16 +343,17 @@ def train_round(train: DataFrame, w: Weights, v: Vocabulary, rate: float) -> Wei
     chunk = LANES * STEPS * 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes, inputs = Trainer(w, rate), v.codes(), v.inputs()
-        end = min(v.head.get(END, HEAD), v.soft)
+        own, codes, inputs, targets = Trainer(w, rate), v.codes(), v.inputs(), v.targets()
+        end = targets[v.head.get(END, HEAD)]
+        Memo.enter("gru")
         xs: list[np.ndarray] = []
         ys: list[np.ndarray] = []
         held = total = 0
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for text in batch.column(0).to_pylist():
                 ids = codes.of(words_of(text))
                 xs.append(np.append(np.int32(START), inputs[ids]))
-                ys.append(np.append(np.minimum(ids, np.int32(v.soft)), np.int32(end)))
+                ys.append(np.append(targets[ids], end))
                 held += len(ids) + 1
                 if held >= chunk:
                     own.learn(np.concatenate(xs), np.concatenate(ys), v.soft)
@@ -347,12 +392,15 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     begins = np.cumsum(lengths) - lengths
     out = np.zeros(len(xs))
     h = np.zeros((len(xs), HIDDEN), np.float32)
+    gates, more = np.empty((len(xs), 2 * HIDDEN), np.float32), [np.empty((len(xs), HIDDEN), np.float32) for _ in range(2)]
     for t in range(0, int(lengths[0]), 2 * STEPS):
         states, places, owners = [], [], []
         for s in range(t, min(t + 2 * STEPS, int(lengths[0]))):
             now = int(np.searchsorted(-lengths, -s, side="left"))  # documents longer than s
             at = begins[:now] + s
-            h = step(w, x[at], h[:now])[0]
+            new = np.empty((now, HIDDEN), np.float32)
+            step(w, x[at], h[:now], gates[:now], *(m[:now] for m in more), new)
+            h = new
             states.append(h)
             places.append(at)
             owners.append(np.arange(now))
@@ -363,19 +411,19 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     return back
 
 
-def score_documents(docs: DataFrame, unit_bytes: int = 16_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, unit_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     Words are runs of other than ASCII white space with A-Z lower-cased, and an end.
     Documents whose CRC-32 of the id is a multiple of 10 are held out; counts come from
     all others, and so do the weights: in each round every task learns from its whole
-    documents by truncated backpropagation, and the tasks' weights are averaged. The
-    output goes through classes of words of like frequency; words outside the SOFT most
-    frequent form the last class, in which each has its smoothed share of the counts,
-    so the model gives each word a chance. The HEAD most frequent words go to every task
-    with their counts; the counts of the others are looked up by a join, whose keys are
-    rare words by construction and hence never hot. State is carried through the whole
-    document.
+    documents by truncated backpropagation, and the tasks' weights are averaged. So the
+    weights depend on how the documents are dealt to tasks. The output goes through
+    classes that cover all words: those of the SOFT most frequent words, told apart by
+    the network, and bands of rarer ones, in which each word has its smoothed share of
+    the counts. The HEAD most frequent words go to every task with their counts; of the
+    others each row sends each word once with how often it has it, and the counts come by
+    a join. State is carried through the whole document.
 
     Null text has only an end. Repeated rows count each. A null doc_id is not held out.
     Without training tokens score and base_score are zero. Columns other than doc_id
@@ -388,42 +436,48 @@ def score_documents(docs: DataFrame, unit_bytes: int = 16_000_000) -> DataFrame:
     top = frequent(counts)
     v = Vocabulary({word: k for k, (word, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), total["n"], total["v"])
     w = None
-    if top:
+    if v.tokens:
         w = fresh_weights(v)
         done = 0.0
         for k, upto in enumerate(ROUNDS):
             share = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1000)) / F.lit(1000.0)
-            w = train_round(train.where((share >= done) & (share < upto)), w, v, rate=0.02 if k == 0 else 0.01)
+            w = train_round(train.where((share >= done) & (share < upto)), w, v, rate=0.02 / (k + 1))
             done = upto
+    rest_log = float(v.band_logs()[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         size = 0
-        codes, inputs, end = v.codes(), v.inputs(), v.head.get(END, HEAD)
+        codes, inputs, targets, end = v.codes(), v.inputs(), v.targets(), v.head.get(END, HEAD)
+        shares = np.concatenate([v.band_logs()[targets[v.soft : len(v.counts)] - v.soft], np.zeros(0)])  # of head words that the network doesn't tell apart
+        Memo.enter("gru")
 
         def out(rows: list[tuple], first: int) -> pa.RecordBatch:
-            xs, ys, cols, rest = [], [], [], []
+            xs, ys, cols, rest, times = [], [], [], [], []
             for _, _, text in rows:
                 words = words_of(text)
                 ids = codes.of(words)
                 every = np.append(ids, np.int32(end))
                 low = every[every < HEAD]
-                logs = np.log10(v.counts[low] + 0.1) if len(low) else np.zeros(0)
-                cols.append((len(every), len(low), float(logs.sum()), float(logs[low >= v.soft].sum()), int((every >= v.soft).sum())))
-                rest.append([words[k] for k in np.flatnonzero(ids >= HEAD).tolist()] + [END] * (end >= HEAD))
+                logs = np.log10(v.counts[low] + 0.1)
+                banded = low >= v.soft
+                cols.append((len(every), len(low), float(logs.sum()), float((logs[banded] - shares[low[banded] - v.soft]).sum())))
+                rare = Counter([words[k] for k in np.flatnonzero(ids >= HEAD).tolist()] + [END] * (end >= HEAD))
+                rest.append(list(rare))
+                times.append(list(rare.values()))
                 if w is not None:
                     xs.append(np.append(np.int32(START), inputs[ids]))
-                    ys.append(np.minimum(every, np.int32(v.soft)))
+                    ys.append(targets[every])
             neural = document_logs(w, xs, ys, v.soft) / math.log(10) if w is not None else np.zeros(len(rows))
-            n, low, base, tail, outside = zip(*cols, strict=True)
+            n, low, base, tail = zip(*cols, strict=True)
             arrays = [
                 pa.array(np.arange(first, first + len(rows)) + part), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.bool_()), pa.array(n, pa.int64()), pa.array(low, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(tail, pa.float64()), pa.array(outside, pa.int64()), pa.array(neural, pa.float64()), pa.array(rest, pa.list_(pa.binary())),
+                pa.array(base, pa.float64()), pa.array(tail, pa.float64()), pa.array(neural, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             id_type = batch.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
@@ -434,12 +488,12 @@ def score_documents(docs: DataFrame, unit_bytes: int = 16_000_000) -> DataFrame:
         if held:
             yield out(held, made)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "tail_head", "n_tail", "neural", "rest"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "tail_head", "neural", "rest", "times"]
     kind = own.schema["doc_id"].dataType.simpleString()
-    scored = materialise(own.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, tail_head double, n_tail long, neural double, rest array<binary>"))
-    rare = scored.select("row", F.explode("rest").alias("word")).join(counts, "word", "left")
-    tail = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail_rest"), F.count("c").alias("known_rest"))
-    both = scored.drop("rest").join(tail, "row", "left").na.fill(0, ["known_rest"]).na.fill(0.0, ["tail_rest"])
+    scored = materialise(own.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, tail_head double, neural double, rest array<binary>, times array<long>"))
+    rare = scored.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("times")))).join(counts, "word", "left")
+    tail = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail_rest"), F.sum("times").alias("n_rest"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("known_rest"))
+    both = scored.drop("rest", "times").join(tail, "row", "left").na.fill(0, ["known_rest", "n_rest"]).na.fill(0.0, ["tail_rest"])
     nothing = F.lit(w is None)
     return both.select(
         "doc_id",
@@ -448,5 +502,5 @@ def score_documents(docs: DataFrame, unit_bytes: int = 16_000_000) -> DataFrame:
         (F.col("n_head") + F.col("known_rest")).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         F.when(nothing, F.lit(0.0)).otherwise(F.col("base_head") + F.col("tail_rest") - F.col("n_tokens") * F.lit(v.base_log)).alias("base_score"),
-        F.when(nothing, F.lit(0.0)).otherwise(F.col("neural") + F.col("tail_head") + F.col("tail_rest") - F.col("n_tail") * F.lit(v.tail_log if top else 0.0)).alias("score"),
+        F.when(nothing, F.lit(0.0)).otherwise(F.col("neural") + F.col("tail_head") + F.col("tail_rest") - F.col("n_rest") * F.lit(rest_log)).alias("score"),
     )
