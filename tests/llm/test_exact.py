@@ -410,3 +410,33 @@ def test_op9_sql(spark, texts):
         want = db.execute(oracle_sql()["op9_exact_dedup"]).df().sort_values("doc_id").reset_index(drop=True)
     got = rows(spark, "op9_exact_dedup").reset_index().sort_values("doc_id").reset_index(drop=True)[list(want.columns)]
     assert (got.astype(str) == want.astype(str)).all().all()
+
+
+def test_near_copies_at_a_similarity(spark):
+    """Copies with replaced words: pairs from 0.85 on link, 0.8 to 0.85 mostly, unrelated texts never; a large group of copies is one class."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    shingles = lambda words: {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+    rows, pairs = [], []
+    for k in range(150):
+        first = [r.choice(vocabulary) for _ in range(r.randint(80, 400))]
+        second = [r.choice(vocabulary) if r.random() < r.choice([0.005, 0.01, 0.02]) else w for w in first]
+        a, b = shingles(first), shingles(second)
+        pairs.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    base = [r.choice(vocabulary) for _ in range(300)]
+    rows += [(1000 + k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(0, 300)]
+    rows += [(None, rows[0][1]), (None, "a text of its own without an id")]
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
+    named = {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None}
+    linked = [named[2 * k] == named[2 * k + 1] for k in range(150)]
+    assert all(x for x, j in zip(linked, pairs, strict=True) if j >= 0.85)
+    near = [x for x, j in zip(linked, pairs, strict=True) if 0.8 <= j < 0.85]
+    assert sum(near) >= 0.8 * len(near)
+    assert {named[i] for i in named if i >= 1000} == {1000} and all(named[i] // 2 == i // 2 for i in named if i < 1000)
+    assert sorted(str(x["component_id"]) for x in got if x["doc_id"] is None) == ["0", "None"]
+
+
+def test_postings_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_BLOCK", 16)
+    test_near_copies_at_a_similarity(spark)

@@ -63,8 +63,8 @@ def rolled_at(symbols: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     return mix((total[at + width] - total[at]) * down[at])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes], list]]:
-    """(ids, keys, texts, extra) for up to UNIT_BYTES of text, or one longer text."""
+def _units(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[tuple[list[int], list[int], list[bytes], list]]:
+    """(ids, keys, texts, extra) for up to unit_bytes of text, or one longer text."""
     ids: list[int] = []
     keys: list[int] = []
     texts: list[bytes] = []
@@ -73,8 +73,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
     for batch in batches:
         more = batch.column(3) if batch.num_columns > 3 else None
         for k in range(batch.num_rows):
-            text = (batch.column(2)[k].as_py() or "").encode()
-            if size + len(text) > UNIT_BYTES and ids:
+            text = batch.column(2)[k].as_py() or b""
+            text = text.encode() if isinstance(text, str) else text
+            if size + len(text) > unit_bytes and ids:
                 yield ids, keys, texts, extra
                 ids, keys, texts, extra, size = [], [], [], [], 0
             ids.append(batch.column(0)[k].as_py())
@@ -86,10 +87,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
         yield ids, keys, texts, extra
 
 
-def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool) -> DataFrame:
+def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """(doc_id, key, hits): for each document the sorted positions whose codes meet another.
 
-    keyed has doc_id long, key long, text and maybe one column of integer arrays that
+    keyed has doc_id long, key long, text (or bytes) and maybe one column of integer arrays that
     the coder gets. anchored: a code meets the flagged codes of other positions;
     otherwise it meets any equal code elsewhere. Codes count as equal by 64 bits (31 if
     anchored, for a filter that is verified later) besides the bucket. Documents with no
@@ -100,7 +101,7 @@ def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool) -> DataFra
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, (ids, keys, texts, extra) in enumerate(_units(batches)):
+        for number, (ids, keys, texts, extra) in enumerate(_units(batches, unit_bytes)):
             lengths, at, codes, flags = coder(texts, extra)
             about = np.concatenate([np.array(ids, np.int64), np.array(keys, np.int64), lengths.astype(np.int64)]).tobytes()
             own = ((codes >> np.uint64(44)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,40 +13,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.common import Memo, component_labels, id_and_text, materialise, sliced
+from umbra.llm.exchange import MULTIPLIER, meeting_positions, mix
 
 BYTES = 8
 BLOCK = 4096  # most fingerprints of one posting that meet in one task, taken two blocks at a time
 
 
-def fingerprint(text: str, width: int) -> int:
-    """64 bits, each set if set in over half of the shingles' XXH64 hashes; 0 if there are no words."""
+# byte -> its bits in the lanes of a word, lowest first
+_LANES = np.array([sum((b >> j & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For hashes of shape (shingles, words): words in which a bit is set if it is in over half of the shingles."""
+    raw = hashes.view(np.uint8).reshape(len(hashes), -1)
+    counts = np.zeros((raw.shape[1], 8), np.int64)
+    for at in range(0, len(raw), 255):  # lanes hold up to 255
+        counts += _LANES[raw[at : at + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").ravel().view(np.uint64)
+
+
+def _longer(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Shape (shingles, words): the hashes themselves, then others made from them."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for k in range(1, words):
+        h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = h ^ (h >> np.uint64(31))
+    return out
+
+
+def long_fingerprint(text: str, width: int, words: int) -> np.ndarray:
+    """words * 64 bits, each set if set in over half of the hashes of the shingles; zero if there are no words. The first 64 are by XXH64 itself."""
     raw = text.encode().lower().split()  # bytes: only ASCII letters and white space count
     if not raw:
-        return 0
+        return np.zeros(words, np.uint64)
     if len(raw) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(raw), 42)
-    hashes = np.fromiter(map(_hash, map(b" ".join, zip(*(raw[k:] for k in range(width)), strict=False))), np.uint64, len(raw) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "little")
+        hashes = np.array([_hash(b" ".join(raw))], np.uint64)
+    else:
+        hashes = np.fromiter(map(_hash, map(b" ".join, zip(*(raw[k:] for k in range(width)), strict=False))), np.uint64, len(raw) - width + 1)
+    return _majority(_longer(hashes, words)) if words > 1 else _majority(hashes[:, None])
+
+
+def fingerprint(text: str, width: int) -> int:
+    """64 bits, each set if set in over half of the shingles' XXH64 hashes; 0 if there are no words."""
+    return int(long_fingerprint(text, width, 1)[0])
 
 
 def _hash(shingle: bytes) -> int:
     return xxhash.xxh64_intdigest(shingle, 42)
 
 
-def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 5, words: int = 1) -> DataFrame:
+    """doc_id and the fingerprint: a signed long, or bytes where it has more words."""
     slim = id_and_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.enter("simhash")
         for batch in sliced(batches):
-            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = [long_fingerprint(t, width, words) for t in batch.column(1).to_pylist()]
+            col = pa.array(np.concatenate(found).view(np.int64)) if words == 1 else pa.array([f.tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), col], ["doc_id", "fp"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp {'long' if words == 1 else 'binary'}")
 
 
 def posting_keys(differ: int) -> list[tuple[int, ...]]:
@@ -155,24 +186,152 @@ def near_links(nodes: DataFrame, differ: int = 3) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, width: int = 5, differ: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs.
+WORDS = 8  # 64-bit words of a long fingerprint
+SHARED = 8  # of its 64 bytes a pair must share so many: at a similarity of 0.8 it shares 17 on average, and 8 with a chance of 0.998
+# steps from a byte position to the others of its set: any two sets share one position at most
+TRIPLES = ((1, 3), (5, 12), (9, 25))
+QUADS = ((1, 3, 7), (5, 13, 22), (8, 19, 31), (10, 21, 35), (11, 23, 41), (12, 27, 44), (14, 29, 47), (15, 32, 50), (16, 33, 53), (18, 38, 59), (20, 43, 57), (24, 49, 61))
+MARGIN = 0.02  # by which the estimate may fall short of the similarity asked for, so that pairs at the limit are seldom lost
+LONG_BLOCK = 1 << 16  # most long fingerprints of one posting that meet in one task, taken two blocks at a time
+
+
+def differing_bits(similarity: float, bits: int = 64 * WORDS) -> float:
+    """Bits in which fingerprints of two equally long texts of that Jaccard similarity differ on average: the angle between their shingle vectors."""
+    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def posting_sets(n: int) -> np.ndarray:
+    """Sets of byte positions of a long fingerprint: of three, or, for more nodes than such postings tell apart, of four."""
+    steps = TRIPLES if n <= 1 << 22 else QUADS
+    return np.array([[i, *((i + s) % (8 * WORDS) for s in more)] for more in steps for i in range(8 * WORDS)])
+
+
+def posting_codes(fps: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each fingerprint (rows of bytes) and set: the number of the set and the bytes at its positions."""
+    code = np.broadcast_to(np.arange(len(sets), dtype=np.uint64), (len(fps), len(sets)))
+    for k in range(sets.shape[1]):
+        code = (code << np.uint64(8)) | fps[:, sets[:, k]].astype(np.uint64)
+    return mix(code * MULTIPLIER)
+
+
+def connecting_links(fps: np.ndarray, differ: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of rows (bytes) that share SHARED bytes or more and differ in at most differ bits.
+
+    Grown from one row after another: those reached are compared with those not yet
+    reached only, so a group of copies costs a few passes and no pairs.
+    """
+    words = np.ascontiguousarray(fps).view(np.uint64)
+    left = np.arange(len(fps))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            step = max(1, (1 << 16) // len(left))
+            now, reached = reached[:step], reached[step:]
+            shared = (fps[now][:, None, :] == fps[left][None, :, :]).sum(axis=2, dtype=np.uint8)
+            a, b = np.nonzero(shared >= SHARED)
+            near = np.bitwise_count(words[np.array(now)[a]] ^ words[left[b]]).sum(axis=1, dtype=np.int64) <= differ
+            a, b = a[near], b[near]
+            hit, at = np.unique(b, return_index=True)
+            for x, y in zip(a[at].tolist(), left[hit].tolist(), strict=True):
+                yield int(now[x]), y
+            reached += left[hit].tolist()
+            left = np.delete(left, hit)
+
+
+def long_links(nodes: DataFrame, differ: int) -> DataFrame:
+    """Links (a, b) that connect all nodes (node long, fp bytes; distinct fp) found near each other.
+
+    Postings are kept by sets of byte positions. Which codes meet at all is told by a
+    packed exchange, so only postings of two or more are made as rows. In a posting
+    shared bytes are tallied, pairs with too few dropped, and the others verified bit by
+    bit; it gives a forest of its links. One of over LONG_BLOCK fingerprints is dealt in
+    blocks of which each two meet.
+    """
+    sets = posting_sets(nodes.count())
+
+    def code(texts: list[bytes], _: list):
+        codes = posting_codes(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), sets)
+        return np.full(len(texts), len(sets)), np.arange(codes.size), codes.ravel(), np.zeros(codes.size, bool)
+
+    met = meeting_positions(nodes.select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("text")), code, anchored=False, unit_bytes=1 << 18)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                fps = part.column(1).to_pylist()
+                hits = [h.values.to_numpy(zero_copy_only=False) for h in part.column(2)]
+                codes = posting_codes(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), sets)
+                owner = np.repeat(np.arange(len(fps)), [len(h) for h in hits])
+                cols = [pa.array(codes[owner, np.concatenate(hits)].view(np.int64)), part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "node", "fp"])
+
+    posted = nodes.join(met.select(F.col("doc_id").alias("node"), "hits"), "node").select("node", "fp", "hits").mapInArrow(post, "key long, node long, fp binary")
+    posted = materialise(posted)
+    large = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_BLOCK)
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(LONG_BLOCK)).cast("int")
+    shared = posted.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = shared.select("node", "fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp"
+    )
+    grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        seen: set[tuple[int, int]] = set()  # a pair of copies meets in many postings
+
+        def links() -> pa.RecordBatch:
+            fps = np.frombuffer(b"".join(f for _, f in held), np.uint8).reshape(len(held), -1)
+            found = {(held[x][0], held[y][0]) for x, y in connecting_links(fps, differ)} - seen
+            if len(seen) < 200_000:
+                seen.update(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+        at = None
+        for batch in batches:
+            for key, i, j, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != at:
+                    if len(held) > 1:
+                        yield links()
+                    at, held = (key, i, j), []
+                held.append((node, fp))
+        if len(held) > 1:
+            yield links()
+
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
+NO_ID = 1 << 62  # from here on nodes stand for texts that no row with an id has
+
+
+def simhash_groups(docs: DataFrame, width: int = 5, differ: int = 3, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, or 128) and component_id for every row of docs.
+
+    Documents link when their 64-bit fingerprints differ in at most differ bits, without
+    a miss. If a similarity is given, fingerprints of 512 bits link instead when the
+    bits that differ are as few as at that Jaccard similarity of shingles less MARGIN.
+    That estimate has an error of 0.04, and the index is by chance as well: of pairs at
+    the limit some are missed, of those 0.05 above it hardly any.
 
-    Documents link when their fingerprints differ in at most differ bits;
     component_id is the smallest doc_id reachable over links. Equal fingerprints are one
     node, so copies cost one row however many there are. Repeated rows share a
     component. Texts of fewer than width words have one shingle; texts without words
-    (null and empty ones too) have fingerprint zero and link like any other. Columns
-    other than doc_id and text are not read; doc_id is a number without nulls.
+    (null and empty ones too) have fingerprint zero and link like any other. Rows with
+    a null id link, too, and are named by the ids they reach, or null. Columns other
+    than doc_id and text are not read; doc_id is a number below 2**62.
     """
-    prints = materialise(fingerprints(docs, width))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    labels = component_labels(near_links(nodes, differ))
+    long = similarity is not None
+    prints = materialise(fingerprints(docs, width, WORDS if long else 1))
+    stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(NO_ID - 1))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", F.coalesce("least", stand_in).alias("node")))
+    labels = component_labels(long_links(nodes, math.floor(differing_bits(similarity - MARGIN))) if long else near_links(nodes, differ))
     named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.hex("fp")) if long else F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id")
+    return prints.join(named, "fp").select("doc_id", shown.alias("fingerprint"), component)
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, differ: int = 3) -> DataFrame:
-    """The row with the smallest doc_id of each component stays, all columns as they were."""
-    kept = simhash_groups(docs, width, differ).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+def drop_near_copies(docs: DataFrame, width: int = 5, differ: int = 3, similarity: float | None = None) -> DataFrame:
+    """The row with the smallest doc_id of each component stays, all columns as they were; where no row of a component has an id, all stay."""
+    kept = simhash_groups(docs, width, differ, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
