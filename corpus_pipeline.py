@@ -20,8 +20,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; fingerprints of five-word shingles, at most 3 of 64 bits apart (a similarity of 0.95)."""
-    return simhash.drop_near_copies(docs, width=5, differ=3)
+    """One document of each group stays; shingles of five words, a similarity of 0.8 as 512-bit fingerprints estimate it."""
+    return simhash.drop_near_copies(docs, width=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
