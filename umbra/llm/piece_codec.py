@@ -18,7 +18,7 @@ from umbra.llm.common import Memo, id_and_text, sliced
 SPACE = "▁"  # stands for a space inside pieces
 OWNER = "piece_codec"
 # bytes, roughly, that a worker process remembers: pairs of pieces, parts of words, and each of two generations of words
-PAIR_BYTES, PART_BYTES, WORD_BYTES = 12_000_000, 16_000_000, 32_000_000
+PAIR_BYTES, PART_BYTES, WORD_BYTES = 32_000_000, 40_000_000, 48_000_000
 
 
 class PieceCodec:
@@ -52,9 +52,10 @@ class PieceCodec:
         self.sound = {p for p in self.plain if (p.strip(SPACE) or p == SPACE) and self.remerge(p) == [p]}  # merging makes these
         self.trie = ahocorasick.Automaton()
         for p in self.sound:
-            self.trie.add_word(p, p)
+            if len(p) > 1:  # each character of a part is a piece anyway
+                self.trie.add_word(p, len(p))
         self.trie.make_automaton()
-        self.shorter: dict[str, str | None] = {}
+        self.shorter: dict[str, str] = {}
         self.parts = Memo(OWNER, PART_BYTES)
         self.words = _Words(self)
 
@@ -72,42 +73,43 @@ class PieceCodec:
             got[at : at + 2] = [got[at] + got[at + 1]]
 
     def _joins(self, left: str, right: str) -> bool:
-        known = self.compatible.get((left, right))
-        if known is None:
-            known = self.compatible.put((left, right), self.remerge(left + right) == [left, right], 160)
-        return known
+        return self.compatible.put((left, right), self.remerge(left + right) == [left, right], 160)
 
-    def _prefix(self, token: str) -> str | None:
-        """The next shorter piece that this one starts with."""
-        if token not in self.shorter:
-            self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if token[:k] in self.sound), None)
-        return self.shorter[token]
+    def _prefix(self, token: str) -> str:
+        """The next shorter piece that this one starts with, or nothing."""
+        found = self.shorter.get(token)
+        if found is None:
+            found = self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if token[:k] in self.sound), "")
+        return found
 
     def backtrack(self, text: str) -> list[str]:
         """Tokens of a part all of whose characters are pieces. One pass of the automaton gives the longest match at each position."""
-        longest: list[str | None] = [None] * len(text)
-        for end, token in self.trie.iter(text):
-            longest[end - len(token) + 1] = token  # matches come by their ends, so the last one from a position is its longest
-        failed = bytearray(len(text) + 1)
-        got: list[str] = []
-        at, token = 0, longest[0]
-        while at < len(text):
-            while token is not None:
+        n = len(text)
+        longest = [1] * n
+        for end, size in self.trie.iter(text):
+            longest[end - size + 1] = size  # matches come by their ends, so the last one from a position is its longest
+        failed = bytearray(n + 1)
+        known, got = self.compatible.get, [""]  # the empty one stands before the first token
+        at, token = 0, text[: longest[0]]
+        while at < n:
+            while token:
                 end = at + len(token)
-                if not failed[end] and (not got or self._joins(got[-1], token)):
-                    got.append(token)
-                    at = end
-                    token = longest[at] if at < len(text) else None
-                    break
+                if not failed[end]:
+                    fits = not at or known((got[-1], token))
+                    if fits or (fits is None and self._joins(got[-1], token)):
+                        got.append(token)
+                        at = end
+                        token = text[at : at + longest[at]] if at < n else ""
+                        break
                 token = self._prefix(token)
             else:
                 failed[at] = 1
-                if not got:
+                if not at:
                     raise ValueError("no encoding")
                 last = got.pop()
                 at -= len(last)
                 token = self._prefix(last)  # the taken one leads nowhere
-        return got
+        return got[1:]
 
     def _part(self, text: str) -> tuple[int, ...]:
         """Ids of a part; a character that is no piece becomes its UTF-8 bytes."""
