@@ -17,8 +17,8 @@ from umbra.llm.exchange import meeting_positions, rolled_at, rolling
 
 GRAM = 48  # bytes hashed to pick anchors
 PROBE = 256  # bytes of the shorter strings that n_repeated counts
-SORTED_BYTES = 1_500_000  # text sorted at once
-LARGE_CLASS = 8_000_000  # bytes of one class beyond which its windows are spread over tasks by their hashes
+SORTED_BYTES = 600_000  # text sorted at once
+LARGE_CLASS = 3_000_000  # bytes of one class beyond which its windows are spread over tasks by their hashes
 BODY_BATCH = 4_000_000  # bytes of stretches sent on at once
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 29) for b in range(256)], np.uint64)
 _OTHER_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 31) for b in range(256)], np.uint64)
