@@ -391,13 +391,63 @@ def test_lcs():
 
 
 def test_op10_keeps_clean_documents(spark):
+    """Measured on a third of the labels that the models never see."""
     sf = "/root/testdata/sf0.01"
     labels = pd.read_parquet(f"{sf}/labels.parquet")
-    got = queries()["op10_quality"](spark, sf).toPandas().merge(labels, on="doc_id")
+    away = labels.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = resampling.importance_resample(docs, spark.createDataFrame(labels[~away])).toPandas().merge(labels[away], on="doc_id")
     clean = got[(got.quality == 1) & (got.toxic == 0)]
     junk = got[got.quality == 0]
-    half = clean.doc_id.map(resampling._half) == 1
-    assert clean[half].kept.mean() > 0.97 and junk.kept.mean() < 0.25
+    assert clean.kept.mean() > 0.95 and junk.kept.mean() < 0.3
+
+
+def test_op10_against_a_plain_version(spark, texts):
+    """Log ratios of the mixture by dictionaries, and the k largest after Gumbel noise."""
+    labels = {r.doc_id: (r.quality, r.toxic) for r in pd.read_parquet(f"{SF}/labels.parquet").itertuples()}
+    got = rows(spark, "op10_quality")
+    half = resampling.HALF
+    bags = {i: resampling.features(t).tolist() for i, t in texts.items()}
+    kinds = {i: 1 if not q else 2 if t else 0 for i, (q, t) in labels.items() if i in bags}
+    raw, tokens, held, n = Counter(), [Counter(), Counter()], [Counter(), Counter()], Counter(kinds.values())
+    for i, bag in bags.items():
+        raw.update(bag)
+        if i in kinds:
+            if kinds[i] < 2:
+                tokens[kinds[i]].update(bag)
+            held[kinds[i] == 2].update({b for b in bag if b < half})
+
+    totals = [[sum(v for x, v in c.items() if (x < half) == low) for c in (raw, *tokens)] for low in (False, True)]
+
+    def junk_to_target(b):
+        every, *own = totals[b < half]
+        base = (raw[b] + 0.5) / (every + 0.5 * half)
+        share = [(c[b] + 500 * base) / (n_ + 500) for c, n_ in zip(tokens, own, strict=True)]
+        return math.log(share[1] / share[0])
+
+    memo = {}
+    prior = [n[0] + 2, n[1] + 0.5, n[2] + 0.5]
+    prior = [p / sum(prior) for p in prior]
+    weights = {}
+    for i in sorted(bags)[:40]:
+        bag = bags[i]
+        for b in set(bag) - memo.keys():
+            memo[b] = junk_to_target(b)
+        junk = sum(memo[b] for b in bag)
+        lifts = []
+        for b in bag[: (len(bag) + 1) // 2]:
+            lift = math.log((held[1][b] + 0.1) / (n[2] + 0.2)) - math.log((held[0][b] + 0.5) / (n[0] + n[1] + 1))
+            lifts.append(lift if held[1][b] >= max(5, 0.03 * n[2]) and lift >= math.log(4) else 0)
+        width = min(24, len(lifts))
+        sums = [sum(lifts[k : k + width]) for k in range(len(lifts) - width + 1)]
+        toxic = max(sums) + math.log(sum(math.exp(x - max(sums)) for x in sums) / len(sums))
+        top = max(0, junk, toxic)
+        weights[i] = -(top + math.log(sum(p * math.exp(x - top) for p, x in zip(prior, (0, junk, toxic), strict=True))))
+        assert math.isclose(got.loc[i, "log_ratio"], weights[i], rel_tol=1e-6, abs_tol=1e-6)
+    k = int((got.log_ratio + math.log(prior[0]) >= math.log(0.5)).sum())
+    noise = {i: -math.log(-math.log((xxhash.xxh64_intdigest(str(i), 17) + 0.5) / 2**64)) for i in got.index}
+    best = sorted(got.index, key=lambda i: (-(got.log_ratio[i] / 0.05 + noise[i]), i))[:k]
+    assert sorted(best) == sorted(got.index[got.kept])
 
 
 def test_op9_sql(spark, texts):

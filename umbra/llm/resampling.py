@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,11 @@ from umbra.llm.common import Memo, id_and_text, materialise, sliced, with_global
 
 HALF = 1 << 15  # buckets of single tokens; as many again for pairs
 TOKENS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
-LEXICON = 2_000  # words at most that mark toxic text
+LEAN = 500  # tokens' worth of the raw model that the model of each kind leans on
+STRETCH = 24  # tokens of a stretch that toxic text may fill
+SUPPORT = 0.03  # share of the toxic documents that hold a token which the toxic model prefers, so that groups of copies don't fill it with their rare words
+FEWEST = 5  # toxic documents that hold it at least, whatever their share
+LIFT = 4  # times that such a token is as frequent among them at least
 
 
 class _Buckets(Memo):
@@ -38,28 +43,6 @@ def _features(tokens: list[bytes]) -> np.ndarray:
     return np.concatenate([one & np.uint64(HALF - 1), two + np.uint64(HALF)]).astype(np.int64)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a one-feature logistic regression, by damped Newton steps."""
-    if len(x) == 0 or y.min() == y.max():
-        return 0.0, 4.0 if len(y) and y.max() == 1 else -4.0
-    mean, scale = x.mean(), x.std() or 1.0
-    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = sigmoid(z @ w)
-        grad = z.T @ (p - y) / len(x) + shrink * np.array([w[0], 0])
-        hess = (z * (p * (1 - p))[:, None]).T @ z / len(x) + np.diag([shrink, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
-
-
 def _labelled(labels: DataFrame, bound: int) -> dict[int, tuple[int, int]]:
     """doc_id -> (good, toxic) for at most bound labelled rows, those of the smallest id hash."""
     have = {c.lower() for c in labels.columns}
@@ -72,118 +55,108 @@ def _labelled(labels: DataFrame, bound: int) -> dict[int, tuple[int, int]]:
     return {r["doc_id"]: (int(r["q"] > 0), int(r["t"] > 0)) for r in rows}
 
 
-def _half(doc_id: int) -> int:
-    """Labelled rows of half 0 give the n-gram models, those of half 1 the calibration."""
-    return xxhash.xxh32_intdigest(str(doc_id), 7) & 1
+TARGET, JUNK, TOXIC = range(3)
+
+
+def _kind(good: int, toxic: int) -> int:
+    """Documents that are good but for toxic stretches are a kind of their own."""
+    return JUNK if not good else TOXIC if toxic else TARGET
 
 
 class Model:
-    """Log ratios by bucket, and how scores become chances."""
-
-    def __init__(self, counts: np.ndarray):
-        raw, target = counts.astype(float)
-        halves = [slice(0, HALF), slice(HALF, 2 * HALF)]
-        self.ratio = np.zeros(2 * HALF)
-        for h in halves:
-            base = (raw[h] + 1) / (raw[h].sum() + HALF)
-            # both models lean on the raw one with a pseudo-count, so that rare buckets say little
-            self.ratio[h] = np.log((target[h] + 2 * HALF * base) / (target[h].sum() + 2 * HALF)) - np.log(base)
-        self.alarm: dict[bytes, float] = {}  # words that mark toxic text, with their log lifts
-        self.quality = (1.0, 0.0)
-        self.toxicity = (0.0, -4.0)
-
-    def scores(self, text: str) -> tuple[float, int, float]:
-        """(sum of log ratios, features, sum of the lifts of the toxic words)."""
-        tokens = TOKENS.findall(text.encode())
-        f = _features(tokens)
-        found = self.alarm.keys() & set(map(bytes.lower, tokens)) if self.alarm else ()
-        return float(self.ratio[f].sum()), len(f), sum(self.alarm[w] for w in found)
+    """Hashed n-gram models of target and raw text.
+
+    The raw model is a mixture of three kinds of document, weighted as among the labelled
+    ones: target; junk, all of whose tokens are drawn from a model of its own; and target
+    text of which one stretch, anywhere, is drawn from a toxic model.
+    """
+
+    def __init__(self, counts: np.ndarray, held: np.ndarray, documents: np.ndarray):
+        """counts: raw, target and junk tokens by bucket; held: other and toxic documents by bucket; documents: of each kind."""
+        raw, target, junk = counts.astype(float)
+        self.junk = np.zeros(2 * HALF)  # log ratio of junk to target by bucket
+        for h in (slice(0, HALF), slice(HALF, 2 * HALF)):
+            base = (raw[h] + 0.5) / (raw[h].sum() + 0.5 * HALF)
+            share = [np.log((c[h] + LEAN * base) / (c[h].sum() + LEAN)) for c in (target, junk)]
+            self.junk[h] = share[1] - share[0]
+        other, toxic = held.astype(float)
+        lift = np.log((toxic + 0.1) / (documents[TOXIC] + 0.2)) - np.log((other + 0.5) / (documents[TARGET] + documents[JUNK] + 1))
+        self.toxic = np.where((toxic >= max(FEWEST, SUPPORT * documents[TOXIC])) & (lift >= math.log(LIFT)), lift, 0.0)
+        prior = documents + np.array([2.0, 0.5, 0.5])
+        self.prior = np.log(prior / prior.sum())
+
+    def ratios(self, found: np.ndarray) -> tuple[float, float, float]:
+        """Log ratios: of target to raw text, of junk to target, and of text with a toxic stretch to target."""
+        junk = float(self.junk[found].sum())
+        sums = np.concatenate([[0.0], np.cumsum(self.toxic[found[: (len(found) + 1) // 2]])])
+        width = min(STRETCH, len(sums) - 1)
+        stretches = sums[width:] - sums[: len(sums) - width] if width else sums
+        most = stretches.max()
+        toxic = float(most + np.log(np.exp(stretches - most).mean()))
+        return -float(np.logaddexp.reduce(self.prior + [0.0, junk, toxic])), junk, toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
-    """Raw counts over all documents; target counts and calibration over at most bound labelled rows.
+    """Raw counts over all documents; counts of the kinds over at most bound labelled rows.
 
     The labelled ids are the one thing sent to every task, and bound limits them.
     """
     known = _labelled(labels, bound)
-    slim = id_and_text(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * HALF), np.int64)
-        held: list[np.ndarray] = []
-        words: dict[bytes, list[int]] = {}
+        total, held, documents = np.zeros((3, 2 * HALF), np.int64), np.zeros((2, HALF), np.int64), np.zeros(3, np.int64)
+        waiting: list[np.ndarray] = []
         Memo.enter("resampling")
         for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = features(text)
-                held.append(found)
-                if i in known and _half(i) == 0:
-                    good, toxic = known[i]
-                    if good and not toxic:
-                        np.add.at(total[1], found, 1)
-                    for w in set(map(bytes.lower, TOKENS.findall(text.encode()))):
-                        words.setdefault(w, [0, 0])[toxic] += 1
-                if len(found) > 1 << 16 or len(held) >= 512:
-                    total[0] += np.bincount(np.concatenate(held), minlength=2 * HALF)
-                    held = []
-        if held:
-            total[0] += np.bincount(np.concatenate(held), minlength=2 * HALF)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(total[0, at]), pa.array(total[1, at])], names)
-        items = list(words.items())
-        for k in range(0, len(items), 100_000):
-            part = items[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], names
-            )
-
-    names = ["bucket", "word", "raw", "target"]
-    sums = slim.mapInArrow(count, "bucket long, word binary, raw long, target long").groupBy("bucket", "word").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    sums = materialise(sums.where("bucket >= 0 or target >= 5"))
-    counts = np.zeros((2, 2 * HALF), np.int64)
-    for r in sums.where("bucket >= 0").collect():  # one row for each bucket at most
-        counts[:, r["bucket"]] = r["raw"], r["target"]
-    model = Model(counts)
-    # words of labelled documents alone: raw is how many that aren't toxic hold the word, target how many toxic ones do
-    learnt = [v for i, v in known.items() if _half(i) == 0]
-    bad = sum(t for _, t in learnt)
-    odds = (bad + 0.5) / (len(learnt) - bad + 0.5)
-    # a word of many toxic documents, so that groups of copies don't fill the list with their rare words
-    telling = sums.where((F.col("bucket") < 0) & (F.col("target") >= 0.03 * bad) & (F.col("target") > F.lit(4 * odds) * (F.col("raw") + 4)))
-    for r in telling.orderBy(F.desc("target"), "word").limit(LEXICON).collect():
-        model.alarm[bytes(r["word"])] = float(np.log(r["target"] / (r["raw"] + 0.5) / odds))
-
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            got = [(*known[i], *model.scores(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i in known and _half(i) == 1]
-            cols = list(zip(*got, strict=True)) or [[]] * 5
-            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["good", "toxic", "ratio", "n", "alarm"])
-
-    rows = slim.mapInArrow(calibrate, "good int, toxic int, ratio double, n long, alarm double").collect()  # at most bound rows
-    if rows:
-        x = np.array([r["ratio"] / max(r["n"], 1) for r in rows])
-        model.quality = logistic(x, np.array([r["good"] for r in rows], float))
-        model.toxicity = logistic(np.array([r["alarm"] for r in rows]), np.array([r["toxic"] for r in rows], float))
-    return model
+                waiting.append(found)
+                if i in known:
+                    kind = _kind(*known[i])
+                    documents[kind] += 1
+                    if kind != TOXIC:
+                        np.add.at(total[1 + kind], found, 1)
+                    held[int(kind == TOXIC), np.unique(found[: (len(found) + 1) // 2])] += 1
+                if len(found) > 1 << 16 or len(waiting) >= 512:
+                    total[0] += np.bincount(np.concatenate(waiting), minlength=2 * HALF)
+                    waiting = []
+        if waiting:
+            total[0] += np.bincount(np.concatenate(waiting), minlength=2 * HALF)
+        at = np.flatnonzero(total[0])
+        both = np.concatenate([held, np.zeros_like(held)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in (*total, *both))], names)
+        kinds = np.arange(3)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - kinds), pa.array(documents), *(pa.array(0 * kinds) for _ in range(4))], names)
+
+    names = ["bucket", "raw", "target", "junk", "other", "toxic"]
+    sums = id_and_text(docs).mapInArrow(count, ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    counts, held, documents = np.zeros((3, 2 * HALF), np.int64), np.zeros((2, HALF), np.int64), np.zeros(3)
+    for r in sums.collect():  # one row for each bucket at most
+        if r["bucket"] < 0:
+            documents[-1 - r["bucket"]] = r["raw"]
+            continue
+        counts[:, r["bucket"]] = r["raw"], r["target"], r["junk"]
+        if r["bucket"] < HALF:
+            held[:, r["bucket"]] = r["other"], r["toxic"]
+    return Model(counts, held, documents)
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000, seed: int = 17, temperature: float = 0.05) -> DataFrame:
-    """doc_id, log_ratio, n_features, toxic_lift, weight and kept for every row of docs.
-
-    log_ratio is the log ratio of the text under the hashed n-gram models of target
-    (labelled good and not toxic) and raw text. weight is the log of the calibrated
-    chance that the document is of the target. k, the number of documents more likely
-    of the target than not, is counted over all rows; the k largest of weight / temperature
-    plus Gumbel noise (from the id and seed, so a rerun draws alike) are kept, which samples
-    k rows without replacement in proportion to their chances to the power 1 / temperature:
-    a low one keeps nearly all clean documents, 1 samples by the chances as they are. Ranks come from a range
-    shuffle of narrow rows.
-
-    Null text counts as empty and has no features: its chance is that of a mean ratio
-    of zero. Repeated rows get equal scores and are drawn alike, ties by order. Without
-    labels every row is kept. Columns other than doc_id and text are not read. An empty
-    table gives an empty result.
+    """doc_id, log_ratio, n_features, junk_ratio, toxic_ratio and kept for every row of docs.
+
+    log_ratio is the log importance weight of the text: the ratio of the hashed n-gram
+    models of target (labelled good and not toxic) and raw text, see Model. k, the number
+    of documents more likely of the target than not under the raw mixture, is counted
+    over all rows; the k largest of log_ratio / temperature plus Gumbel noise (from the id
+    and seed, so a rerun draws alike) are kept, which samples k rows without replacement in
+    proportion to their importance to the power 1 / temperature: a low one keeps nearly
+    all clean documents, 1 samples in proportion to the ratio itself. Ranks come from a
+    range shuffle of narrow rows.
+
+    Null text counts as empty and has no features: its ratio is that of the prior.
+    Repeated rows get equal scores and are drawn alike, ties by order. Rows with a null id
+    are scored like any other. Without labels every row is kept. Columns other than
+    doc_id and text are not read. An empty table gives an empty result.
     """
     model = fit(docs, labels, bound)
     slim = id_and_text(docs)
@@ -191,25 +164,21 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.enter("resampling")
         for batch in sliced(batches):
-            ids = batch.column(0).to_pylist()
-            got = [model.scores(t) for t in batch.column(1).to_pylist()]
-            ratio, n, alarm = (np.array([g[k] for g in got], float) for k in range(3))
-            a, b = model.quality
-            c, d = model.toxicity
-            chance = sigmoid(a * ratio / np.maximum(n, 1) + b) * (1 - sigmoid(c * alarm + d))
-            u = np.array([(xxhash.xxh64_intdigest(str(i), seed) + 0.5) / 2**64 for i in ids])
-            drawn = np.log(np.maximum(chance, 1e-40)) / temperature - np.log(-np.log(u))
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            ratio, junk, toxic = np.array([model.ratios(f) for f in found]).T
+            u = np.array([(xxhash.xxh64_intdigest(str(i), seed) + 0.5) / 2**64 for i in batch.column(0).to_pylist()])
+            drawn = ratio / temperature - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(alarm), pa.array(np.log(np.maximum(chance, 1e-40))), pa.array(-drawn), pa.array(chance >= 0.5)],
-                ["doc_id", "log_ratio", "n_features", "toxic_lift", "weight", "draw", "likely"],
+                [batch.column(0), pa.array(ratio), pa.array([len(f) for f in found], pa.int64()), pa.array(junk), pa.array(toxic), pa.array(-drawn), pa.array(ratio + model.prior[TARGET] >= math.log(0.5))],
+                ["doc_id", "log_ratio", "n_features", "junk_ratio", "toxic_ratio", "draw", "likely"],
             )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     # written out, since a range shuffle reads its input twice
-    scored = materialise(slim.mapInArrow(score, f"doc_id {kind}, log_ratio double, n_features long, toxic_lift double, weight double, draw double, likely boolean"))
+    scored = materialise(slim.mapInArrow(score, f"doc_id {kind}, log_ratio double, n_features long, junk_ratio double, toxic_ratio double, draw double, likely boolean"))
+    k = scored.agg(F.sum(F.col("likely").cast("long"))).first()[0] or 0
     ranked = with_global_rank(scored, ["draw", "doc_id"])
-    k = ranked.agg(F.sum(F.col("likely").cast("long"))).first()[0] or 0
-    return ranked.select("doc_id", "log_ratio", "n_features", "toxic_lift", "weight", (F.col("rank") < F.lit(k)).alias("kept"))
+    return ranked.select("doc_id", "log_ratio", "n_features", "junk_ratio", "toxic_ratio", (F.col("rank") < F.lit(k)).alias("kept"))
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
