@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +32,15 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000
             stop = max(at + 1, int(np.searchsorted(ends, below + most, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    settle()
+
+
+def settle() -> None:
+    """Give memory that is free back to the system: workers stay when their task is over, and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 class Memo(dict):
@@ -61,6 +71,7 @@ class Memo(dict):
             if name != owner:
                 for memo in memos:
                     memo.empty()
+        settle()
 
 
 def shared_dir(spark: SparkSession) -> str:

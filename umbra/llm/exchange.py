@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import shuffle_width
+from umbra.llm.common import Memo, settle, shuffle_width
 
 UNIT_BYTES = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -101,6 +101,7 @@ def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool, unit_bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        Memo.enter("anchors")
         for number, (ids, keys, texts, extra) in enumerate(_units(batches, unit_bytes)):
             lengths, at, codes, flags = coder(texts, extra)
             about = np.concatenate([np.array(ids, np.int64), np.array(keys, np.int64), lengths.astype(np.int64)]).tobytes()
@@ -143,6 +144,7 @@ def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool, unit_bytes
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, names = [pa.int64(), pa.binary(), pa.binary()], ["unit", "about", "hits"]
+        Memo.enter("exchange")
         bucket, held = None, []
         for batch in batches:
             out: list[tuple] = []
@@ -160,6 +162,8 @@ def meeting_positions(keyed: DataFrame, coder: Coder, anchored: bool, unit_bytes
         if held:
             for u, h in meet(held):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((u, b"", h), kinds, strict=True)], names)
+            held = []
+            settle()
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, about, hits = None, b"", []

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Memo, materialise, sliced
+from umbra.llm.common import Memo, materialise, settle, sliced
 
 END = b"\n"  # no word holds white space
 HEAD = 131_072  # bound on the frequent words whose counts every task gets; the others are looked up by a join
@@ -23,7 +23,7 @@ TAILS = 64  # inputs for all other words, by their last bytes
 HIDDEN = 16
 STEPS = 16  # length of truncated backpropagation
 LANES = 512
-FLUSH = 600_000
+FLUSH = 250_000
 BLOCK = 1_024  # rows of scores worked on at once, so that they stay in the cache
 ROUNDS = (0.125, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
 GATHER = 16  # rows in which the weights of all tasks come to the driver
@@ -62,6 +62,8 @@ def count_words(train: DataFrame) -> DataFrame:
                     yield from out()
                     counts.clear()
         yield from out()
+        counts.clear()
+        settle()
 
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -411,7 +413,7 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     return back
 
 
-def score_documents(docs: DataFrame, unit_bytes: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, unit_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     Words are runs of other than ASCII white space with A-Z lower-cased, and an end.
