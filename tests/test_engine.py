@@ -81,8 +81,9 @@ def attack(spark, docs, fields, cents=0, days=0):
     ).withColumn("day", F.lit(datetime.date(2024, 1, 2)))
     people = spark.createDataFrame([(10, "Ada Abbe", "rome"), (11, "Bo Brook", "oslo"), (12, "Cy Cole", "rome"), (13, "Di Dunn", "bern")], "customer_id int, name string, city string")
     found = linkage.evidence(docs, txns.select(F.col("merchant").alias("name")), people.select(F.col("city").alias("name")), "[A-Z][a-z]+ [A-Z][a-z]+")
-    configs = linkage.configurations(spark, {"f": fields}, [(cents, days)])
-    hits = linkage.candidates(found, txns, people, configs, cents)
+    listed = linkage.configuration_list({"f": fields}, [(cents, days)])
+    configs = linkage.configurations(spark, listed)
+    hits = linkage.candidates(found, txns, people, listed)
     got = {}
     for r in hits.collect():
         got.setdefault(r["doc_id"], {})[r["customer_id"]] = r["hits"]

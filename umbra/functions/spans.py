@@ -77,12 +77,11 @@ def any_overlapped(truths: Column, guesses: Column) -> Column:
 
 
 def greedy_pairs(truths: Column, guesses: Column) -> Column:
-    """One-to-one matching: truths by start and end each take the first free guess that matches.
+    """One-to-one matching: truths, in the order in which they are stored, each take the first free guess that matches.
 
-    array<struct<truth, guess int>>, guess being the 0-based place among the sorted guesses.
+    array<struct<truth, guess int>>, guess being the 0-based place among the guesses.
     """
-    sorted_guesses = F.array_sort(guesses)
-    places = F.transform(sorted_guesses, lambda g, i: F.struct(g.alias("span"), i.alias("at")))
+    places = F.transform(guesses, lambda g, i: F.struct(g.alias("span"), i.alias("at")))
     kind = "array<struct<truth:struct<start:int,end:int,category:string>,guess:int>>"
 
     def step(taken: Column, t: Column) -> Column:
@@ -90,7 +89,7 @@ def greedy_pairs(truths: Column, guesses: Column) -> Column:
         first = F.try_element_at(free, F.lit(1))
         return F.when(F.size(free) > 0, F.array_append(taken, F.struct(t.alias("truth"), first["at"].alias("guess")))).otherwise(taken)
 
-    return F.aggregate(F.array_sort(truths), F.array().cast(kind), step)
+    return F.aggregate(truths, F.array().cast(kind), step)
 
 
 def without_touching(guesses: Column, excluded: Column) -> Column:

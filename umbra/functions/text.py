@@ -11,14 +11,24 @@ LOOSE_MARKER = r"(?<![A-Za-z0-9])X{2,}"
 DATE_MARKER = r"XX/XX/(?:X{4}|[12][0-9]{3})"
 BRACED_AMOUNT = r"\{\$[0-9][0-9,]*(?:\.[0-9]{2})?\}"
 MARKER_RUN = r"(?<![A-Za-z0-9])X{2,}(?:[ \t]+X{2,})+(?![A-Za-z0-9])"
-MERGED_MARKER = r"(?<![A-Za-z0-9])X{2,}(?:[ \t/]+X{2,})*(?![A-Za-z0-9])"
-AMOUNT = r"\$([0-9][0-9,]*\.[0-9]{2})"
-LONG_DATE = r"(?:^|[^0-9/])([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:$|[^0-9/])"
-SHORT_DATE = r"(?:^|[^0-9/])([0-9]{1,2}/[0-9]{1,2}/[0-9]{2})(?:$|[^0-9/])"
+MERGED_MARKER = r"(?<![A-Za-z0-9])X{2,}(?:\s*/\s*(?:X{2,4}|[0-9]{2,4})|[ \t]+X{2,})*(?![A-Za-z0-9])"
+DATE_SHAPE = r"^X{2}\s*/\s*X{2}\s*/\s*(?:X{2,4}|[0-9]{2,4})$|^X{2}\s*/\s*(?:X{2,4}|[0-9]{2,4})$"
+AMOUNT = r"\$\s?([0-9][0-9,]*\.[0-9]{2})"
+LONG_DATE = r"(?<![0-9A-Za-z_])([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z_])"
+SHORT_DATE = r"(?<![0-9A-Za-z_])([0-9]{1,2}/[0-9]{1,2}/[0-9]{2})(?![0-9A-Za-z_])"
 SLOT = r"\[\[([a-z0-9_]+)\]\]"
 PLACEHOLDER = "[REDACTED]"
 
 
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with \b between ASCII word characters and others only, whatever the Java version takes for a word."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

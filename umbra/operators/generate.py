@@ -11,8 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions import rules
 from umbra.functions import text as T
 from umbra.functions.spans import SPANS
+from umbra.operators import ranking
 
 FIRST = ["Ada", "Bela", "Caro", "Dina", "Emil", "Fara", "Gino", "Hana", "Ivo", "Juna", "Kato", "Lio"]
 LAST = ["Abbe", "Brook", "Cole", "Dunn", "Ester", "Flint", "Grove", "Hale", "Irwin", "Joss"]
@@ -96,3 +98,40 @@ def splice(text: Column, items: Column) -> Column:
 
     start = F.struct(F.lit("").alias("text"), F.array().cast(SPANS).alias("spans"), F.lit(0).alias("placed"), F.lit(0).alias("gap"))
     return F.aggregate(slots, start, step)
+
+
+def carriers(parted: DataFrame, contexts) -> DataFrame:
+    """doc_id, at, text, n, category, field, template and reason for sentences (doc_id, at, text).
+
+    A sentence becomes a template where it has 6 to 45 words, one marker and a context
+    that leaves no choice of category; reason is the first thing that is against it.
+    """
+    keys = ["doc_id", "at"]
+    first = contexts(parted.select(*keys, "text"), *keys)
+    n = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    one = first.join(n.where("n = 1").select(*keys), keys)
+    category = F.nullif(rules.classify(rules.CERTAIN_RULES, F.col("lhs48"), F.col("mid"), F.lit(""))[0], F.lit("UNKNOWN"))
+    named = one.select(*keys, "before", "behind", category.alias("category"), "lhs40")
+    named = named.withColumn("field", rules.slot_field(F.col("category"), F.col("lhs40"), F.col("before")))
+    named = named.withColumn("template", F.concat("before", F.lit("[["), "field", F.lit("]]"), "behind")).drop("lhs40")
+    whole = parted.join(n, keys, "left").join(named, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rest = F.concat("before", "behind")
+    reason = rules.reject_reason(
+        [
+            ("length", ~T.word_count(F.col("text")).between(6, 45)),
+            ("markers", F.col("n") != 1),
+            ("context", F.col("category").isNull()),
+            ("leftover marker", F.col("template").rlike(T.LOOSE_MARKER)),
+            ("formatting", F.contains(rest, F.lit("{$")) | F.contains(rest, F.lit("}"))),
+        ]
+    )
+    return whole.withColumn("reason", reason).drop("before", "behind")
+
+
+def split_carriers(mined: DataFrame, most: int | None = None) -> DataFrame:
+    """(category, template, split): parted by source document; a template on both sides stays in training. most caps each list in its order."""
+    dealt = ranking.hash_split(mined.where("reason is null").select("doc_id", "category", "template"), "doc_id", 0.7).select("category", "template", "split").distinct()
+    train = dealt.where("split = 'train'")
+    rest = dealt.where("split <> 'train'").join(train.select("category", "template"), ["category", "template"], "left_anti")
+    both = train.unionByName(rest)
+    return both if most is None else ranking.top_per(both, ["category", "split"], ["template"], most).drop("rank")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from umbra.functions import text as T
 
-SMALL_SET = 5
+SMALL_SET = 5  # a set below this size is small
 FP_CEILING = 0.05
 MOST = {"amount": 6, "date": 6, "merchant": 6, "name": 4}
-FIELD_SETS = {"amount": ["amount"], "amount+date": ["amount", "date"], "amount+merchant": ["amount", "merchant"], "all": ["amount", "date", "merchant", "city"]}
-TOLERANCES = [(0, 0), (100, 1), (500, 3), (2_500, 7), (50_000, 0), (100_000, 7), (200_000, 30)]  # cents, days
+# The grid of the sweep, tolerances in cents and days.
+FIELD_SETS = {"+".join(f): f for f in (["amount"], ["amount", "date"], ["amount", "date", "merchant"], ["amount", "date", "merchant", "city"])}
+TOLERANCES = [(0, 0), (0, 1), (0, 3), (0, 7), (100, 3), (500, 3), (2_500, 7)]
 BROADCAST_ROWS = 200_000
 
 
@@ -57,13 +58,14 @@ def evidence(docs: DataFrame, merchants: DataFrame, cities: DataFrame, name_patt
     return found.drop("text")
 
 
-def configurations(spark, field_sets: dict[str, list[str]] | None = None, tolerances: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(config_id, fields, use_amount, use_date, use_merchant, use_city, cents, days): field sets by tolerances."""
-    rows = []
-    for name, fields in (field_sets or FIELD_SETS).items():
-        for cents, days in TOLERANCES if tolerances is None else tolerances:
-            rows.append((len(rows), name, *[f in fields for f in ("amount", "date", "merchant", "city")], cents, days))
-    return spark.createDataFrame(rows, "config_id int, fields string, use_amount boolean, use_date boolean, use_merchant boolean, use_city boolean, cents int, days int")
+def configuration_list(field_sets: dict[str, list[str]] | None = None, tolerances: list[tuple[int, int]] | None = None) -> list[tuple]:
+    """(config_id, fields, use_amount, use_date, use_merchant, use_city, cents, days) for field sets by tolerances."""
+    pairs = [(name, fields, t) for name, fields in (field_sets or FIELD_SETS).items() for t in (TOLERANCES if tolerances is None else tolerances)]
+    return [(k, name, *[f in fields for f in ("amount", "date", "merchant", "city")], *t) for k, (name, fields, t) in enumerate(pairs)]
+
+
+def configurations(spark, listed: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(listed, "config_id int, fields string, use_amount boolean, use_date boolean, use_merchant boolean, use_city boolean, cents int, days int")
 
 
 def candidate_rows(found: DataFrame, txns: DataFrame, widest: int) -> DataFrame:
@@ -84,18 +86,26 @@ def candidate_rows(found: DataFrame, txns: DataFrame, widest: int) -> DataFrame:
     return by_amount.unionByName(by_merchant)
 
 
-def candidate_hits(rows: DataFrame, configs: DataFrame) -> DataFrame:
+def candidate_hits(rows: DataFrame, configs: list[tuple]) -> DataFrame:
     """(config_id, doc_id, customer_id, hits).
 
     An amount opens the search if it is allowed and there is one; else merchants do, if
     allowed; a date alone never does. Then dates and merchants filter. A transaction
-    counts once for a document.
+    counts once for a document. Rows are summed by document and customer first, a count
+    for each configuration, and only those sums become a row for each configuration.
     """
     by_amount = F.col("off_cents").isNotNull()
-    opens = F.when(by_amount, F.col("use_amount") & (F.col("off_cents") <= F.col("cents")) & (~F.col("use_merchant") | F.col("merchant_ok"))).otherwise(F.col("use_merchant") & (~F.col("use_amount") | ~F.col("has_amounts")))
-    dated = ~F.col("use_date") | F.col("off_days").isNull() | (F.col("off_days") <= F.col("days"))
-    kept = rows.crossJoin(F.broadcast(configs)).where(opens & dated)  # configurations are a few dozen by construction
-    return kept.groupBy("config_id", "doc_id", "customer_id").agg(F.count_distinct("txn_id").alias("hits"))
+
+    def allowed(config: tuple) -> Column:
+        _, _, amount, date, merchant, _, cents, days = config
+        opens = F.when(by_amount, (F.col("off_cents") <= cents) & (F.col("merchant_ok") if merchant else F.lit(True)) if amount else F.lit(False))
+        opens = opens.otherwise((F.lit(True) if not amount else ~F.col("has_amounts")) if merchant else F.lit(False))
+        return opens & (F.col("off_days").isNull() | (F.col("off_days") <= days)) if date else opens
+
+    summed = rows.groupBy("doc_id", "customer_id").agg(F.array(*[F.count_if(allowed(c)) for c in configs]).alias("_hits"))
+    each = summed.select("doc_id", "customer_id", F.posexplode("_hits").alias("_k", "hits")).where("hits > 0")
+    ids = F.array(*[F.lit(c[0]) for c in configs])
+    return each.select(F.element_at(ids, F.col("_k") + 1).alias("config_id"), "doc_id", "customer_id", "hits")
 
 
 def with_names(hits: DataFrame, found: DataFrame, customers: DataFrame, configs: DataFrame) -> DataFrame:
@@ -120,9 +130,10 @@ def narrowed_by_city(hits: DataFrame, found: DataFrame, customers: DataFrame, co
     return flagged.where("inside or any_inside = 0").select("config_id", "doc_id", "customer_id", "hits")
 
 
-def candidates(found: DataFrame, txns: DataFrame, customers: DataFrame, configs: DataFrame, widest: int) -> DataFrame:
-    hits = with_names(candidate_hits(candidate_rows(found, txns, widest), configs), found, customers, configs)
-    return narrowed_by_city(hits, found, customers, configs)
+def candidates(found: DataFrame, txns: DataFrame, customers: DataFrame, listed: list[tuple]) -> DataFrame:
+    configs = configurations(found.sparkSession, listed)
+    rows = candidate_rows(found, txns, max(c[6] for c in listed))
+    return narrowed_by_city(with_names(candidate_hits(rows, listed), found, customers, configs), found, customers, configs)
 
 
 def verdicts(docs: DataFrame, hits: DataFrame, configs: DataFrame) -> DataFrame:
@@ -138,7 +149,7 @@ def verdicts(docs: DataFrame, hits: DataFrame, configs: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     found, lone = F.col("found") == 1, F.col("n") == 1
     return everyone.select(
-        "config_id", "doc_id", flag(found & lone).alias("u"), flag(found & (F.col("n") <= SMALL_SET)).alias("k"), flag((F.col("holders") == 1) & (F.col("own_hits") == F.col("top"))).alias("r"), flag(lone & ~found).alias("fp")
+        "config_id", "doc_id", flag(found & lone).alias("u"), flag(found & (F.col("n") < SMALL_SET)).alias("k"), flag((F.col("holders") == 1) & (F.col("own_hits") == F.col("top"))).alias("r"), flag(lone & ~found).alias("fp")
     )
 
 
@@ -148,10 +159,11 @@ def rates(flags: DataFrame, *keys: str) -> DataFrame:
 
 
 def sweep(docs: DataFrame, found: DataFrame, txns: DataFrame, customers: DataFrame, field_sets: dict[str, list[str]] | None = None, tolerances: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Rates of every field set and tolerance, in one plan: evidence and candidates are found once."""
-    configs = configurations(docs.sparkSession, field_sets, tolerances)
-    widest = max(c for c, _ in tolerances or TOLERANCES)
-    flags = verdicts(docs, candidates(found, txns, customers, configs, widest), configs)
+    """Rates of every field set and tolerance, in one plan: candidates are found once. found is read by several branches, so it is kept."""
+    listed = configuration_list(field_sets, tolerances)
+    configs = configurations(docs.sparkSession, listed)
+    found = found.persist()
+    flags = verdicts(docs, candidates(found, txns, customers, listed), configs)
     return rates(flags, "config_id").join(F.broadcast(configs.select("config_id", "fields", "cents", "days")), "config_id").drop("config_id")
 
 

@@ -12,13 +12,15 @@ def sentence_sources(altered: DataFrame, originals: DataFrame, least: int = 60,
     """(doc_id, source_id): the first original that holds one of the longest sentences of an altered text.
 
     Both sides are exploded to normalised sentences and meet by equality of their
-    digests; of several originals with a sentence the smallest id counts.
+    digests; of several originals with a sentence the smallest id counts. The probes
+    longest sentences are tried, the longest first, of equals the one further ahead.
     """
-    key = lambda s: F.md5(T.answer_key(s).cast("binary"))
-    long = lambda df, name: df.select(F.col("doc_id").alias(name), F.explode(F.array_distinct(T.sentences(F.col("text")))).alias("s")).where(F.length(T.answer_key(F.col("s"))) >= least).select(name, key(F.col("s")).alias("k"), F.length("s").alias("n"))
-    known = long(originals, "source_id").groupBy("k").agg(F.min("source_id").alias("source_id"))
-    asked = long(altered, "doc_id").withColumn("probe", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "k"))).where(F.col("probe") <= probes)
-    return asked.join(known, "k").groupBy("doc_id").agg(F.min_by("source_id", "probe").alias("source_id"))
+    parted = lambda df, name: df.select(F.col("doc_id").alias(name), F.posexplode(F.transform(T.sentences(F.col("text")), T.answer_key)).alias("at", "s"))
+    digest = F.md5(F.col("s").cast("binary")).alias("k")
+    known = parted(originals, "source_id").where(F.length("s") >= least).select("source_id", digest).groupBy("k").agg(F.min("source_id").alias("source_id"))
+    longest = Window.partitionBy("doc_id").orderBy(F.desc(F.length("s")), "at")
+    asked = parted(altered, "doc_id").withColumn("probe", F.row_number().over(longest)).where((F.col("probe") <= probes) & (F.length("s") >= least))
+    return asked.select("doc_id", "probe", digest).join(known, "k").groupBy("doc_id").agg(F.min_by("source_id", "probe").alias("source_id"))
 
 
 def grade(answers: DataFrame, *by: str) -> DataFrame:

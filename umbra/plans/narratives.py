@@ -18,6 +18,12 @@ MARKED = [
     "My SSN 123-45-6789 and a.b@mail.com were sent to XXXX XXXX XXXX today.",
     "No markers here, my card is 4111 1111 1111 1111.",
     "XXXtreme and aXX are not markers but XX is.",
+    "My card ending in XXXX was charged $ 50.00 on 1/2/2024 3/4/2024 and 5/6/24 7/8/24.",
+    "I spoke with XXXX, the manager, and she told me XXXX points were lost on XX / XX / XXXX.",
+    "My husband XXXX works for XXXX XXXX, and case number XXXX says he moved to XXXX in XX/2023.",
+    "Call (555) 123-4567 or XXXX XXXX at 12 Oak Blvd, 12345-6789, see https://a.example/b?c=1, email me at XXXX.",
+    "After the surgery for XXXX I was divorced from XXXX, I am a XXXX and the XXXX branch refused.",
+    "They asked for my passport number XXXX and a fee of $XXXX at around XXXX when I bought something at XXXX.",
 ]
 
 NARR = (
@@ -31,7 +37,7 @@ WITH txns AS (
 ), drawn AS (
   SELECT doc_id, text AS body, lang, source,
     ('0x' || substr(md5('order|' || doc_id), 1, 8))::BIGINT % (SELECT count(*) FROM orders) AS slot,
-    ('0x' || substr(md5('v|' || doc_id), 1, 8))::BIGINT % 6 AS v, ('0x' || substr(md5('m|' || doc_id), 1, 8))::BIGINT % 5 AS m
+    ('0x' || substr(md5('v|' || doc_id), 1, 8))::BIGINT % 6 AS v, ('0x' || substr(md5('m|' || doc_id), 1, 8))::BIGINT % MARKS AS m
   FROM documents
 ), facts AS (
   SELECT d.*, t.txn_id, t.customer_id, t.cents, t.day, t.merchant, c.name, c.city,
@@ -49,7 +55,7 @@ WITH txns AS (
     + """ END AS marked, body FROM facts
 ), narratives AS (SELECT *, body || ' ' || told || ' ' || marked AS text FROM narr)
 """
-)
+).replace("MARKS", str(len(MARKED)))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +89,7 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("text", "body")
     txns = numbered(transactions(spark, sf_dir), "txn_id", name="rn")
     n = table(spark, sf_dir, "orders", ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"))
-    drawn = docs.crossJoin(F.broadcast(n)).select("*", T.draw("order", F.col("doc_id"), F.col("n")).alias("slot"), T.draw("v", F.col("doc_id"), 6).alias("v"), T.draw("m", F.col("doc_id"), 5).alias("m")).drop("n")
+    drawn = docs.crossJoin(F.broadcast(n)).select("*", T.draw("order", F.col("doc_id"), F.col("n")).alias("slot"), T.draw("v", F.col("doc_id"), 6).alias("v"), T.draw("m", F.col("doc_id"), len(MARKED)).alias("m")).drop("n")
     facts = drawn.join(txns, F.col("rn") == F.col("slot")).join(customers(spark, sf_dir), "customer_id")
     c = F.col
     sentence = told(c("v"), T.money(c("cents")), T.us_date(c("day")), T.us_date(c("day"), short=True), c("merchant"), c("city"), c("name"))

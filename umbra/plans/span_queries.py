@@ -78,7 +78,7 @@ def a03(spark, d):
 
 _GREEDY = (
     FIX.replace("WITH fix", "WITH RECURSIVE fix", 1)
-    + f""", tt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, c) AS i FROM truths), gg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, c) AS i FROM guesses),
+    + f""", tt AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN {EACH} - k ELSE k + 1 END AS i FROM truths), gg AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN {EACH} - k ELSE k + 1 END AS i FROM guesses),
   walk AS (
     SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS right_kind FROM documents
     UNION ALL
@@ -90,13 +90,15 @@ _GREEDY = (
 
 
 def greedy(spark, d):
-    return drawn(spark, d).select("doc_id", "truths", "guesses", spans.greedy_pairs(t, g).alias("pairs"))
+    """Odd documents store their spans from the last to the first."""
+    turned = [F.when(F.col("doc_id") % 2 == 1, F.reverse(c)).otherwise(F.col(c)).alias(c) for c in (t, g)]
+    return drawn(spark, d).select("doc_id", *turned).select("doc_id", "truths", "guesses", spans.greedy_pairs(t, g).alias("pairs"))
 
 
 @query("a04_greedy_match", _GREEDY + f" SELECT doc_id, len(used)::INT AS tp, ({EACH} - len(used))::INT AS fn, ({EACH} - len(used))::INT AS fp, right_kind::INT AS right_kind FROM walk WHERE i = {EACH}")
 def a04(spark, d):
     n = F.size("pairs")
-    placed = F.array_sort(g)
+    placed = F.col(g)
     same = F.aggregate("pairs", F.lit(0), lambda acc, p: acc + F.when(p["truth"]["category"] == F.element_at(placed, p["guess"] + 1)["category"], 1).otherwise(0))
     return greedy(spark, d).select("doc_id", n.alias("tp"), (F.size(t) - n).alias("fn"), (F.size(g) - n).alias("fp"), same.alias("right_kind"))
 
@@ -120,7 +122,7 @@ def a07(spark, d):
 
 
 _GOV = detectors.STRUCTURED["GOV_ID"]
-_CARD = detectors.STRUCTURED["ACCOUNT_ID"]
+_CARD = "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
 
 
 @query("a08_redact", NARR + f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_CARD}', '[REDACTED]', 'g'), '{_GOV}', '[REDACTED]', 'g')) AS digest FROM narratives")
@@ -179,11 +181,10 @@ def a14(spark, d):
     return aggregates.confusion(pairs.select(F.col("a.category").alias("truth"), F.col("b.category").alias("guess")), "truth", "guess")
 
 
-@query("a15_drift", "SELECT count(*) FILTER (n >= 100 AND n <= 300) AS drifted, count(*) FILTER (n < 100 AND n > 0) AS unparseable, coalesce(sum(2) FILTER (n >= 100), 0)::BIGINT AS missing_chars, coalesce(sum(n) FILTER (n >= 100 OR n = 0), 0)::BIGINT AS original_chars FROM (SELECT length(regexp_replace(substr(text, 1, 300), '[^a-z]', '', 'g')) AS n FROM documents)")
+@query("a15_drift", "SELECT count(*) FILTER (n >= 100) AS drifted, count(*) FILTER (n < 100 AND n <> 1) AS unparseable, coalesce(sum(2) FILTER (n >= 100), 0)::BIGINT AS missing_chars, coalesce(sum(n) FILTER (n >= 100 OR n = 1), 0)::BIGINT AS original_chars FROM (SELECT length(regexp_replace(text, '[^a-z]', '', 'g')) AS n FROM documents)")
 def a15(spark, d):
-    letters = F.regexp_replace(F.substring("text", 1, 300), "[^a-z]", "")
-    cut = F.when(F.length("text") < 2, F.col("text")).otherwise(F.substring("text", 3, 400))  # a writer that loses two characters
-    docs = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", letters.alias("text"))
+    docs = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.regexp_replace("text", "[^a-z]", "").alias("text"))
+    cut = F.when(F.length("text") < 2, F.col("text")).otherwise(F.substring(F.col("text"), F.lit(3), F.length("text")))  # a writer that loses two characters
     return tags.drift_statistics(docs.withColumn("recovered", tags.recover_spans(F.col("text"), cut)))
 
 

@@ -9,7 +9,8 @@ from umbra.functions import text as T
 from umbra.operators import aggregates as A
 from umbra.operators import generate, linkage, ranking, utility
 from umbra.plans.narratives import NARR, customers, narratives, transactions
-from umbra.plans.text_queries import TIER3, query
+from umbra.functions.rules import tier
+from umbra.plans.text_queries import _CATEGORY, _CONTEXTS, _LAST3, _SENTENCE_SQL, _TIER_SQL, TIER3, classified, dates_sql, marked_contexts, query
 from umbra.sources.io import table
 
 
@@ -54,14 +55,14 @@ def g05(spark, d):
     return A.histogram(A.marker_profile(narratives(spark, d)), "markers")
 
 
-_WORDS3 = r"(SELECT list_transform((regexp_extract_all(text, '\S+'))[-3:], lambda w: regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS w FROM benchmark)"
+_WORDS3 = rf"(SELECT list_filter({_LAST3}, lambda w: true) AS w FROM sided)"
 
 
-@query("g06_ngrams", f"""WITH g AS (SELECT n, array_to_string(w[-n:], ' ') AS gram FROM {_WORDS3}, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n), c AS (SELECT n, gram, count(*) AS "count" FROM g WHERE gram <> '' GROUP BY 1, 2)
-SELECT n::INT AS n, gram, "count" FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY "count" DESC, gram) AS r FROM c) WHERE r <= 30 AND (n > 1 OR gram NOT IN ('the', 'of'))""")
+@query("g06_ngrams", NARR + _CONTEXTS + f""", g AS (SELECT n, array_to_string(w[-n:], ' ') AS gram FROM {_WORDS3}, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n), c AS (SELECT n, gram, count(*) AS "count" FROM g WHERE gram <> '' GROUP BY 1, 2)
+SELECT n::INT AS n, gram, "count" FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY "count" DESC, gram) AS r FROM c) WHERE r <= 120 AND (n > 1 OR gram NOT IN ('the', 'of'))""")
 def g06(spark, d):
-    t = F.col("text")
-    return A.ngrams(table(spark, d, "benchmark", ["text"]).select(T.left_words(t, F.length(t)).alias("w")), "w", most=30, stop=("the", "of"))
+    before = F.col("before")
+    return A.ngrams(marked_contexts(spark, d).select(T.left_words(before, F.length(before)).alias("w")), "w", most=120, stop=("the", "of"))
 
 
 @query("g07_value_counts", "SELECT coalesce(quality::VARCHAR, '(missing)') AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -74,14 +75,16 @@ def g08(spark, d):
     return A.with_share(A.histogram(table(spark, d, "documents", ["lang"]), "lang").withColumnRenamed("value", "lang"))
 
 
-@query("g08_tier_rollup", "SELECT v AS tier, m AS category, count(*) AS n FROM (" + NARR + "SELECT v, m FROM narratives) GROUP BY ROLLUP (v, m)")
+@query("g08_tier_rollup", f"SELECT tier, category, count(*) AS n FROM (" + NARR + _CONTEXTS + f"SELECT {_TIER_SQL} AS tier, category FROM (SELECT {_CATEGORY} AS category FROM sided)) WHERE tier IS NOT NULL GROUP BY ROLLUP (tier, category)")
 def g08r(spark, d):
-    return A.tier_rollup(narratives(spark, d).select(F.col("v").alias("tier"), F.col("m").alias("category")))
+    kinds = classified(spark, d).select(tier(F.col("category")).alias("tier"), "category").where("tier is not null")
+    return A.tier_rollup(kinds)
 
 
-@query("g09_top_unresolved", NARR + "SELECT told, count(*) AS n FROM narratives GROUP BY 1 ORDER BY n DESC, told LIMIT 50")
+@query("g09_top_unresolved", NARR + _CONTEXTS + f"SELECT right(lhs, 24) AS before, substr(rhs, 1, 14) AS behind, count(*) AS n FROM sided WHERE {_CATEGORY} = 'UNKNOWN' GROUP BY 1, 2 ORDER BY n DESC, before, behind LIMIT 300")
 def g09(spark, d):
-    return narratives(spark, d).groupBy("told").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "told").limit(50)
+    left = classified(spark, d).where("category = 'UNKNOWN'").groupBy(F.right("lhs", F.lit(24)).alias("before"), F.substring("rhs", 1, 14).alias("behind"))
+    return left.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "before", "behind").limit(300)
 
 
 @query("g10_survival", NARR + " UNION ALL ".join(f"SELECT '{n}' AS pattern, avg(regexp_matches(text, '{p}')::INT) AS share FROM narratives" for n, p in TIER3.items()))
@@ -102,12 +105,13 @@ def g12(spark, d):
     return A.uniqueness(transactions(spark, d), ["cents", "day", "merchant"], "customer_id")
 
 
-SIZES = [25, 50, 100, 1000]
+SHARES = [64, 16, 4, 1]  # the whole population last
 
 
-@query("g13_uniqueness_curve", _TX + f"SELECT p::INT AS population, count(*) AS distinct_values, avg((n = 1)::INT) AS unique_share, avg(n) AS owners_per_value FROM (SELECT p, cents, count(DISTINCT customer_id) AS n FROM txns, (SELECT unnest({SIZES}) AS p) WHERE customer_id < p GROUP BY 1, 2) GROUP BY p")
+@query("g13_uniqueness_curve", _TX + f", sizes AS (SELECT (1 + max(customer_id)) // unnest({SHARES}) AS p FROM customers) SELECT p, count(*) AS distinct_values, avg((n = 1)::INT) AS unique_share, avg(n) AS owners_per_value FROM (SELECT p, cents, count(DISTINCT customer_id) AS n FROM txns, sizes WHERE customer_id < p GROUP BY 1, 2) GROUP BY p".replace("SELECT p, count(*)", "SELECT p AS population, count(*)"))
 def g13(spark, d):
-    return A.uniqueness_curve(transactions(spark, d), ["cents"], "customer_id", "customer_id", SIZES)
+    everyone = customers(spark, d).agg(F.max("customer_id")).first()[0] + 1  # ids are ordinals
+    return A.uniqueness_curve(transactions(spark, d), ["cents"], "customer_id", "customer_id", [everyone // k for k in SHARES])
 
 
 @query("g14_injected_distribution", NARR + "SELECT v, m, count(*) AS n FROM narratives GROUP BY 1, 2")
@@ -223,11 +227,11 @@ def d04(spark, d):
     return ranking.numbered(ids, "doc_id").crossJoin(F.broadcast(n)).select("doc_id", F.when(F.col("rn") + 1 <= F.lit(0.7) * F.col("n"), "train").otherwise("eval").alias("split"))
 
 
-_SPLIT = f"(SELECT doc_id, substr(text, 1, 12) AS head, CASE WHEN {_draw('split', 'doc_id', 10000)} < 7000 THEN 'train' ELSE 'eval' END AS split FROM documents)"
+_SPLIT = f"(SELECT doc_id, md5(text) AS head, CASE WHEN {_draw('split', 'doc_id', 10000)} < 7000 THEN 'train' ELSE 'eval' END AS split FROM documents)"
 
 
 def split_heads(spark, d):
-    return ranking.hash_split(table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.substring("text", 1, 12).alias("head")), "doc_id", 0.7)
+    return ranking.hash_split(table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("head")), "doc_id", 0.7)
 
 
 @query("d05_source_split_no_collisions", f"WITH s AS {_SPLIT} SELECT doc_id, head, split FROM s WHERE split = 'train' OR head NOT IN (SELECT head FROM s WHERE split = 'train')")
@@ -237,8 +241,10 @@ def d05(spark, d):
 
 @query("d06_pool_split", "SELECT p_name, CASE WHEN row_number() OVER (ORDER BY p_name) <= 0.7 * count(*) OVER () THEN 'train' ELSE 'eval' END AS split FROM (SELECT DISTINCT p_name FROM part)")
 def d06(spark, d):
-    pool = table(spark, d, "part", ["p_name"]).agg(F.sort_array(F.collect_set("p_name")).alias("pool"))  # a value pool: the few distinct names
-    return pool.select(F.size("pool").alias("n"), F.posexplode("pool").alias("at", "p_name")).select("p_name", F.when(F.col("at") + 1 <= F.lit(0.7) * F.col("n"), "train").otherwise("eval").alias("split"))
+    pool = table(spark, d, "part", ["p_name"]).distinct()
+    n = pool.agg(F.count(F.lit(1)).alias("n"))
+    placed = pool.withColumn("rn", F.row_number().over(Window.orderBy("p_name")) - 1) if pool.limit(100_001).count() <= 100_000 else ranking.numbered(pool, "p_name")
+    return placed.crossJoin(F.broadcast(n)).select("p_name", F.when(F.col("rn") + 1 <= F.lit(0.7) * F.col("n"), "train").otherwise("eval").alias("split"))
 
 
 @query("d07_template_split", "SELECT p_brand, p_name, CASE WHEN r <= 4 THEN 'train' ELSE 'eval' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS r FROM (SELECT DISTINCT p_brand, p_name FROM part)) WHERE r <= 6")
@@ -303,22 +309,22 @@ def j05(spark, d):
     return n.join(transactions(spark, d), "customer_id").where(F.abs(F.datediff("told_day", "day")) <= 90).select("doc_id", "txn_id")
 
 
-@query("j07_merchant_postings", NARR + "SELECT narratives.doc_id, count(DISTINCT txns.customer_id) AS customers FROM narratives JOIN txns ON contains(lower(narratives.told), txns.merchant) WHERE v = 3 GROUP BY 1")
+@query("j07_merchant_postings", NARR + ", asked AS (SELECT doc_id, merchant FROM (SELECT DISTINCT doc_id, lower(told) AS told FROM narratives) JOIN (SELECT DISTINCT merchant FROM txns) ON contains(told, merchant)) SELECT doc_id, count(DISTINCT customer_id) AS customers FROM asked JOIN (SELECT DISTINCT merchant, customer_id FROM txns) USING (merchant) GROUP BY 1")
 def j07(spark, d):
     txns = transactions(spark, d)
-    names = txns.select("merchant").distinct()  # the few dozen merchants
-    told = narratives(spark, d).where("v = 3").select("doc_id", F.lower("told").alias("told"))
-    asked = told.join(linkage.small(names), F.contains("told", "merchant")).select("doc_id", "merchant")
+    found = linkage.evidence(narratives(spark, d).select("doc_id", F.col("told").alias("text")), txns.select(F.col("merchant").alias("name")), txns.select(F.col("merchant").alias("name")).limit(0), "Customer#[0-9]{9}")
+    asked = found.select("doc_id", F.explode("merchants").alias("merchant"))
     return asked.join(txns.select("merchant", "customer_id").distinct(), "merchant").groupBy("doc_id").agg(F.count_distinct("customer_id").alias("customers"))
 
 
-@query("j14_sentence_sources", """WITH s AS (SELECT doc_id, unnest(list_distinct(string_split_regex(text, '[ ]*[.!?]\\s+'))) AS s FROM documents), k AS (SELECT doc_id, lower(trim(s)) AS s FROM s WHERE length(trim(s)) >= 60)
-SELECT a.doc_id, min(b.doc_id) AS source_id FROM k a JOIN k b ON a.s = b.s GROUP BY 1""")
+_KEYED = lambda source, name: rf"(SELECT doc_id AS {name}, i, trim(regexp_replace(lower(t), '[ \t\n\r\f]+', ' ', 'g')) AS s FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_SENTENCE_SQL} AS l FROM {source})))"
+
+
+@query("j14_sentence_sources", NARR + f""", known AS (SELECT md5(s) AS h, min(source_id) AS source_id FROM {_KEYED('documents', 'source_id')} WHERE length(s) >= 60 GROUP BY 1),
+ asked AS (SELECT doc_id, md5(s) AS h, length(s) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(s) DESC, i) AS probe FROM {_KEYED('narratives', 'doc_id')})
+ SELECT doc_id, arg_min(source_id, probe) AS source_id FROM asked JOIN known USING (h) WHERE probe <= 6 AND n >= 60 GROUP BY 1""")
 def j14(spark, d):
-    split = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ ]*[.!?]\s+"))).alias("s"))
-    keyed = split.where(F.length(F.trim("s")) >= 60).select("doc_id", F.md5(F.lower(F.trim("s")).cast("binary")).alias("k"))
-    first = keyed.groupBy("k").agg(F.min("doc_id").alias("source_id"))
-    return keyed.join(first, "k").groupBy("doc_id").agg(F.min("source_id").alias("source_id"))
+    return utility.sentence_sources(narratives(spark, d).select("doc_id", "text"), table(spark, d, "documents", ["doc_id", "text"]))
 
 
 @query("j15_metadata_join", "SELECT d.doc_id, lang, source, quality, toxic FROM documents d JOIN labels USING (doc_id)")
@@ -398,32 +404,37 @@ def i01(spark, d):
     return people.agg(F.count(F.lit(1)).alias("customers"), F.count_distinct("city").alias("cities")).crossJoin(txns).crossJoin(generate.cards(people).agg(F.count(F.lit(1)).alias("cards")))
 
 
-@query("i10_nested_populations", "SELECT 0::BIGINT AS changed")
+@query("i10_nested_populations", f"SELECT sum(n_txns)::BIGINT AS txns, sum(n_txns)::BIGINT AS unchanged FROM {_nested(200)}")
 def i10(spark, d):
     shops = generate.merchants(spark)
     small = generate.transactions(generate.customers(spark, 200), shops, 400)
     large = generate.transactions(generate.customers(spark, 500), shops, 400)
-    return small.exceptAll(large).agg(F.count(F.lit(1)).alias("changed"))
+    return small.agg(F.count(F.lit(1)).alias("txns")).crossJoin(small.intersectAll(large).agg(F.count(F.lit(1)).alias("unchanged")))
 
 
 # --- the attack
 
 CITY_NAMES = "(SELECT DISTINCT lower(n_name) AS name FROM nation)"
-FIELDS_HERE = {"amount": ["amount"], "amount+date": ["amount", "date"], "all": ["amount", "date", "merchant", "city"]}
-TOLERANCES_HERE = [(0, 0), (50_000, 7), (100_000, 400)]
+_CONFIGS = ", ".join(f"({i}, '{n}', {a}, {y}, {m}, {c}, {cents}, {days})" for i, n, a, y, m, c, cents, days in linkage.configuration_list())
+_WIDEST = max(c[6] for c in linkage.configuration_list())
 
-ATTACK = NARR + f""", names AS {CITY_NAMES}, words AS (SELECT DISTINCT merchant AS name FROM txns),
+ATTACK = NARR + rf""", names AS {CITY_NAMES}, words AS (SELECT DISTINCT merchant AS name FROM txns),
  ev AS (SELECT doc_id, customer_id AS true_id, text,
-   list_transform(regexp_extract_all(text, '\\$([0-9][0-9,]*\\.[0-9]{{2}})', 1), lambda a: regexp_replace(a, '[,.]', '', 'g')::BIGINT) AS amounts,
-   list_concat(list_transform(regexp_extract_all(text, '(?:^|[^0-9/])([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})(?:$|[^0-9/])', 1), lambda x: try_strptime(x, '%m/%d/%Y')::DATE), list_transform(regexp_extract_all(text, '(?:^|[^0-9/])([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}})(?:$|[^0-9/])', 1), lambda x: try_strptime(regexp_replace(x, '/([0-9]{{2}})$', '/20\\1'), '%m/%d/%Y')::DATE)) AS dates,
+   list_transform(regexp_extract_all(text, '\$\s?([0-9][0-9,]*\.[0-9]{{2}})', 1), lambda a: regexp_replace(a, '[,.]', '', 'g')::BIGINT) AS amounts,
+   list_transform({dates_sql()}, lambda x: x::DATE) AS dates,
    regexp_extract_all(text, 'Customer#[0-9]{{9}}') AS names FROM narratives),
  ev2 AS (SELECT ev.*, coalesce((SELECT list(name ORDER BY name) FROM words WHERE contains(lower(ev.text), name)), []) AS merchants, coalesce((SELECT list(name ORDER BY name) FROM names WHERE contains(lower(ev.text), name)), []) AS cities FROM ev),
- cfg AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {'amount' in f}, {'date' in f}, {'merchant' in f}, {'city' in f}, {c}, {y})" for i, (n, f, c, y) in enumerate((n, f, c, y) for n, f in FIELDS_HERE.items() for c, y in TOLERANCES_HERE))}) AS t(config_id, fields, ua, ud, um, uc, cents_tol, day_tol)),
+ cfg AS (SELECT * FROM (VALUES {_CONFIGS}) AS t(config_id, fields, ua, ud, um, uc, cents_tol, day_tol)),
+ asked AS (SELECT doc_id, unnest(list_distinct(amounts[1:6])) AS amount FROM ev2),
+ by_amount AS (SELECT a.doc_id, t.txn_id, min(abs(a.amount - t.cents)) AS off FROM asked a JOIN txns t ON t.cents BETWEEN a.amount - {_WIDEST} AND a.amount + {_WIDEST} GROUP BY 1, 2),
+ by_merchant AS (SELECT doc_id, t.txn_id FROM (SELECT doc_id, unnest(merchants[1:6]) AS merchant FROM ev2) JOIN txns t USING (merchant)),
+ near_ AS (SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, coalesce(a.txn_id, m.txn_id) AS txn_id, a.off, m.doc_id IS NOT NULL AS by_m FROM by_amount a FULL JOIN by_merchant m ON a.doc_id = m.doc_id AND a.txn_id = m.txn_id),
+ told_ AS (SELECT n.*, t.customer_id, len(e.amounts) > 0 AS has_a, len(e.merchants) = 0 OR list_contains(e.merchants, t.merchant) AS ok_m, CASE WHEN len(e.dates) > 0 THEN list_min(list_transform(e.dates[1:6], lambda x: abs(date_diff('day', x, t.day)))) END AS days_off
+   FROM near_ n JOIN ev2 e USING (doc_id) JOIN txns t USING (txn_id)),
  rows_ AS (
-   SELECT DISTINCT cfg.config_id, e.doc_id, t.txn_id, t.customer_id FROM ev2 e, cfg, txns t
-   WHERE ((cfg.ua AND len(e.amounts) > 0 AND list_min(list_transform(e.amounts[1:6], lambda a: abs(a - t.cents))) <= cfg.cents_tol AND (NOT cfg.um OR len(e.merchants) = 0 OR list_contains(e.merchants, t.merchant)))
-     OR (cfg.um AND NOT (cfg.ua AND len(e.amounts) > 0) AND list_contains(e.merchants[1:6], t.merchant)))
-     AND (NOT cfg.ud OR len(e.dates) = 0 OR list_min(list_transform(e.dates[1:6], lambda x: abs(date_diff('day', x, t.day)))) <= cfg.day_tol)),
+   SELECT cfg.config_id, e.doc_id, e.txn_id, e.customer_id FROM told_ e, cfg
+   WHERE ((cfg.ua AND e.has_a AND e.off <= cfg.cents_tol AND (NOT cfg.um OR e.ok_m)) OR (cfg.um AND NOT (cfg.ua AND e.has_a) AND e.by_m))
+     AND (NOT cfg.ud OR e.days_off IS NULL OR e.days_off <= cfg.day_tol)),
  hits AS (SELECT config_id, doc_id, customer_id, count(*) AS hits FROM rows_ GROUP BY 1, 2, 3),
  named AS (SELECT DISTINCT cfg.config_id, e.doc_id, c.customer_id FROM ev2 e, cfg, customers c WHERE list_contains(e.names[1:4], c.name)),
  both_ AS (SELECT coalesce(h.config_id, n.config_id) AS config_id, coalesce(h.doc_id, n.doc_id) AS doc_id, coalesce(h.customer_id, n.customer_id) AS customer_id, h.hits, n.doc_id IS NOT NULL AS named FROM hits h FULL JOIN named n ON h.config_id = n.config_id AND h.doc_id = n.doc_id AND h.customer_id = n.customer_id),
@@ -433,7 +444,7 @@ ATTACK = NARR + f""", names AS {CITY_NAMES}, words AS (SELECT DISTINCT merchant
  cands AS (SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY config_id, doc_id) AS any_inside FROM placed) WHERE inside OR NOT any_inside),
  topped AS (SELECT *, max(hits) OVER (PARTITION BY config_id, doc_id) AS top FROM cands),
  per AS (SELECT config_id, doc_id, count(*) AS n, bool_or(customer_id = true_id) AS found, count(*) FILTER (hits = top) AS holders, bool_or(customer_id = true_id AND hits = top) AS top_true FROM topped JOIN (SELECT doc_id, true_id FROM ev) USING (doc_id) GROUP BY 1, 2),
- verd AS (SELECT cfg.config_id, cfg.fields, cfg.cents_tol AS cents, cfg.day_tol AS days, (coalesce(found AND n = 1, false))::INT AS u, (coalesce(found AND n <= 5, false))::INT AS k, (coalesce(holders = 1 AND top_true, false))::INT AS r, (coalesce(n = 1 AND NOT found, false))::INT AS fp FROM ev CROSS JOIN cfg LEFT JOIN per ON per.doc_id = ev.doc_id AND per.config_id = cfg.config_id),
+ verd AS (SELECT cfg.config_id, cfg.fields, cfg.cents_tol AS cents, cfg.day_tol AS days, (coalesce(found AND n = 1, false))::INT AS u, (coalesce(found AND n < 5, false))::INT AS k, (coalesce(holders = 1 AND top_true, false))::INT AS r, (coalesce(n = 1 AND NOT found, false))::INT AS fp FROM ev CROSS JOIN cfg LEFT JOIN per ON per.doc_id = ev.doc_id AND per.config_id = cfg.config_id),
  metrics AS (SELECT fields, cents, days, count(*) AS docs, avg(u) AS u_rate, avg(k) AS k_rate, avg(r) AS r_rate, avg(fp) AS fp_rate FROM verd GROUP BY 1, 2, 3)
 """
 
@@ -442,7 +453,7 @@ def attack_metrics(spark, d, docs=None):
     txns, people = transactions(spark, d), customers(spark, d)
     docs = narratives(spark, d).select("doc_id", "text", "customer_id") if docs is None else docs
     found = linkage.evidence(docs, txns.select(F.col("merchant").alias("name")), people.select(F.col("city").alias("name")), "Customer#[0-9]{9}")
-    return linkage.sweep(docs, found, txns, people, FIELDS_HERE, TOLERANCES_HERE)
+    return linkage.sweep(docs, found, txns, people)
 
 
 @query("j12_attack_sweep", ATTACK + "SELECT * FROM metrics")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import detectors, rules, spans, tags
 from umbra.functions import text as T
+from umbra.operators import generate
 from umbra.operators.ranking import capped, first_of_each
 from umbra.plans.narratives import NARR, narratives
 from umbra.sources.io import table
@@ -31,11 +32,40 @@ def scalar(name: str, column, sql: str) -> None:
 
 
 _RUNS = "regexp_extract_all(text, '[A-Za-z0-9]+')"
-_PREFIX = "regexp_extract(text, '(?s)^(.*?[^A-Za-z0-9])X{2,}(?:[^A-Za-z0-9]|$)', 1)"
+_SENTENCE_SQL = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
-def _first_marker(t):
-    return F.coalesce(F.try_element_at(spans.locate(t, T.MERGED_MARKER), F.lit(1))["start"], F.lit(0))
+def merged_sql(source: str, key: str = "doc_id") -> str:
+    """Rows (key, k, s, e) of the merged markers of source (key, text), without lookarounds: from runs of letters and digits and what parts them."""
+    over = f"OVER (PARTITION BY {key} ORDER BY i)"
+    return rf"""(SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY s) - 1 AS k, s, e FROM (
+      SELECT {key}, island, min(s)::BIGINT AS s, max(s + length(t))::BIGINT AS e FROM (
+        SELECT *, sum(fresh) {over} AS island FROM (
+          SELECT *, CASE WHEN ((slashed AND part) OR (spaced AND mark)) AND coalesce(lag(inside) {over}, false) THEN 0 ELSE 1 END AS fresh FROM (
+            SELECT *, first_value(mark) OVER (PARTITION BY {key}, g ORDER BY i) AS inside FROM (
+              SELECT *, sum(CASE WHEN number AND slashed THEN 0 ELSE 1 END) {over} AS g FROM (
+                SELECT {key}, i, t, s, regexp_full_match(t, 'X{{2,}}') AS mark, regexp_full_match(t, '[0-9]{{2,4}}') AS number, regexp_full_match(t, 'X{{2,4}}|[0-9]{{2,4}}') AS part,
+                  coalesce(regexp_full_match(sep, '\s*/\s*'), false) AS slashed, coalesce(regexp_full_match(sep, '[ 	]+'), false) AS spaced
+                FROM (SELECT {key}, i, t, sum(length(t)) {over} - length(t) AS s, lag(t) {over} AS sep
+                  FROM (SELECT {key}, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM (SELECT {key}, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS p FROM {source})))
+                WHERE regexp_full_match(t, '[A-Za-z0-9]+')))))
+        WHERE inside) GROUP BY 1, 2))"""
+
+
+_CONTEXTS = f""", sided AS (SELECT doc_id, k, substr(text, s + 1, e - s) AS mid, right(substr(text, 1, s), 60) AS lhs, substr(text, e + 1, 40) AS rhs, right(substr(text, 1, s), 40) AS lhs40, right(substr(text, 1, s), 48) AS lhs48,
+  substr(text, e + 1, 20) AS rhs20, substr(text, 1, s) AS before, s::INT AS start, e::INT AS "end" FROM {merged_sql("narratives")} JOIN narratives USING (doc_id)) """
+
+
+def contexts(docs, *keys):
+    """A row for each merged marker with what stands round it."""
+    t, s, e = F.col("text"), F.col("_span.start"), F.col("_span.end")
+    found = docs.select(*keys, "text", F.posexplode(spans.locate(t, T.MERGED_MARKER)).alias("k", "_span"))
+    windows = {"lhs": T.left_window(t, s, 60), "lhs48": T.left_window(t, s, 48), "lhs40": T.left_window(t, s, 40), "rhs": T.right_window(t, e, 40), "rhs20": T.right_window(t, e, 20), "before": F.substring(t, F.lit(1), s), "behind": F.substring(t, e + 1, F.length(t))}
+    return found.select(*keys, F.col("k").cast("bigint").alias("k"), s.alias("start"), e.alias("end"), F.substring(t, s + 1, e - s).alias("mid"), *[c.alias(n) for n, c in windows.items()])
+
+
+def marked_contexts(spark, d):
+    return contexts(narratives(spark, d).select("doc_id", "text"), "doc_id")
 
 
 def _md5(c):
@@ -110,21 +140,22 @@ def p08(spark, d):
     return table(spark, d, "documents", ["doc_id", "lang"]).withColumnsRenamed({"doc_id": "complaint_id", "lang": "language"})
 
 
-_SENTENCES = "(SELECT doc_id, unnest(string_split(marked, '. ')) AS s FROM narratives)"
-_N_MARK = "len(list_filter(regexp_extract_all(s, '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, 'X{2,}')))"
+# Sentences of 6 to 45 words with one marker whose context leaves no choice become templates; the first reason against it counts.
+_PARTED = rf"""(SELECT doc_id, doc_id * 100000 + pos AS sid, trim(t) AS text FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCE_SQL} AS l FROM narratives)))"""
+_MINED = f""", parted AS {_PARTED}, marks AS {merged_sql("parted", "sid")}, counted AS (SELECT p.*, (SELECT count(*) FROM marks WHERE marks.sid = p.sid) AS n FROM parted p),
+ one AS (SELECT c.doc_id, c.sid, c.text, c.n, right(substr(text, 1, s), 48) AS lhs, right(substr(text, 1, s), 40) AS lhs40, substr(text, 1, s) AS before, substr(text, s + 1, e - s) AS mid, substr(text, e + 1) AS behind, '' AS rhs FROM counted c LEFT JOIN marks m ON m.sid = c.sid AND m.k = 0 AND c.n = 1) """
 
 
-@query("p09_one_marker_sentences", NARR + f"SELECT doc_id, s FROM {_SENTENCES} WHERE {_N_MARK} = 1")
-def p09(spark, d):
-    s = narratives(spark, d).select("doc_id", F.explode(F.split("marked", r"\. ")).alias("s"))
-    return s.where(T.count_of(F.col("s"), T.MARKER) == 1)
+def mined(spark, d):
+    sentence = F.posexplode(T.sentences(F.col("text"))).alias("at", "text")
+    parted = narratives(spark, d).select("doc_id", sentence).select("doc_id", "at", F.trim("text").alias("text"))
+    return generate.carriers(parted, contexts)
 
 
-@query("p10_reject_cascade", NARR + "SELECT CASE WHEN length(text) < 400 THEN 'short' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') THEN 'gov_id' WHEN lang <> 'en' THEN 'language' WHEN contains(text, '{$') THEN 'braced' END AS reason, count(*) AS n FROM narratives GROUP BY 1")
-def p10(spark, d):
-    t = F.col("text")
-    reason = rules.reject_reason([("short", F.length(t) < 400), ("gov_id", t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}")), ("language", F.col("lang") != "en"), ("braced", t.contains("{$"))])
-    return narratives(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def _mined_sql() -> str:
+    field = "CASE category WHEN 'AMOUNT' THEN CASE WHEN regexp_matches(before, '[${]\\s*$') THEN 'amount_bare' ELSE 'amount' END WHEN 'CONTACT' THEN CASE WHEN regexp_matches(low, 'email|e-mail|@') THEN 'email' WHEN regexp_matches(low, 'address|mail|live|reside') THEN 'address' ELSE 'phone' END WHEN 'ACCOUNT_ID' THEN CASE WHEN regexp_matches(low, '(ending|ends|last\\s*(four|4))\\s*(in|with)?\\s*$') THEN 'last4' ELSE 'account_num' END " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in rules.SLOTS.items() if c not in ("AMOUNT", "CONTACT", "ACCOUNT_ID")) + " END"
+    named = f"SELECT doc_id, sid, text, n, len(regexp_extract_all(text, '\\S+')) AS words, before, behind, lower(lhs40) AS low, CASE WHEN n = 1 THEN nullif({_case(rules.CERTAIN_RULES, 'category')}, 'UNKNOWN') END AS category FROM one"
+    return _MINED + f", made AS (SELECT *, {field} AS field FROM ({named})), carriers AS (SELECT *, before || '[[' || field || ']]' || behind AS template, CASE WHEN words NOT BETWEEN 6 AND 45 THEN 'length' WHEN n <> 1 THEN 'markers' WHEN category IS NULL THEN 'context' WHEN regexp_matches(' ' || before || '[[' || field || ']]' || behind, '[^A-Za-z0-9]X{{2,}}') THEN 'leftover marker' WHEN contains(before || behind, '{{$') OR contains(before || behind, '}}') THEN 'formatting' END AS reason FROM made) "
 
 
 @query("p11_degenerate_entities", "SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')")
@@ -165,31 +196,70 @@ scalar("t02_markers", lambda t: T.count_of(t, T.MARKER), f"len(list_filter({_RUN
 scalar("t03_date_markers", lambda t: T.count_of(t, T.DATE_MARKER), "len(regexp_extract_all(text, 'XX/XX/(?:X{4}|[12][0-9]{3})'))::INT")
 scalar("t04_braced_amounts", lambda t: T.count_of(t, T.BRACED_AMOUNT), r"len(regexp_extract_all(text, '\{\$[0-9][0-9,]*(?:\.[0-9]{2})?\}'))::INT")
 scalar("t05_longest_run", T.longest_run, r"coalesce(list_max(list_transform(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9](X{2,}(?:[ \t]+X{2,})+)[^A-Za-z0-9]', 1), lambda r: len(string_split_regex(r, '[ \t]+')))), 0)::INT")
-scalar("t06_merged_markers", lambda t: T.count_of(t, T.MERGED_MARKER), r"len(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9](X{2,}(?:[ \t/]+X{2,})*)[^A-Za-z0-9]', 1))::INT")
 scalar("t07_loose_marker", lambda t: t.rlike(T.LOOSE_MARKER), "regexp_matches(' ' || text, '[^A-Za-z0-9]X{2,}')")
-scalar("t08_date_shape", lambda t: F.regexp_extract(t, "On ([^ ]+) ", 1).rlike("^[X0-9]{1,4}/[X0-9]{1,4}(/[X0-9]{2,4})?$"), "regexp_full_match(regexp_extract(text, 'On ([^ ]+) ', 1), '[X0-9]{1,4}/[X0-9]{1,4}(/[X0-9]{2,4})?')")
 scalar("t09_date_mask", lambda t: _md5(T.mask_dates(t)), "md5(regexp_replace(text, 'XX/XX/(?:X{4}|[12][0-9]{3})', '@DATE@', 'g'))")
-scalar("t10_left_words", lambda t: F.array_join(T.left_words(t, _first_marker(t)), "|"), rf"array_to_string(list_transform((regexp_extract_all({_PREFIX}, '\S+'))[-3:], lambda w: regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), '|')")
-scalar("t11_left_window", lambda t: _md5(T.left_window(t, _first_marker(t), 60)), f"md5(right({_PREFIX}, 60))")
 scalar("t13_answer_key", lambda t: _md5(T.answer_key(t)), r"md5(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g')))")
 scalar("t14_sentences", lambda t: F.size(T.sentences(t)), r"(len(regexp_extract_all(text, '[.!?]\s+')) + 1)::INT")
-scalar("t15_amounts", lambda t: F.coalesce(F.aggregate(T.amounts_in_cents(t), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)), r"coalesce(list_sum(list_transform(regexp_extract_all(text, '\$([0-9][0-9,]*\.[0-9]{2})', 1), lambda a: regexp_replace(a, '[,.]', '', 'g')::BIGINT)), 0)::BIGINT")
-scalar(
-    "t16_dates",
-    lambda t: F.array_join(F.transform(T.dates(t), lambda x: x.cast("string")), ","),
-    "array_to_string(list_transform(list_filter(list_concat(list_transform(regexp_extract_all(text, '(?:^|[^0-9/])([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:$|[^0-9/])', 1), lambda x: try_strptime(x, '%m/%d/%Y')), list_transform(regexp_extract_all(text, '(?:^|[^0-9/])([0-9]{1,2}/[0-9]{1,2}/[0-9]{2})(?:$|[^0-9/])', 1), lambda x: try_strptime(regexp_replace(x, '/([0-9]{2})$', '/20\\1'), '%m/%d/%Y'))), lambda x: x IS NOT NULL), lambda x: strftime(x, '%Y-%m-%d')), ',')",
-)
-TIER3 = {"amount": r"\$[0-9]", "date": "(?i)[0-9x]{1,2}/[0-9x]{1,2}/", "merchant": "(?i) at (old|small|large|hot|cold) ", "weekday": "(?i)(monday|sunday|today)"}
+scalar("t15_amounts", lambda t: F.coalesce(F.aggregate(T.amounts_in_cents(t), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)), r"coalesce(list_sum(list_transform(regexp_extract_all(text, '\$\s?([0-9][0-9,]*\.[0-9]{2})', 1), lambda a: regexp_replace(a, '[,.]', '', 'g')::BIGINT)), 0)::BIGINT")
+_DOUBLED = r"regexp_replace(text, '([^0-9A-Za-z_/])', '\1\1', 'g')"  # so that neighbours need not share what parts them
+
+
+def dates_sql(text: str = _DOUBLED) -> str:
+    found = lambda digits: rf"regexp_extract_all({text}, '(?:^|[^0-9A-Za-z_])([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{{digits}}})(?:$|[^0-9A-Za-z_])', 1)"
+    return rf"list_filter(list_concat(list_transform({found(4)}, lambda x: try_strptime(x, '%m/%d/%Y')), list_transform({found(2)}, lambda x: try_strptime(regexp_replace(x, '/([0-9]{{2}})$', '/20\1'), '%m/%d/%Y'))), lambda x: x IS NOT NULL)"
+
+
+scalar("t16_dates", lambda t: F.array_join(F.transform(T.dates(t), lambda x: x.cast("string")), ","), f"array_to_string(list_transform({dates_sql()}, lambda x: strftime(x, '%Y-%m-%d')), ',')")
+# What tells that a text still holds quasi-identifiers.
+_L, _R = "(?:^|[^0-9A-Za-z_])", "(?:$|[^0-9A-Za-z_])"
+TIER3 = {
+    "amount": r"\{?\$\s?[0-9][0-9,]*\.[0-9]{2}\}?",
+    "date": rf"(?i)(?:^|[^A-Za-z0-9])X{{2}}\s*/\s*X{{2}}\s*/\s*(?:X{{2,4}}|[0-9]{{2,4}})|{_L}[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}{_R}|{_L}(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{{1,2}}{_R}",
+    "merchant": rf"(?i){_L}(?:store|merchant|retailer|restaurant|gas\s+station|pharmacy|supermarket|grocery|hotel|airline|dealership|shop){_R}",
+    "temporal": rf"(?i){_L}(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday){_R}|{_L}[0-9]{{1,2}}\s?(?:am|pm){_R}|{_L}(?:morning|afternoon|evening|midnight|noon){_R}",
+}
 scalar("t19_tier3_patterns", lambda t: F.concat_ws(",", *[F.when(t.rlike(p), n) for n, p in TIER3.items()]), "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in TIER3.items()) + ")")
 scalar("t21_replace_spans", lambda t: _md5(spans.replace_spans(t, spans.locate(t, "[0-9]{3}-[0-9]{2}-[0-9]{4}"))), "md5(regexp_replace(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}', '[REDACTED]', 'g'))")
-scalar("t22_value_markers", lambda t: T.as_markers(F.substring(t, 1, 30)), r"array_to_string(list_resize(['XXXX', 'XXXX', 'XXXX', 'XXXX', 'XXXX', 'XXXX'], least(len(regexp_extract_all(substr(text, 1, 30), '\S+')), 6)), ' ')")
+scalar("t22_value_markers", T.as_markers, r"array_to_string(list_resize(['XXXX', 'XXXX', 'XXXX', 'XXXX', 'XXXX', 'XXXX'], least(len(regexp_extract_all(text, '\S+')), 6)), ' ')")
 scalar("t23_inline_tags", lambda t: _md5(spans.tag_spans(t, spans.locate(t, "[a-z]+@mail[.]com|[0-9]{3}-[0-9]{2}-[0-9]{4}", "CONTACT"))), r"md5(regexp_replace(text, '([a-z]+@mail[.]com|[0-9]{3}-[0-9]{2}-[0-9]{4})', '<CONTACT>\1</CONTACT>', 'g'))")
-scalar("t24_parse_tags", lambda t: _md5(tags.parse_tags(spans.tag_spans(t, spans.locate(t, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "GOV_ID")))["text"]), "md5(text)")
-scalar("t25_recover_spans", lambda t: F.size(tags.recover_spans(F.right(t, F.lit(300)), spans.tag_spans(F.right(t, F.lit(300)), spans.locate(F.right(t, F.lit(300)), "[0-9]{3}-[0-9]{2}-[0-9]{4}", "GOV_ID")))["spans"]), "len(regexp_extract_all(right(text, 300), '[0-9]{3}-[0-9]{2}-[0-9]{4}'))::INT")
+scalar("t25_recover_spans", lambda t: F.size(tags.recover_spans(t, F.substring(spans.tag_spans(t, spans.locate(t, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "GOV_ID")), F.lit(2), F.length(t) * 2))["spans"]), "len(regexp_extract_all(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}'))::INT")  # the writer loses the first character
 scalar("t30_prompt", lambda t: _md5(T.prompt(t, "What is it about?", ["card", "loan"])), "md5(concat_ws(chr(10), 'What is it about?', 'Options: card; loan; UNKNOWN', 'Reply as {\"answer\": \"...\"}.', substr(text, 1, 6000)))")
 scalar("t31_reply", lambda t: T.reply_answer(F.concat(F.lit('Sure: {"answer": "'), F.length(t).cast("string"), F.lit('"} done'))), "length(text)::VARCHAR")
 
 
+@query("t06_merged_markers", NARR + _CONTEXTS + 'SELECT doc_id, k, start, "end", mid FROM sided')
+def t06(spark, d):
+    return marked_contexts(spark, d).select("doc_id", "k", "start", "end", "mid")
+
+
+@query("t08_date_shape", NARR + _CONTEXTS + f"SELECT doc_id, k, regexp_matches(mid, '{T.DATE_SHAPE}') AS value FROM sided")
+def t08(spark, d):
+    return marked_contexts(spark, d).select("doc_id", "k", F.col("mid").rlike(T.DATE_SHAPE).alias("value"))
+
+
+_LAST3 = r"list_transform((regexp_extract_all(before, '\S+'))[-3:], lambda w: regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))"
+
+
+@query("t10_left_words", NARR + _CONTEXTS + f"SELECT doc_id, k, array_to_string({_LAST3}, '|') AS value FROM sided")
+def t10(spark, d):
+    return marked_contexts(spark, d).select("doc_id", "k", F.array_join(T.left_words(F.col("before"), F.length("before")), "|").alias("value"))
+
+
+@query("t11_windows", NARR + _CONTEXTS + "SELECT doc_id, k, md5(lhs) AS lhs, md5(rhs) AS rhs FROM sided")
+def t11(spark, d):
+    return marked_contexts(spark, d).select("doc_id", "k", _md5(F.col("lhs")).alias("lhs"), _md5(F.col("rhs")).alias("rhs"))
+
+
+@query("t24_parse_tags", NARR + """SELECT doc_id, md5(told || marked || '<NOPE>x</NOPE>') AS digest, CASE WHEN doc_id % 2 = 0 THEN '0:' || length(told || marked) || ':PERSON,' ELSE '' END || length(told) || ':' || length(told || marked) || ':DATE' AS spans FROM narratives""")
+def t24(spark, d):
+    """Nested tags, tags closed in the wrong order, an empty span and an unknown tag."""
+    ends = F.when(F.col("doc_id") % 2 == 0, "</DATE></PERSON>").otherwise("</PERSON></DATE>")
+    tagged = F.concat(F.lit("<PERSON>"), "told", F.lit("<DATE>"), "marked", ends, F.lit("<NOPE>x</NOPE><AMOUNT></AMOUNT></HEALTH>"))
+    got = narratives(spark, d).select("doc_id", tags.parse_tags(tagged).alias("r"))
+    shown = F.transform("r.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["category"]))
+    return got.select("doc_id", _md5(F.col("r.text")).alias("digest"), F.array_join(shown, ",").alias("spans"))
+
+
 @query("t12_company_key", r"SELECT DISTINCT p_name, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' Co., Inc.'), '[^a-z]+', ' ', 'g'), '(^| )(inc|llc|ltd|corp|corporation|company|co|na|plc|lp|group|holdings)( |$)', ' ', 'g'), ' +', ' ', 'g')) AS value FROM part")
 def t12(spark, d):
     return table(spark, d, "part", ["p_name"]).distinct().select("p_name", T.company_key(F.concat("p_name", F.lit(" Co., Inc."))).alias("value"))
@@ -216,7 +286,7 @@ def located_sql(pattern: str, category: str = "") -> str:
 
 @query("t20_match_offsets", NARR + "SELECT doc_id, r.s::INT AS start, (r.s + r.n)::INT AS \"end\" FROM " + located_sql(detectors.STRUCTURED["CONTACT_EMAIL"]))
 def t20(spark, d):
-    found = narratives(spark, d).select("doc_id", F.inline(spans.locate(F.col("text"), detectors.STRUCTURED["CONTACT_EMAIL"])))
+    found = narratives(spark, d).select("doc_id", F.inline(spans.locate(F.col("text"), T.ascii_edges(detectors.STRUCTURED["CONTACT_EMAIL"]))))
     return found.select("doc_id", "start", "end")
 
 
@@ -232,16 +302,10 @@ def t27(spark, d):
     return n.select("doc_id", T.us_date(F.col("day")).alias("us"), F.date_format("day", "yyyy-MM-dd").alias("iso"), T.money(F.col("cents")).alias("amount"), F.split_part("name", F.lit("#"), F.lit(2)).alias("account"))
 
 
-@query("t28_slot_choice", NARR + "SELECT doc_id, CASE WHEN contains(marked, 'mail') THEN 'email' WHEN contains(marked, '$') THEN 'amount' WHEN regexp_matches(marked, '[0-9]{4} [0-9]{4}') THEN 'card' ELSE 'phone' END AS field FROM narratives")
-def t28(spark, d):
-    m = F.col("marked")
-    return narratives(spark, d).select("doc_id", F.when(m.contains("mail"), "email").when(m.contains("$"), "amount").when(m.rlike("[0-9]{4} [0-9]{4}"), "card").otherwise("phone").alias("field"))
-
-
 @query("t29_structured_patterns", NARR + " UNION ALL ".join(f"SELECT '{c}' AS pattern, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n FROM narratives" for c, p in detectors.WITH_MONEY.items()))
 def t29(spark, d):
     t = F.col("text")
-    one = narratives(spark, d).agg(*[F.sum(T.count_of(t, p)).alias(c) for c, p in detectors.WITH_MONEY.items()])
+    one = narratives(spark, d).agg(*[F.sum(T.count_of(t, T.ascii_edges(p))).alias(c) for c, p in detectors.WITH_MONEY.items()])
     return one.unpivot([], list(detectors.WITH_MONEY), "pattern", "n")
 
 
@@ -252,59 +316,74 @@ def t32(spark, d):
 
 # --- rules
 
-def _case(rule_set, column: str) -> str:
-    sides = {"left": "lower(lhs)", "right": "lower(rhs)", "self": "mid"}
+def _case(rule_set, column: str, left: str = "lhs", right: str = "rhs") -> str:
+    sides = {"left": left, "right": right, "self": "trim(mid)"}
     value = {"category": lambda r: r.category, "side": lambda r: r.side}[column]
     return "CASE " + " ".join("WHEN regexp_matches({}, '{}') THEN '{}'".format(sides[r.side], r.pattern.replace("'", "''"), value(r)) for r in rule_set) + (" ELSE 'UNKNOWN' END" if column == "category" else " ELSE 'none' END")
 
 
-_CONTEXTS = """, contexts AS (SELECT doc_id, right(pre, 60) AS lhs, regexp_extract(substr(text, length(pre) + 1), '^X{2,}(?:[ \\t/]+X{2,})*(?:/[0-9]{4})?') AS mid, pre, text FROM (
-  SELECT doc_id, text, """ + _PREFIX + """ AS pre FROM narratives WHERE v >= 0) WHERE pre <> ''), sided AS (SELECT *, substr(text, length(pre) + length(mid) + 1, 40) AS rhs FROM contexts WHERE mid <> '') """
-
-
-def contexts(spark, d):
-    t = F.col("text")
-    n = narratives(spark, d).withColumn("s", _first_marker(t)).where("s > 0")
-    mid = n.withColumn("mid", F.regexp_extract(F.substring(t, F.col("s") + 1, F.length(t)), r"^X{2,}(?:[ \t/]+X{2,})*(?:/[0-9]{4})?", 0)).where("mid <> ''")
-    end = F.col("s") + F.length("mid")
-    return mid.select("doc_id", "mid", T.left_window(t, F.col("s"), 60).alias("lhs"), T.right_window(t, end, 40).alias("rhs"))
-
-
 def classified(spark, d):
     category, side = rules.classify(rules.CONTEXT_RULES, F.col("lhs"), F.col("mid"), F.col("rhs"))
-    return contexts(spark, d).select("doc_id", category.alias("category"), side.alias("side"))
+    return marked_contexts(spark, d).select("*", category.alias("category"), side.alias("side"))
 
 
-_LEFT_ONLY = [r for r in rules.CONTEXT_RULES if r.side != "right"]
-
-
-@query("c01_left_rules", NARR + _CONTEXTS + f"SELECT doc_id, {_case(_LEFT_ONLY, 'category')} AS category FROM sided")
+@query("c01_left_rules", NARR + _CONTEXTS + f"SELECT doc_id, k, {_case(rules.ROUGH_RULES, 'category', 'lhs40', 'rhs20')} AS category FROM sided")
 def c01(spark, d):
-    return contexts(spark, d).select("doc_id", rules.classify(_LEFT_ONLY, F.col("lhs"), F.col("mid"), F.col("rhs"))[0].alias("category"))
+    return marked_contexts(spark, d).select("doc_id", "k", rules.classify(rules.ROUGH_RULES, F.col("lhs40"), F.col("mid"), F.col("rhs20"))[0].alias("category"))
 
 
-@query("c02_two_sided_rules", NARR + _CONTEXTS + f"SELECT doc_id, {_case(rules.CONTEXT_RULES, 'category')} AS category FROM sided")
+@query("c02_two_sided_rules", NARR + _CONTEXTS + f"SELECT doc_id, k, {_case(rules.CONTEXT_RULES, 'category')} AS category FROM sided")
 def c02(spark, d):
-    return classified(spark, d).select("doc_id", "category")
+    return classified(spark, d).select("doc_id", "k", "category")
+
 
+_CATEGORY = _case(rules.CONTEXT_RULES, "category")
 
-@query("c03_provenance", NARR + _CONTEXTS + f"SELECT {_case(rules.CONTEXT_RULES, 'side')} AS side, count(*) AS n FROM sided GROUP BY 1")
+
+@query("c03_provenance", NARR + _CONTEXTS + f"SELECT {_case(rules.CONTEXT_RULES, 'side')} AS side, regexp_matches(lhs || ' ' || rhs, '(^|[^A-Za-z0-9])X{{2,}}') AS neighbour, count(*) AS n FROM sided GROUP BY 1, 2")
 def c03(spark, d):
-    return classified(spark, d).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    near = F.concat("lhs", F.lit(" "), "rhs").rlike("(^|[^A-Za-z0-9])X{2,}").alias("neighbour")
+    return classified(spark, d).groupBy("side", near).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c04_determining_context", NARR + _CONTEXTS + f"SELECT doc_id, nullif({_case(rules.CONTEXT_RULES[5:], 'category')}, 'UNKNOWN') AS category FROM sided")
+@query("c04_determining_context", NARR + _CONTEXTS + f"SELECT doc_id, k, nullif({_case(rules.CERTAIN_RULES, 'category', 'lhs48')}, 'UNKNOWN') AS category FROM sided")
 def c04(spark, d):
-    category = rules.classify(rules.CONTEXT_RULES[5:], F.col("lhs"), F.col("mid"), F.col("rhs"))[0]
-    return contexts(spark, d).select("doc_id", F.nullif(category, F.lit("UNKNOWN")).alias("category"))
+    category = rules.classify(rules.CERTAIN_RULES, F.col("lhs48"), F.col("mid"), F.col("rhs"))[0]
+    return marked_contexts(spark, d).select("doc_id", "k", F.nullif(category, F.lit("UNKNOWN")).alias("category"))
+
+
+@query("t28_slot_choice", None)
+def t28(spark, d):
+    return mined(spark, d).where("category is not null").select("doc_id", "at", "category", "field")
+
+
+@query("p09_one_marker_sentences", NARR + _MINED + "SELECT doc_id, text AS s FROM one WHERE n = 1")
+def p09(spark, d):
+    return mined(spark, d).where("n = 1").select("doc_id", F.col("text").alias("s"))
+
+
+@query("p10_reject_cascade", NARR + _mined_sql() + "SELECT reason, count(*) AS n FROM carriers GROUP BY 1")
+def p10(spark, d):
+    return mined(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["t28_slot_choice"] = NARR + _mined_sql() + 'SELECT doc_id, (sid - doc_id * 100000)::INT AS "at", category, field FROM carriers WHERE category IS NOT NULL'
+
+
+_HASHED = "CASE WHEN ('0x' || substr(md5('split|' || doc_id), 1, 8))::BIGINT % 10000 < 7000 THEN 'train' ELSE 'eval' END"
+
+
+@query("i08_carriers", NARR + _mined_sql() + f", dealt AS (SELECT DISTINCT category, template, {_HASHED} AS split FROM carriers WHERE reason IS NULL) SELECT category, template, split FROM dealt a WHERE split = 'train' OR NOT EXISTS (SELECT 1 FROM dealt b WHERE b.split = 'train' AND b.category = a.category AND b.template = a.template)")
+def i08(spark, d):
+    return generate.split_carriers(mined(spark, d)).select("category", "template", "split")
 
 
 _TIER_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN {t}" for c, t in rules.TIERS.items()) + " END"
 
 
-@query("c05_tiers", NARR + _CONTEXTS + f"SELECT doc_id, category, {_TIER_SQL} AS tier FROM (SELECT doc_id, {_case(rules.CONTEXT_RULES, 'category')} AS category FROM sided)")
+@query("c05_tiers", NARR + _CONTEXTS + f"SELECT doc_id, k, category, {_TIER_SQL} AS tier FROM (SELECT doc_id, k, {_CATEGORY} AS category FROM sided)")
 def c05(spark, d):
-    return classified(spark, d).select("doc_id", "category", rules.tier(F.col("category")).alias("tier"))
+    return classified(spark, d).select("doc_id", "k", "category", rules.tier(F.col("category")).alias("tier"))
 
 
 LABEL_MAP = {"src0": ("PERSON", "name"), "src1": ("EMPLOYER", "org"), "src2": ("DATE", "day")}
