@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -75,13 +76,15 @@ class Memo(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors share. There is no other: a local one would lose what executors write."""
+    """The checkpoint folder of the session, which all executors share. Where none is named, a temporary one serves a session that runs in one process; a cluster has to name one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-checkpoints-"))
     return context.getCheckpointDir().get()
 
 
