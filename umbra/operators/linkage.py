@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def evidence(docs: DataFrame, merchants: DataFrame, cities: DataFrame, name_patt
             hit = docs.select("doc_id", "text").join(known, low.contains(F.col("name"))).groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias(name))
             found = found.join(hit, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
         else:
-            found = found.crossJoin(F.broadcast(listed)).withColumn(name, F.filter(f"_{name}", lambda w: F.contains(F.lower(F.col("text")), w))).drop(f"_{name}")
+            found = found.crossJoin(F.broadcast(listed)).withColumn(name, F.element_at(F.transform(F.array(low), lambda text: F.filter(F.col(f"_{name}"), lambda w: F.contains(text, w))), 1)).drop(f"_{name}")  # noqa: B023  lower-cased once a text
     return found.drop("text")
 
 
@@ -68,12 +71,15 @@ def configurations(spark, listed: list[tuple]) -> DataFrame:
     return spark.createDataFrame(listed, "config_id int, fields string, use_amount boolean, use_date boolean, use_merchant boolean, use_city boolean, cents int, days int")
 
 
-def candidate_rows(found: DataFrame, txns: DataFrame, widest: int) -> DataFrame:
+def candidate_rows(found: DataFrame, txns: DataFrame, listed: list[tuple]) -> DataFrame:
     """Every transaction that some configuration may reach, once, with how far off it is.
 
     txns has txn_id, customer_id, cents, day and merchant (lower case). The band join
-    runs at the widest tolerance alone; narrower ones filter its rows.
+    runs at the widest tolerance alone; narrower ones filter its rows. Merchants are
+    followed where some configuration lets them open the search: without amounts in the
+    text, or without amounts among its fields.
     """
+    widest = max(c[6] for c in listed)
     amounts = F.filter(F.slice("amounts", 1, MOST["amount"]), lambda a: a.isNotNull())
     facts = found.select("doc_id", amounts.alias("asked"), "dates", "merchants", (F.size("amounts") > 0).alias("has_amounts"))
     opened = facts.withColumn("cents_asked", F.explode(F.array_distinct("asked")))
@@ -81,8 +87,11 @@ def candidate_rows(found: DataFrame, txns: DataFrame, widest: int) -> DataFrame:
     by_amount = band_join(opened, txns, "cents_asked", "cents", widest).groupBy("doc_id", "txn_id", "customer_id").agg(
         F.min(F.abs(F.col("cents_asked") - F.col("cents"))).alias("off_cents"), F.min(near).alias("off_days"), F.min((F.size("merchants") == 0) | F.array_contains("merchants", F.col("merchant"))).alias("merchant_ok"), F.lit(True).alias("has_amounts")
     )
-    asked = facts.withColumn("merchant_asked", F.explode(F.slice("merchants", 1, MOST["merchant"])))
+    openers = [~F.col("has_amounts") if c[2] else F.lit(True) for c in listed if c[4]]
+    asked = facts.where(reduce(or_, openers, F.lit(False))).withColumn("merchant_asked", F.explode(F.slice("merchants", 1, MOST["merchant"])))
     by_merchant = asked.join(txns, F.col("merchant_asked") == F.col("merchant")).select("doc_id", "txn_id", "customer_id", F.lit(None).cast("bigint").alias("off_cents"), near.alias("off_days"), F.lit(True).alias("merchant_ok"), "has_amounts")
+    if all(c[3] for c in listed if c[4]):  # dates filter wherever merchants may open
+        by_merchant = by_merchant.where(F.col("off_days").isNull() | (F.col("off_days") <= max((c[7] for c in listed if c[4]), default=0)))
     return by_amount.unionByName(by_merchant)
 
 
@@ -112,28 +121,33 @@ def with_names(hits: DataFrame, found: DataFrame, customers: DataFrame, configs:
     """Customers named in full narrow the hits where both agree, and replace them where not."""
     asked = found.select("doc_id", F.explode(F.slice("names", 1, MOST["name"])).alias("name"))
     named = asked.join(customers.select("customer_id", F.col("name").alias("full_name")), F.col("name") == F.col("full_name")).select("doc_id", "customer_id").distinct()
+    # only documents that name somebody are looked at; the others keep their hits
+    telling = named.select("doc_id").distinct()
+    silent = hits.join(telling, "doc_id", "left_anti").select("config_id", "doc_id", "customer_id", "hits")
     named = named.crossJoin(F.broadcast(configs.select("config_id"))).withColumn("named", F.lit(1))
-    both = hits.join(named, ["config_id", "doc_id", "customer_id"], "full")
+    both = hits.join(telling, "doc_id", "left_semi").join(named, ["config_id", "doc_id", "customer_id"], "full")
     per_doc = Window.partitionBy("config_id", "doc_id")
     agree = F.col("named").isNotNull() & F.col("hits").isNotNull()
     flagged = both.withColumn("any_named", F.max(F.coalesce("named", F.lit(0))).over(per_doc)).withColumn("any_both", F.max(agree.cast("int")).over(per_doc))
     keep = F.when(F.col("any_named") == 0, F.col("hits").isNotNull()).when(F.col("any_both") == 1, agree).otherwise(F.col("named").isNotNull())
-    return flagged.where(keep).select("config_id", "doc_id", "customer_id", (F.coalesce("hits", F.lit(0)) + F.coalesce("named", F.lit(0))).alias("hits"))
+    return flagged.where(keep).select("config_id", "doc_id", "customer_id", (F.coalesce("hits", F.lit(0)) + F.coalesce("named", F.lit(0))).alias("hits")).unionByName(silent)
 
 
-def narrowed_by_city(hits: DataFrame, found: DataFrame, customers: DataFrame, configs: DataFrame) -> DataFrame:
+def narrowed_by_city(hits: DataFrame, found: DataFrame, customers: DataFrame, listed: list[tuple]) -> DataFrame:
     """Where cities count: customers of a city that the text names, unless no candidate is of one."""
+    using = F.col("config_id").isin([c[0] for c in listed if c[5]])
+    cities = found.where(F.size("cities") > 0).select("doc_id", "cities")
     where = customers.select("customer_id", F.lower("city").alias("city"))
-    placed = hits.join(where, "customer_id", "left").join(found.select("doc_id", "cities"), "doc_id").join(F.broadcast(configs.select("config_id", "use_city")), "config_id")
-    inside = F.col("use_city") & F.coalesce(F.array_contains("cities", F.col("city")), F.lit(False))
+    placed = hits.where(using).join(where, "customer_id", "left").join(cities, "doc_id", "left")
+    inside = F.coalesce(F.array_contains("cities", F.col("city")), F.lit(False))
     flagged = placed.withColumn("inside", inside).withColumn("any_inside", F.max(inside.cast("int")).over(Window.partitionBy("config_id", "doc_id")))
-    return flagged.where("inside or any_inside = 0").select("config_id", "doc_id", "customer_id", "hits")
+    return flagged.where("inside or any_inside = 0").select("config_id", "doc_id", "customer_id", "hits").unionByName(hits.where(~using))
 
 
 def candidates(found: DataFrame, txns: DataFrame, customers: DataFrame, listed: list[tuple]) -> DataFrame:
     configs = configurations(found.sparkSession, listed)
-    rows = candidate_rows(found, txns, max(c[6] for c in listed))
-    return narrowed_by_city(with_names(candidate_hits(rows, listed), found, customers, configs), found, customers, configs)
+    rows = candidate_rows(found, txns, listed)
+    return narrowed_by_city(with_names(candidate_hits(rows, listed), found, customers, configs), found, customers, listed)
 
 
 def verdicts(docs: DataFrame, hits: DataFrame, configs: DataFrame) -> DataFrame:
@@ -161,10 +175,14 @@ def rates(flags: DataFrame, *keys: str) -> DataFrame:
 def sweep(docs: DataFrame, found: DataFrame, txns: DataFrame, customers: DataFrame, field_sets: dict[str, list[str]] | None = None, tolerances: list[tuple[int, int]] | None = None) -> DataFrame:
     """Rates of every field set and tolerance, in one plan: candidates are found once. found is read by several branches, so it is kept."""
     listed = configuration_list(field_sets, tolerances)
-    configs = configurations(docs.sparkSession, listed)
+    # configurations that differ only in a tolerance that their fields don't use are one
+    effect = {c[0]: (*c[2:6], c[6] if c[2] else 0, c[7] if c[3] else 0) for c in listed}
+    first = {e: k for k, e in reversed(effect.items())}
+    distinct = [c for c in listed if first[effect[c[0]]] == c[0]]
     found = found.persist()
-    flags = verdicts(docs, candidates(found, txns, customers, listed), configs)
-    return rates(flags, "config_id").join(F.broadcast(configs.select("config_id", "fields", "cents", "days")), "config_id").drop("config_id")
+    flags = verdicts(docs, candidates(found, txns, customers, distinct), configurations(docs.sparkSession, distinct))
+    named = docs.sparkSession.createDataFrame([(first[effect[c[0]]], c[1], c[6], c[7]) for c in listed], "config_id int, fields string, cents int, days int")
+    return rates(flags, "config_id").join(F.broadcast(named), "config_id").drop("config_id")
 
 
 def select_config(metrics: DataFrame, ceiling: float = FP_CEILING) -> DataFrame:

@@ -5,6 +5,7 @@ Each document gets an order by hash, and sentences that tell of it or carry mark
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,18 @@ def told(v, amount, long_day, short_day, merchant, city, name):
     )
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, kept for the session: nearly every query of the text family starts from it. What an executor loses of it is made again from the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = _narratives(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
+def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("text", "body")
     txns = numbered(transactions(spark, sf_dir), "txn_id", name="rn")
     n = table(spark, sf_dir, "orders", ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"))
