@@ -253,21 +253,36 @@ def long_links(nodes: DataFrame, differ: int) -> DataFrame:
         codes = posting_codes(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), sets)
         return np.full(len(texts), len(sets)), np.arange(codes.size), codes.ravel(), np.zeros(codes.size, bool)
 
-    met = meeting_positions(nodes.select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("text")), code, anchored=False, unit_bytes=1 << 18)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                fps = part.column(1).to_pylist()
-                hits = [h.values.to_numpy(zero_copy_only=False) for h in part.column(2)]
-                codes = posting_codes(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), sets)
-                owner = np.repeat(np.arange(len(fps)), [len(h) for h in hits])
-                cols = [pa.array(codes[owner, np.concatenate(hits)].view(np.int64)), part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "node", "fp"])
-
-    posted = nodes.join(met.select(F.col("doc_id").alias("node"), "hits"), "node").select("node", "fp", "hits").mapInArrow(post, "key long, node long, fp binary")
-    posted = materialise(posted)
+    met = materialise(meeting_positions(nodes.select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("text")), code, anchored=False, unit_bytes=1 << 18))
+    rows = nodes.join(met.select(F.col("doc_id").alias("node"), "hits"), "node").select("node", "fp", "hits")
+
+    def postings(low: int, high: int) -> DataFrame:
+        """(key, node) for the sets from low to high."""
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    fps = part.column(1).to_pylist()
+                    hits = [h.values.to_numpy(zero_copy_only=False) for h in part.column(2)]
+                    hits = [h[(h >= low) & (h < high)] for h in hits]
+                    codes = posting_codes(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), sets)
+                    owner = np.repeat(np.arange(len(fps)), [len(h) for h in hits])
+                    yield pa.RecordBatch.from_arrays([pa.array(codes[owner, np.concatenate(hits)].view(np.int64)), part.column(0).take(pa.array(owner))], ["key", "node"])
+
+        return rows.mapInArrow(post, "key long, node long")
+
+    # the first sets link nearly all that is near; of the others only postings that hold several components can add a link
+    some = 8 * WORDS
+    first = materialise(_forests(postings(0, some).join(nodes, "node"), differ))
+    named = nodes.select("node", "fp").join(component_labels(first), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+    rest = postings(some, len(sets)).join(named.select("node", "component"), "node")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return first.unionAll(_forests(rest.join(mixed, "key").select("key", "node").join(nodes, "node"), differ)).distinct()
+
+
+def _forests(posted: DataFrame, differ: int) -> DataFrame:
+    """Links (a, b) that connect the near ones of each posting (key, node, fp)."""
     large = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_BLOCK)
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(LONG_BLOCK)).cast("int")
     shared = posted.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
