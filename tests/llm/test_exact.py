@@ -490,3 +490,21 @@ def test_near_copies_at_a_similarity(spark):
 def test_postings_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LONG_BLOCK", 16)
     test_near_copies_at_a_similarity(spark)
+
+
+def test_long_secrets_are_taken_whole():
+    detector = pii.train()
+    r = random.Random(2)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(500))
+    mixed = "".join(r.choice("abcdef0123456789") for _ in range(300))
+    for key in (letters, mixed):
+        text = f'we set token = "{key}" for it'
+        assert detector.extra(text, []) == [("secret", text.index(key), text.index(key) + len(key))]
+    assert detector.extra("some-long-hyphenated-compound-of-words and a/path/of/many/words/in/it", []) == []
+
+
+def test_unbroken_text_is_linear():
+    """A text without spaces that no cut parts, as the library encodes it."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    text = "the" * 2000
+    assert piece_codec.PieceCodec(model).encode(text) == sentencepiece.SentencePieceProcessor(model_file=model).encode(text)
