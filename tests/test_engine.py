@@ -217,3 +217,10 @@ def test_nothing_else_imports_the_training_data_folder():
             if name.endswith(".py"):
                 with open(os.path.join(folder, name)) as f:
                     assert "umbra.llm" not in f.read()
+
+
+def test_postings_are_opened_once_for_a_set_of_merchants(spark):
+    pairs = spark.createDataFrame([("red", 1), ("red", 2), ("blue", 2), ("blue", 3)], "merchant string, customer_id int")
+    docs = spark.createDataFrame([(k, ["red"]) for k in range(50)] + [(50, ["blue", "red"]), (51, []), (52, ["blue"]), (52, ["red"])], "doc_id int, merchants array<string>")
+    got = {r["doc_id"]: r["customers"] for r in linkage.customers_of(docs, pairs).collect()}
+    assert got == {k: 2 for k in range(50)} | {50: 3, 52: 3}
