@@ -3,6 +3,7 @@
 import datetime
 import importlib
 import os
+import random
 import sys
 
 import duckdb
@@ -218,9 +219,26 @@ def test_nothing_else_imports_the_training_data_folder():
                 with open(os.path.join(folder, name)) as f:
                     assert "umbra.llm" not in f.read()
 
-
 def test_postings_are_opened_once_for_a_set_of_merchants(spark):
     pairs = spark.createDataFrame([("red", 1), ("red", 2), ("blue", 2), ("blue", 3)], "merchant string, customer_id int")
     docs = spark.createDataFrame([(k, ["red"]) for k in range(50)] + [(50, ["blue", "red"]), (51, []), (52, ["blue"]), (52, ["red"])], "doc_id int, merchants array<string>")
     got = {r["doc_id"]: r["customers"] for r in linkage.customers_of(docs, pairs).collect()}
     assert got == {k: 2 for k in range(50)} | {50: 3, 52: 3}
+
+
+def test_sweep_counts_cases_as_it_counts_documents(spark):
+    rng = random.Random(4)
+    days = [datetime.date(2024, 1, k) for k in (1, 2, 5, 9)]
+    txns = spark.createDataFrame([(k, rng.randrange(6), 5000 + 100 * rng.randrange(4), rng.choice(days), rng.choice(["old shop", "new shop", "shop"])) for k in range(60)], "txn_id int, customer_id int, cents bigint, day date, merchant string")
+    people = spark.createDataFrame([(k, f"Ann B{'abcdef'[k]}", ["rome", "oslo", "bern"][k % 3]) for k in range(6)], "customer_id int, name string, city string")
+    parts = [["", "paid $50.00", "paid $51.00 or $51.00 and $50.00"], ["", "on 1/2/2024", "1/5/24 1/9/2024 1/1/2024"], ["", "at old shop", "new shop old shop"], ["", "in rome", "oslo bern"], ["", "", "I am Ann Ba", "Ann Bb Ann Bc"]]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(p) for p in parts), rng.randrange(6)) for k in range(250)], "doc_id int, text string, customer_id int")
+    found = linkage.evidence(docs, txns.select(F.col("merchant").alias("name")), people.select(F.col("city").alias("name")), "Ann B[a-f]").persist()
+    sets = linkage.FIELD_SETS | {"merchant+date": ["merchant", "date"]}
+    listed = linkage.configuration_list(sets, [(0, 0), (0, 3), (100, 7)])
+    flags = linkage.verdicts(docs, linkage.candidates(found, txns, people, listed), linkage.configurations(spark, listed))
+    names = {c[0]: (c[1], c[6], c[7]) for c in listed}
+    rate = lambda r: tuple(round(r[f"{x}_rate"], 9) for x in ("u", "k", "r", "fp")) + (r["docs"],)
+    expected = {names[r["config_id"]]: rate(r) for r in linkage.rates(flags, "config_id").collect()}
+    got = {(r["fields"], r["cents"], r["days"]): rate(r) for r in linkage.sweep(docs, found, txns, people, sets, [(0, 0), (0, 3), (100, 7)]).collect()}
+    assert got == expected and any(v[0] for v in got.values())
