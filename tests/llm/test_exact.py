@@ -508,3 +508,7 @@ def test_unbroken_text_is_linear():
     model = public_tokenizers.path("piece_bpe_32k.model")
     text = "the" * 2000
     assert piece_codec.PieceCodec(model).encode(text) == sentencepiece.SentencePieceProcessor(model_file=model).encode(text)
+
+
+def test_sets_of_positions_do_not_depend_on_the_number_of_documents():
+    assert simhash.posting_sets().shape == (192, 3)

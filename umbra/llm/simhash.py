@@ -188,9 +188,8 @@ def near_links(nodes: DataFrame, differ: int = 3) -> DataFrame:
 
 WORDS = 8  # 64-bit words of a long fingerprint
 SHARED = 8  # of its 64 bytes a pair must share so many: at a similarity of 0.8 it shares 17 on average, and 8 with a chance of 0.998
-# steps from a byte position to the others of its set: any two sets share one position at most
+# steps from a byte position to the others of its set of three: any two sets share one position at most. The sets are the same for any number of documents
 TRIPLES = ((1, 3), (5, 12), (9, 25))
-QUADS = ((1, 3, 7), (5, 13, 22), (8, 19, 31), (10, 21, 35), (11, 23, 41), (12, 27, 44), (14, 29, 47), (15, 32, 50), (16, 33, 53), (18, 38, 59), (20, 43, 57), (24, 49, 61))
 MARGIN = 0.02  # by which the estimate may fall short of the similarity asked for, so that pairs at the limit are seldom lost
 LONG_BLOCK = 1 << 16  # most long fingerprints of one posting that meet in one task, taken two blocks at a time
 
@@ -200,10 +199,9 @@ def differing_bits(similarity: float, bits: int = 64 * WORDS) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def posting_sets(n: int) -> np.ndarray:
-    """Sets of byte positions of a long fingerprint: of three, or, for more nodes than such postings tell apart, of four."""
-    steps = TRIPLES if n <= 1 << 22 else QUADS
-    return np.array([[i, *((i + s) % (8 * WORDS) for s in more)] for more in steps for i in range(8 * WORDS)])
+def posting_sets() -> np.ndarray:
+    """Sets of byte positions of a long fingerprint."""
+    return np.array([[i, *((i + s) % (8 * WORDS) for s in more)] for more in TRIPLES for i in range(8 * WORDS)])
 
 
 def posting_codes(fps: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -247,7 +245,7 @@ def long_links(nodes: DataFrame, differ: int) -> DataFrame:
     bit; it gives a forest of its links. One of over LONG_BLOCK fingerprints is dealt in
     blocks of which each two meet.
     """
-    sets = posting_sets(nodes.count())
+    sets = posting_sets()
 
     def code(texts: list[bytes], _: list):
         codes = posting_codes(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), sets)
