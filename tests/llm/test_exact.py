@@ -512,3 +512,10 @@ def test_unbroken_text_is_linear():
 
 def test_sets_of_positions_do_not_depend_on_the_number_of_documents():
     assert simhash.posting_sets().shape == (192, 3)
+
+
+def test_links_of_a_posting_are_a_star(spark):
+    chain = [(0, 5 + k * 7 % 10, bytearray(b"\xff" * 5 * k + b"\0" * (64 - 5 * k))) for k in range(10)]  # only neighbours are near
+    posted = spark.createDataFrame(chain, "key long, node long, fp binary")
+    assert sorted(map(tuple, simhash._forests(posted, 40).collect())) == [(5, n) for n in range(6, 15)]
+    assert simhash._forests(posted, 39).count() == 0

@@ -280,7 +280,12 @@ def long_links(nodes: DataFrame, differ: int) -> DataFrame:
 
 
 def _forests(posted: DataFrame, differ: int) -> DataFrame:
-    """Links (a, b) that connect the near ones of each posting (key, node, fp)."""
+    """Links (a, b) that connect the near ones of each posting (key, node, fp), a being the smallest node that b reaches there.
+
+    A group of copies meets in many postings, and a forest grown anew in each would link
+    every copy to other ones each time. Stars round the smallest nodes are nearly the same
+    in all of them, so what is left of them is about a link a copy.
+    """
     large = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_BLOCK)
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(LONG_BLOCK)).cast("int")
     shared = posted.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -294,8 +299,12 @@ def _forests(posted: DataFrame, differ: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()  # a pair of copies meets in many postings
 
         def links() -> pa.RecordBatch:
+            held.sort()
             fps = np.frombuffer(b"".join(f for _, f in held), np.uint8).reshape(len(held), -1)
-            found = {(held[x][0], held[y][0]) for x, y in connecting_links(fps, differ)} - seen
+            forest = _Forest(len(held))  # the smallest place is the root
+            for x, y in connecting_links(fps, differ):
+                forest.join(x, y)
+            found = {(held[root][0], held[x][0]) for x in range(len(held)) if (root := forest.root(x)) != x} - seen
             if len(seen) < 200_000:
                 seen.update(found)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
