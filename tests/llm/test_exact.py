@@ -519,3 +519,41 @@ def test_links_of_a_posting_are_a_star(spark):
     posted = spark.createDataFrame(chain, "key long, node long, fp binary")
     assert sorted(map(tuple, simhash._forests(posted, 40).collect())) == [(5, n) for n in range(6, 15)]
     assert simhash._forests(posted, 39).count() == 0
+
+
+def test_a_group_of_near_copies_brings_few_links(spark, monkeypatch):
+    """It meets in every set of positions: the first sets link it, the others bring only links between what is apart still."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(300)]
+    rows = [(k, " ".join(w if r.random() > 0.01 else r.choice(vocabulary) for w in base)) for k in range(300)]
+    links = []
+    monkeypatch.setattr(simhash, "component_labels", lambda edges: links.append(edges.count()) or component_labels(edges))
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8)
+    assert got.select("component_id").distinct().count() == 1
+    assert sum(links) <= 24 * 300 and links[1] <= 30
+
+
+@pytest.mark.parametrize("block", [1 << 16, 8])
+def test_components_of_long_fingerprints_against_all_pairs(spark, monkeypatch, block):
+    """Every pair that shares a set of positions and is near counts, whichever set it is and whichever members of two components are near."""
+    monkeypatch.setattr(simhash, "LONG_BLOCK", block)
+    r, differ = np.random.default_rng(3), 160
+    fps = list(r.integers(0, 256, (40, 64), np.uint8))
+    for _ in range(400):  # some bytes of an older one are replaced
+        fp = fps[r.integers(len(fps))].copy()
+        at = r.choice(64, r.integers(10, 45), replace=False)
+        fp[at] = r.integers(0, 256, len(at), np.uint8)
+        fps.append(fp)
+    fps = np.unique(np.array(fps), axis=0)
+    codes = simhash.posting_codes(fps, simhash.posting_sets())
+    up = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            near = (fps[a] == fps[b]).sum() >= simhash.SHARED and np.bitwise_count(fps[a] ^ fps[b]).sum() <= differ
+            if near and (codes[a] == codes[b]).any() and up[a] != up[b]:
+                low, high = sorted((up[a], up[b]))
+                up = [low if u == high else u for u in up]
+    nodes = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fps)], "node long, fp binary")
+    found = {x["node"]: x["component"] for x in simhash.long_labels(nodes, differ).collect()}
+    assert [found.get(k, k) for k in range(len(fps))] == up and 40 < len(set(up)) < 300

@@ -191,6 +191,7 @@ SHARED = 8  # of its 64 bytes a pair must share so many: at a similarity of 0.8
 # steps from a byte position to the others of its set of three: any two sets share one position at most. The sets are the same for any number of documents
 TRIPLES = ((1, 3), (5, 12), (9, 25))
 MARGIN = 0.02  # by which the estimate may fall short of the similarity asked for, so that pairs at the limit are seldom lost
+FIRST = 8  # of so many sets of positions one is taken before the others: 24 of 192, spread over all bytes
 LONG_BLOCK = 1 << 16  # most long fingerprints of one posting that meet in one task, taken two blocks at a time
 
 
@@ -236,14 +237,16 @@ def connecting_links(fps: np.ndarray, differ: int) -> Iterator[tuple[int, int]]:
             left = np.delete(left, hit)
 
 
-def long_links(nodes: DataFrame, differ: int) -> DataFrame:
-    """Links (a, b) that connect all nodes (node long, fp bytes; distinct fp) found near each other.
+def long_labels(nodes: DataFrame, differ: int) -> DataFrame:
+    """(node, component) for the nodes (node long, fp bytes; distinct fp) that may be near any other; component is the smallest node reachable.
 
     Postings are kept by sets of byte positions. Which codes meet at all is told by a
     packed exchange, so only postings of two or more are made as rows. In a posting
     shared bytes are tallied, pairs with too few dropped, and the others verified bit by
-    bit; it gives a forest of its links. One of over LONG_BLOCK fingerprints is dealt in
-    blocks of which each two meet.
+    bit. One set in FIRST is taken alone and its links made components; by the others
+    only components are linked, so a group of copies, which meets in every set, brings
+    no links between its own members again, and postings within a component are done
+    with before anything is compared.
     """
     sets = posting_sets()
 
@@ -254,8 +257,8 @@ def long_links(nodes: DataFrame, differ: int) -> DataFrame:
     met = materialise(meeting_positions(nodes.select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("text")), code, anchored=False, unit_bytes=1 << 18))
     rows = nodes.join(met.select(F.col("doc_id").alias("node"), "hits"), "node").select("node", "fp", "hits")
 
-    def postings(low: int, high: int) -> DataFrame:
-        """(key, node) for the sets from low to high."""
+    def postings(named: DataFrame, first: bool) -> DataFrame:
+        """(key, node, fp) of the first sets or of the others."""
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -263,62 +266,67 @@ def long_links(nodes: DataFrame, differ: int) -> DataFrame:
                     part = batch.slice(at, 256)
                     fps = part.column(1).to_pylist()
                     hits = [h.values.to_numpy(zero_copy_only=False) for h in part.column(2)]
-                    hits = [h[(h >= low) & (h < high)] for h in hits]
+                    hits = [h[(h % FIRST == 0) == first] for h in hits]
                     codes = posting_codes(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), sets)
                     owner = np.repeat(np.arange(len(fps)), [len(h) for h in hits])
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[owner, np.concatenate(hits)].view(np.int64)), part.column(0).take(pa.array(owner))], ["key", "node"])
+                    found = pa.array(codes[owner, np.concatenate(hits)].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([found, *(part.column(k).take(pa.array(owner)) for k in range(2))], ["key", "node", "fp"])
 
-        return rows.mapInArrow(post, "key long, node long")
+        return named.mapInArrow(post, "key long, node long, fp binary")
 
-    # the first sets link nearly all that is near; of the others only postings that hold several components can add a link
-    some = 8 * WORDS
-    first = materialise(_forests(postings(0, some).join(nodes, "node"), differ))
-    named = nodes.select("node", "fp").join(component_labels(first), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
-    rest = postings(some, len(sets)).join(named.select("node", "component"), "node")
-    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return first.unionAll(_forests(rest.join(mixed, "key").select("key", "node").join(nodes, "node"), differ)).distinct()
+    known = component_labels(_forests(postings(rows, True), differ))
+    named = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    merged = component_labels(_forests(postings(named.select(F.col("component").alias("node"), "fp", "hits"), False), differ))
+    last = merged.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return named.select("node", "component").join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
 
 
 def _forests(posted: DataFrame, differ: int) -> DataFrame:
     """Links (a, b) that connect the near ones of each posting (key, node, fp), a being the smallest node that b reaches there.
 
-    A group of copies meets in many postings, and a forest grown anew in each would link
-    every copy to other ones each time. Stars round the smallest nodes are nearly the same
-    in all of them, so what is left of them is about a link a copy.
+    Several fingerprints of one node count as linked. A group of copies meets in many
+    postings, and a forest grown anew in each would link every copy to other ones each
+    time. Stars round the smallest nodes are nearly the same in all of them. A posting of
+    over LONG_BLOCK fingerprints is dealt in blocks of which each two meet.
     """
-    large = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_BLOCK)
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(LONG_BLOCK)).cast("int")
-    shared = posted.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = shared.select("node", "fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp"
-    )
-    grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    large = materialise(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_BLOCK))
+    if large.isEmpty():
+        dealt = posted.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "fp")
+    else:
+        blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(LONG_BLOCK)).cast("int")
+        shared = posted.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        dealt = shared.select("node", "fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp"
+        )
+    grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
         seen: set[tuple[int, int]] = set()  # a pair of copies meets in many postings
 
-        def links() -> pa.RecordBatch:
-            held.sort()
-            fps = np.frombuffer(b"".join(f for _, f in held), np.uint8).reshape(len(held), -1)
-            forest = _Forest(len(held))  # the smallest place is the root
-            for x, y in connecting_links(fps, differ):
-                forest.join(x, y)
-            found = {(held[root][0], held[x][0]) for x in range(len(held)) if (root := forest.root(x)) != x} - seen
+        def links() -> Iterator[pa.RecordBatch]:
+            names, place = (x.tolist() for x in np.unique([n for n, _ in held], return_inverse=True))
+            forest = _Forest(len(names))  # the smallest place is the root
+            if len(names) > 1:
+                fps = np.frombuffer(b"".join(f for _, f in held), np.uint8).reshape(len(held), -1)
+                for x, y in connecting_links(fps, differ):
+                    forest.join(place[x], place[y])
+            found = {(names[root], names[x]) for x in range(len(names)) if (root := forest.root(x)) != x} - seen
             if len(seen) < 200_000:
                 seen.update(found)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         at = None
         for batch in batches:
             for key, i, j, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != at:
                     if len(held) > 1:
-                        yield links()
+                        yield from links()
                     at, held = (key, i, j), []
                 held.append((node, fp))
         if len(held) > 1:
-            yield links()
+            yield from links()
 
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
@@ -346,7 +354,7 @@ def simhash_groups(docs: DataFrame, width: int = 5, differ: int = 3, similarity:
     prints = materialise(fingerprints(docs, width, WORDS if long else 1))
     stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(NO_ID - 1))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", F.coalesce("least", stand_in).alias("node")))
-    labels = component_labels(long_links(nodes, math.floor(differing_bits(similarity - MARGIN))) if long else near_links(nodes, differ))
+    labels = long_labels(nodes, math.floor(differing_bits(similarity - MARGIN))) if long else component_labels(near_links(nodes, differ))
     named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     shown = F.lower(F.hex("fp")) if long else F.lower(F.lpad(F.hex("fp"), 16, "0"))
     component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id")
