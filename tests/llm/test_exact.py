@@ -85,6 +85,31 @@ def test_state_is_carried_over_windows():
     assert math.isclose(both[1], total, rel_tol=1e-4)
 
 
+def test_outputs_of_many_steps_are_worked_out_together(monkeypatch):
+    """A document of 2,000 words takes no more calls than its states fill pools, and the size of a pool changes nothing."""
+    v = gru.Vocabulary({bytes([97 + k]): k for k in range(20)} | {gru.END: 20}, np.arange(41, 20, -1), 2_000, 300)
+    w = gru.fresh_weights(v)
+    w["class"] = np.random.default_rng(4).standard_normal(w["class"].shape).astype(np.float32)
+    r, calls, real = np.random.default_rng(5), [], gru.outputs
+    ys = [r.integers(0, v.soft + v.bands, n).astype(np.int32) for n in (1, 40, 2_000)]
+    xs = [np.append(np.int32(gru.START), np.minimum(y, 20)[:-1]) for y in ys]
+    monkeypatch.setattr(gru, "outputs", lambda *given: calls.append(len(given[1])) or real(*given))
+    whole = gru.document_logs(w, xs, ys, v.soft)
+    assert calls == [2_041]
+    monkeypatch.setattr(gru, "POOL", 7)
+    assert np.allclose(gru.document_logs(w, xs, ys, v.soft), whole, rtol=1e-5) and sum(calls) == 2 * 2_041
+
+
+def test_scores_out_of_range_stay_finite():
+    v = gru.Vocabulary({bytes([97 + k]): k for k in range(20)} | {gru.END: 20}, np.arange(41, 20, -1), 2_000, 300)
+    w = gru.fresh_weights(v)
+    w["class"] += np.float32(500)
+    h, y = np.ones((3, gru.HIDDEN), np.float32), np.array([0, 5, v.soft])
+    grad = {k: np.zeros_like(x) for k, x in w.items()}
+    logs, back = gru.outputs(w, h, y, v.soft, grad)
+    assert np.isfinite(logs).all() and np.isfinite(back).all() and all(np.isfinite(g).all() for g in grad.values())
+
+
 def test_class_factored_chances_sum_to_one():
     v = gru.Vocabulary({bytes([97 + k]): k for k in range(20)} | {gru.END: 20}, np.arange(41, 20, -1), 2_000, 300)
     w = gru.fresh_weights(v)

@@ -25,6 +25,7 @@ STEPS = 16  # length of truncated backpropagation
 LANES = 512
 FLUSH = 250_000
 BLOCK = 1_024  # rows of scores worked on at once, so that they stay in the cache
+POOL = 32_768  # states, at least, whose outputs are worked out together, be they of many documents or of many steps
 ROUNDS = (0.125, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
 GATHER = 16  # rows in which the weights of all tasks come to the driver
 
@@ -167,6 +168,7 @@ class Codes(dict):
 
 
 START = SOFT + TAILS
+TINY = np.float32(np.finfo(np.float32).tiny)
 
 
 def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
@@ -180,8 +182,8 @@ def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
     inner = np.where(np.arange(CLASSES * size) < soft, np.log(counts + 0.1), -1e4).reshape(CLASSES, size)
     inner -= inner.max(axis=1, keepdims=True)
     return {
-        "in": (r.standard_normal((START + 1, 3 * HIDDEN)) * 0.3).astype(np.float32),
-        "rec": (r.standard_normal((HIDDEN, 3 * HIDDEN)) / math.sqrt(HIDDEN)).astype(np.float32),
+        "in": _planes(r.standard_normal((START + 1, 3 * HIDDEN)) * 0.3),
+        "rec": _planes(r.standard_normal((HIDDEN, 3 * HIDDEN)) / math.sqrt(HIDDEN)),
         "class": np.zeros((HIDDEN, CLASSES + v.bands), np.float32),
         "class_bias": np.where(filled, np.log(per_class / per_class[filled].sum()), -1e4).astype(np.float32),
         "word": np.zeros((CLASSES, HIDDEN, size), np.float32),
@@ -189,37 +191,49 @@ def fresh_weights(v: Vocabulary, seed: int = 5) -> Weights:
     }
 
 
+def _planes(gates: np.ndarray) -> np.ndarray:
+    """(3, rows, HIDDEN): a plane for each gate, so that what is done to one gate runs over memory in one piece."""
+    return np.ascontiguousarray(gates.reshape(-1, 3, HIDDEN).transpose(1, 0, 2), np.float32)
+
+
 def step(w: Weights, x: np.ndarray, h: np.ndarray, gates: np.ndarray, inner: np.ndarray, fresh: np.ndarray, out: np.ndarray) -> None:
-    """One gated step from state h into out; gates, inner and fresh get what backpropagation needs. The logistic function is a shifted tanh."""
-    a, g = w["in"][x], h @ w["rec"]
-    np.add(a[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=gates)
+    """One gated step from state h into out; gates (two planes), inner and fresh get what backpropagation needs. The logistic function is a shifted tanh."""
+    gates = gates.reshape(2, len(x), HIDDEN)
+    a = np.take(w["in"], x, axis=1)
+    np.matmul(h, w["rec"][:2], out=gates)
+    gates += a[:2]
     gates *= 0.5
     np.tanh(gates, out=gates)
     gates += 1
     gates *= 0.5
-    inner[:] = g[:, 2 * HIDDEN :]
-    np.multiply(gates[:, HIDDEN:], inner, out=fresh)
-    fresh += a[:, 2 * HIDDEN :]
+    np.matmul(h, w["rec"][2], out=inner)
+    np.multiply(gates[1], inner, out=fresh)
+    fresh += a[2]
     np.tanh(fresh, out=fresh)
     np.subtract(h, fresh, out=out)
-    out *= gates[:, :HIDDEN]
+    out *= gates[0]
     out += fresh
 
 
-def _log_softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """(natural log share of each target among the scores h w + bias, gradient of those scores). Scores start as log shares and stay small; the bound keeps them finite."""
+def _log_softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, ones: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(natural log share of each target among the scores h w, gradient of those scores). Scores start as log shares and stay small; where one doesn't, a bound keeps them finite."""
     scores = h @ w
-    scores += bias
-    np.minimum(scores, 60, out=scores)
-    rows = np.arange(len(target))
-    logs = scores[rows, target]
+    at = np.arange(0, scores.size, scores.shape[1])
+    at += target
+    logs = scores.ravel()[at]
     np.exp(scores, out=scores)
-    total = np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), np.finfo(scores.dtype).tiny)
+    total = scores @ ones
+    if not total.max() < np.inf:
+        np.minimum(h @ w, 60, out=scores)
+        logs = scores.ravel()[at]
+        np.exp(scores, out=scores)
+        total = scores @ ones
+    np.maximum(total, TINY, out=total)
     logs -= np.log(total)
     if not learning:
         return logs, None
     scores *= (1 / total)[:, None]
-    scores[rows, target] -= 1
+    scores.ravel()[at] -= 1
     return logs, scores
 
 
@@ -228,27 +242,34 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights |
     size = w["word"].shape[2]
     group = np.where(y < soft, y // size, y + (CLASSES - soft))
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    h, y, group = h[order], y[order], group[order]  # class by class
-    bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+    y, group = y[order], group[order]  # class by class
+    bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     logs, learning = np.empty(len(y)), grad is not None
+    one = np.ones((len(y), HIDDEN + 1), h.dtype)  # biases are the weights of a last unit that is always one
+    one[:, :HIDDEN] = np.take(h, order, axis=0)
+    to_class, to_word = np.vstack([w["class"], w["class_bias"]]), np.concatenate([w["word"], w["word_bias"][:, None]], axis=1)
+    of_class, of_word = np.ones(to_class.shape[1], h.dtype), np.ones(size, h.dtype)
     back = np.empty_like(h) if learning else None
-    for s in range(0, len(y), BLOCK):
-        own = h[s : s + BLOCK]
-        logs[s : s + BLOCK], e = _log_softmax(own, w["class"], w["class_bias"], group[s : s + BLOCK], learning)
-        if learning:
-            grad["class"] += own.T @ e
-            grad["class_bias"] += np.ones(len(e), e.dtype) @ e
-            back[s : s + BLOCK] = e @ w["class"].T
-    for c in range(CLASSES):
-        for s in range(bounds[c], bounds[c + 1], BLOCK):
-            t = min(s + BLOCK, bounds[c + 1])
-            own = h[s:t]
-            found, e = _log_softmax(own, w["word"][c], w["word_bias"][c], y[s:t] - c * size, learning)
-            logs[s:t] += found
+    with np.errstate(over="ignore"):
+        for s in range(0, len(y), BLOCK):
+            own = one[s : s + BLOCK]
+            logs[s : s + BLOCK], e = _log_softmax(own, to_class, group[s : s + BLOCK], of_class, learning)
             if learning:
-                grad["word"][c] += own.T @ e
-                grad["word_bias"][c] += np.ones(t - s, e.dtype) @ e
-                back[s:t] += e @ w["word"][c].T
+                g = own.T @ e
+                grad["class"] += g[:HIDDEN]
+                grad["class_bias"] += g[HIDDEN]
+                np.matmul(e, w["class"].T, out=back[s : s + BLOCK])
+        for c in range(CLASSES):
+            for s in range(bounds[c], bounds[c + 1], BLOCK):
+                t = min(s + BLOCK, bounds[c + 1])
+                own = one[s:t]
+                found, e = _log_softmax(own, to_word[c], y[s:t] - c * size, of_word, learning)
+                logs[s:t] += found
+                if learning:
+                    g = own.T @ e
+                    grad["word"][c] += g[:HIDDEN]
+                    grad["word_bias"][c] += g[HIDDEN]
+                    back[s:t] += e @ w["word"][c].T
     out = np.empty(len(y))
     out[order] = logs
     if back is not None:
@@ -263,7 +284,7 @@ def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, sof
     grad = {k: np.zeros_like(v) for k, v in w.items()}
     kind, shape = w["rec"].dtype, (*x.shape, HIDDEN)
     alive = (x != START).astype(kind)[:, :, None]  # the state before a document's first word is zero
-    gates = np.empty((*x.shape, 2 * HIDDEN), kind)
+    gates = np.empty((len(x), 2, x.shape[1], HIDDEN), kind)
     before, inner, n, states = (np.empty(shape, kind) for _ in range(4))
     for t in range(len(x)):
         np.multiply(h, alive[t], out=before[t])
@@ -271,27 +292,45 @@ def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, sof
         h = states[t]
     logs, back = outputs(w, states.reshape(-1, HIDDEN), y.reshape(-1), soft, grad)
     back = back.reshape(shape)
-    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-    to_n = (1 - z) * (1 - n * n)
-    to_z = (before - n) * z * (1 - z)
-    to_r = inner * r * (1 - r)
-    inputs = np.empty((*x.shape, 3 * HIDDEN), kind)
-    through = np.empty_like(inputs)
-    ahead = np.zeros_like(h)
+    inputs, through = np.empty((3, *shape), kind), np.empty((3, *shape), kind)  # by gate: gradients of what the inputs and of what the state before adds
+    back_rec, part = np.ascontiguousarray(w["rec"].transpose(0, 2, 1)), np.empty((3, x.shape[1], HIDDEN), kind)
+    ahead, own = np.zeros_like(h), np.empty_like(h)
     for t in range(len(x) - 1, -1, -1):
-        d = back[t] + ahead
-        own = inputs[t]
-        np.multiply(d, to_z[t], out=own[:, :HIDDEN])
-        np.multiply(d, to_n[t], out=own[:, 2 * HIDDEN :])
-        np.multiply(own[:, 2 * HIDDEN :], to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
-        through[t] = own
-        through[t][:, 2 * HIDDEN :] *= r[t]
-        ahead = (d * z[t] + through[t] @ w["rec"].T) * alive[t]
-    grad["rec"] += before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
+        z, r = gates[t]
+        d = back[t]
+        d += ahead
+        np.subtract(1, z, out=own)
+        new = inputs[2, t]  # d (1 - z) (1 - n n)
+        np.multiply(n[t], n[t], out=new)
+        np.subtract(1, new, out=new)
+        new *= own
+        new *= d
+        up = inputs[0, t]  # d (h - n) z (1 - z)
+        np.subtract(before[t], n[t], out=up)
+        up *= own
+        up *= z
+        up *= d
+        again = inputs[1, t]  # new inner r (1 - r)
+        np.subtract(1, r, out=again)
+        again *= r
+        again *= inner[t]
+        again *= new
+        np.multiply(new, r, out=through[2, t])
+        through[:2, t] = inputs[:2, t]
+        np.matmul(through[:, t], back_rec, out=part)
+        np.multiply(d, z, out=ahead)
+        for k in range(3):
+            ahead += part[k]
+        ahead *= alive[t]
+    grad["rec"] += before.reshape(-1, HIDDEN).T @ through.reshape(3, -1, HIDDEN)
     ids = x.reshape(-1)
     order = np.argsort(ids.astype(np.int16), kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    grad["in"][ids[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    by_id = np.empty((len(ids), 3, HIDDEN), kind)
+    for k in range(3):
+        by_id[:, k] = np.take(inputs[k].reshape(-1, HIDDEN), order, axis=0)
+    grad["in"][:, ids[first]] = np.add.reduceat(by_id.reshape(len(ids), -1), first, axis=0).reshape(-1, 3, HIDDEN).transpose(1, 0, 2)
     return grad, h, float(logs.sum())
 
 
@@ -303,17 +342,28 @@ class Trainer:
         self.rate, self.count = rate, 0
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.s = {k: np.zeros_like(v) for k, v in w.items()}
+        self.room = {k: np.empty_like(v) for k, v in w.items()}
 
     def update(self, grad: Weights, n: int) -> None:
         self.count += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values())) / n
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
         rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.count) / (1 - 0.9**self.count))
         for k, g in grad.items():
-            g = g * scale
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.s[k] += np.float32(0.01) * (g * g - self.s[k])
-            self.w[k] -= rate * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
+            m, s, room = self.m[k], self.s[k], self.room[k]
+            g *= scale
+            np.subtract(g, m, out=room)
+            room *= np.float32(0.1)
+            m += room
+            np.multiply(g, g, out=room)
+            room -= s
+            room *= np.float32(0.01)
+            s += room
+            np.sqrt(s, out=room)
+            room += np.float32(1e-6)
+            np.divide(m, room, out=room)
+            room *= rate
+            self.w[k] -= room
 
     def learn(self, x: np.ndarray, y: np.ndarray, soft: int) -> None:
         """x and y are the tokens of whole documents behind one another; they are cut in lanes that run side by side, and what is left over runs behind in one."""
@@ -394,20 +444,22 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     begins = np.cumsum(lengths) - lengths
     out = np.zeros(len(xs))
     h = np.zeros((len(xs), HIDDEN), np.float32)
-    gates, more = np.empty((len(xs), 2 * HIDDEN), np.float32), [np.empty((len(xs), HIDDEN), np.float32) for _ in range(2)]
-    for t in range(0, int(lengths[0]), 2 * STEPS):
-        states, places, owners = [], [], []
-        for s in range(t, min(t + 2 * STEPS, int(lengths[0]))):
-            now = int(np.searchsorted(-lengths, -s, side="left"))  # documents longer than s
-            at = begins[:now] + s
-            new = np.empty((now, HIDDEN), np.float32)
-            step(w, x[at], h[:now], gates[:now], *(m[:now] for m in more), new)
-            h = new
-            states.append(h)
-            places.append(at)
-            owners.append(np.arange(now))
-        logs, _ = outputs(w, np.concatenate(states), y[np.concatenate(places)], soft)
-        out += np.bincount(np.concatenate(owners), weights=logs, minlength=len(xs))
+    room = np.empty((4, len(xs) * HIDDEN), np.float32)
+    states, places, owners, pooled = [], [], [], 0
+    for s in range(int(lengths[0])):
+        now = int(np.searchsorted(-lengths, -s, side="left"))  # documents longer than s
+        at = begins[:now] + s
+        new = np.empty((now, HIDDEN), np.float32)
+        step(w, x[at], h[:now], room[:2].reshape(-1)[: 2 * now * HIDDEN], room[2, : now * HIDDEN].reshape(now, HIDDEN), room[3, : now * HIDDEN].reshape(now, HIDDEN), new)
+        h = new
+        states.append(h)
+        places.append(at)
+        owners.append(np.arange(now))
+        pooled += now
+        if pooled >= POOL or s + 1 == lengths[0]:
+            logs, _ = outputs(w, np.concatenate(states), y[np.concatenate(places)], soft)
+            out += np.bincount(np.concatenate(owners), weights=logs, minlength=len(xs))
+            states, places, owners, pooled = [], [], [], 0
     back = np.empty(len(xs))
     back[order] = out
     return back
