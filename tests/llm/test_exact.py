@@ -199,6 +199,32 @@ def test_codec_on_odd_strings():
         assert own.decode(ids) == model.decode(ids)
 
 
+def test_words_are_remembered_apart_from_marks():
+    """A word is remembered once, whatever marks and line ends stand round it; texts are encoded as by the library all the same."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path)
+    marks = [",", ".", "!", ").", ";", "...", "$$$"]
+    text = " ".join(f"{word}{mark}" for word in ("alpha", "bétagamma", "Ünter", "привет") for mark in marks)
+    ids = model.encode(text)
+    assert own.coded(text) == (",".join(map(str, ids)).encode(), model.decode(ids).encode())
+    assert len(own.words) == 4 + len(marks)
+
+
+def test_codec_on_runs_of_all_kinds(monkeypatch):
+    """Runs of tied characters, side by side, longer than what is remembered, and with the memory started anew again and again."""
+    monkeypatch.setattr(piece_codec, "WORD_BYTES", 20_000)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path)
+    tied = sorted({c for pair in own.pairs for c in pair} - {piece_codec.SPACE})
+    rnd = random.Random(8)
+    plain = sorted(p for p in own.plain if piece_codec.SPACE not in p)
+    kinds = [lambda: rnd.choice(tied), lambda: rnd.choice(plain), lambda: rnd.choice("\n\t09梦😀ı\u0301\x00"), lambda: " " + rnd.choice(plain), lambda: rnd.choice(plain) * rnd.randint(1, 30)]
+    for _ in range(3000):
+        text = "".join(rnd.choice(kinds)() for _ in range(rnd.randint(1, 25))).strip(" ")
+        ids = model.encode(text)
+        assert own.coded(text) == (",".join(map(str, ids)).encode(), model.decode(ids).encode()), text
+
+
 def test_suffix_array():
     r = np.random.default_rng(1)
     for n in [*range(1, 300, 7), 1000, 1001, 1002]:

@@ -19,17 +19,19 @@ SPACE = "▁"  # stands for a space inside pieces
 OWNER = "piece_codec"
 # bytes, roughly, that a worker process remembers: pairs of pieces, parts of words, and each of two generations of words
 PAIR_BYTES, PART_BYTES, WORD_BYTES = 32_000_000, 40_000_000, 48_000_000
+SHORT = 64  # characters up to which a part is remembered, and a word of known characters is one part
 
 
 class PieceCodec:
     """Encodes as the library does for a merge-type model with the identity normaliser.
 
-    A text is cut where no piece spans the cut: before a run of spaces, round a
-    character that no piece longer than one has, and between two characters that never
-    stand side by side in a piece. Each part is encoded alone and remembered. In a
-    part, the longest match at a position is tried first, then its shorter prefixes; a
-    token is taken if re-merging its text behind the token before gives back both; a
-    position that leads nowhere is marked in a bit field and never tried again.
+    A text is cut where no piece spans the cut: before a run of spaces, between
+    characters that no chain of pieces ties together and, where that leaves long parts
+    or characters that are no pieces, between two characters that never stand side by
+    side in a piece. Each part is encoded alone and remembered. In a part, the longest match at a position is tried first, then its shorter prefixes;
+    a token is taken if re-merging its text behind the token before gives back both
+    (which of a match and its prefixes is the first to do so is remembered by the two
+    ids); a position that leads nowhere is marked in a bit field and never tried again.
     """
 
     def __init__(self, path: str):
@@ -47,15 +49,21 @@ class PieceCodec:
         if any(SPACE in p[1:] for p in long):
             raise ValueError("pieces with a space inside are not supported")
         self.pairs = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
+        self.cut = re.compile(_run_pattern(self.pairs)).findall
         self.runs = {len(p) for p in self.plain if not p.strip(SPACE)}
-        self.compatible = Memo(OWNER, PAIR_BYTES)
+        self.fits = Memo(OWNER, PAIR_BYTES)
         self.sound = {p for p in self.plain if (p.strip(SPACE) or p == SPACE) and self.remerge(p) == [p]}  # merging makes these
         self.trie = ahocorasick.Automaton()
         for p in self.sound:
             if len(p) > 1:  # each character of a part is a piece anyway
-                self.trie.add_word(p, len(p))
+                self.trie.add_word(p, self.plain[p])
         self.trie.make_automaton()
-        self.shorter: dict[str, str] = {}
+        self.sizes = [len(p) for p in self.pieces]
+        self.shorter = [-1] * len(self.pieces)  # the next shorter piece that this one starts with
+        for p in self.sound:
+            self.shorter[self.plain[p]] = next((self.plain[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.sound), -1)
+        self.names = [str(i).encode() for i in range(len(self.pieces))]
+        self.said = [p.replace(SPACE, " ").encode() for p in self.pieces]
         self.parts = Memo(OWNER, PART_BYTES)
         self.words = _Words(self)
 
@@ -72,53 +80,65 @@ class PieceCodec:
                 return got
             got[at : at + 2] = [got[at] + got[at + 1]]
 
-    def _joins(self, left: str, right: str) -> bool:
-        return self.compatible.put((left, right), self.remerge(left + right) == [left, right], 160)
-
-    def _prefix(self, token: str) -> str:
-        """The next shorter piece that this one starts with, or nothing."""
-        found = self.shorter.get(token)
-        if found is None:
-            found = self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if token[:k] in self.sound), "")
-        return found
-
-    def backtrack(self, text: str) -> list[str]:
-        """Tokens of a part all of whose characters are pieces. One pass of the automaton gives the longest match at each position."""
-        n = len(text)
-        longest = [1] * n
-        for end, size in self.trie.iter(text):
-            longest[end - size + 1] = size  # matches come by their ends, so the last one from a position is its longest
+    def _fit(self, left: int, token: int) -> int:
+        """The first of token and its shorter prefixes that re-merging keeps behind left, or -1."""
+        key, before = left * len(self.pieces) + token, self.pieces[left]
+        while token >= 0 and self.remerge(before + self.pieces[token]) != [before, self.pieces[token]]:
+            token = self.shorter[token]
+        return self.fits.put(key, token, 160)
+
+    def backtrack(self, text: str) -> list[int]:
+        """Ids of a part; KeyError if a character is no piece. One pass of the automaton gives the longest match at each position."""
+        n, sizes = len(text), self.sizes
+        longest = list(map(self.plain.__getitem__, text))
+        for end, token in self.trie.iter(text):
+            longest[end - sizes[token] + 1] = token  # matches come by their ends, so the last one from a position is its longest
+        longest.append(-1)
         failed = bytearray(n + 1)
-        known, got = self.compatible.get, [""]  # the empty one stands before the first token
-        at, token = 0, text[: longest[0]]
+        known, wide = self.fits.get, len(self.pieces)
+        got: list[int] = []
+        at, token = 0, longest[0]
         while at < n:
-            while token:
-                end = at + len(token)
-                if not failed[end]:
-                    fits = not at or known((got[-1], token))
-                    if fits or (fits is None and self._joins(got[-1], token)):
-                        got.append(token)
-                        at = end
-                        token = text[at : at + longest[at]] if at < n else ""
+            while token >= 0:
+                if at:
+                    found = known(got[-1] * wide + token)
+                    if found is None:
+                        found = self._fit(got[-1], token)
+                    if found < 0:
+                        token = -1
                         break
-                token = self._prefix(token)
+                    token = found
+                end = at + sizes[token]
+                if not failed[end]:
+                    got.append(token)
+                    at = end
+                    token = longest[at]
+                    break
+                token = self.shorter[token]
             else:
+                token = -1
+            if token < 0 and at < n:
                 failed[at] = 1
                 if not at:
                     raise ValueError("no encoding")
                 last = got.pop()
-                at -= len(last)
-                token = self._prefix(last)  # the taken one leads nowhere
-        return got[1:]
+                at -= sizes[last]
+                token = self.shorter[last]  # the taken one leads nowhere
+        return got
 
     def _part(self, text: str) -> tuple[int, ...]:
         """Ids of a part; a character that is no piece becomes its UTF-8 bytes."""
         if len(text) == 1 and text not in self.plain:
             return tuple(self.bytes[b] for b in text.encode())
-        return tuple(self.plain[t] for t in self.backtrack(text))
+        return tuple(self.backtrack(text))
 
     def word(self, text: str) -> tuple[int, ...]:
         """Ids of a text without spaces but for one leading mark."""
+        if len(text) <= SHORT:
+            try:
+                return self._known(text)
+            except KeyError:  # a character that is no piece
+                pass
         cuts = [k for k, held in enumerate(map(self.pairs.__contains__, map(operator.add, text, text[1:])), 1) if not held]
         if not cuts:
             return self._known(text)
@@ -133,7 +153,7 @@ class PieceCodec:
         ids = self.parts.get(part)
         if ids is None:
             ids = self._part(part)
-            if len(part) <= 64:
+            if len(part) <= SHORT:
                 self.parts.put(part, ids, 220 + 2 * len(part) + 8 * len(ids))
         return ids
 
@@ -190,35 +210,63 @@ class PieceCodec:
             out.append(_utf8(bytes(held)))
         return "".join(out)
 
+    def run(self, text: str) -> tuple[bytes, bytes]:
+        """(ids joined by commas, what they decode to) of a run, the space before it included if there is one."""
+        marked = text.replace(" ", SPACE)
+        if len(text) <= SHORT:
+            try:
+                ids = self.backtrack(marked)
+            except KeyError:  # a character that is no piece
+                pass
+            else:  # plain pieces only
+                return b",".join(map(self.names.__getitem__, ids)), b"".join(map(self.said.__getitem__, ids))
+        ids = self.word(marked)
+        return b",".join(map(self.names.__getitem__, ids)), (" " * (text[0] == " ") + self.decode(ids)).encode()
+
     def coded(self, text: str) -> tuple[bytes, bytes]:
-        """(ids joined by commas, the decoded text in UTF-8): by remembered words where single spaces part them."""
+        """(ids joined by commas, the decoded text in UTF-8): by remembered runs where single spaces part the words."""
         if not self.prefixed or not text or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
             ids = self.encode(text)
             return ",".join(map(str, ids)).encode(), self.decode(ids).encode()
-        got = list(map(self.words.__getitem__, text.split(" ")))
+        got = list(map(self.words.__getitem__, self.cut(" " + text)))
         return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]
 
 
+def _run_pattern(pairs: set[str]) -> str:
+    """Runs of characters that pieces tie together, directly or over others, with the space before; any other character is a run of its own. No piece spans two runs."""
+    tied: dict[str, set[str]] = {}
+    for a, b in pairs:
+        if SPACE not in (a, b):
+            one, other = tied.setdefault(a, {a}), tied.setdefault(b, {b})
+            if one is not other:
+                one |= other
+                for c in other:
+                    tied[c] = one
+    groups = sorted({id(g): "".join(sorted(g)) for g in tied.values()}.values(), key=lambda g: (-len(g), g))
+    sets = [re.sub(r"([\\\]\[^-])", r"\\\1", g) for g in groups]
+    return "(?s: ?(?:" + "".join(f"[{g}]+|" for g in sets) + "." + "))"
+
+
 class _Words(Memo):
-    """Word behind one space -> (ids joined by commas, what the ids decode to), both as bytes."""
+    """Run, the space before it included -> (ids joined by commas, what the ids decode to), both as bytes."""
 
     def __init__(self, codec: PieceCodec):
         super().__init__(OWNER, WORD_BYTES)
         self.codec = codec
-        self.old: dict[str, tuple[bytes, bytes]] = {}  # the generation before, so that frequent words survive
+        self.old: dict[str, tuple[bytes, bytes]] = {}  # the generation before, so that frequent ones survive
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
         made = self.old.get(word)
         if made is None:
-            ids = self.codec.word(SPACE + word)
-            made = (",".join(map(str, ids)).encode(), (" " + self.codec.decode(ids)).encode())
+            made = self.codec.run(word)
         if len(word) <= 48:
             size = 320 + 3 * len(word) + len(made[0])
             if self.size + size > self.most:
                 held = dict(self)
                 self.empty()
                 self.old = held
-            self.put(word, made, size)
+            self.size += size
+            self[word] = made
         return made
 
     def empty(self) -> None:
