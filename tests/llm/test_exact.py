@@ -453,6 +453,14 @@ def test_op10_keeps_clean_documents(spark):
     assert clean.kept.mean() > 0.95 and junk.kept.mean() < 0.3
 
 
+def test_op10_counts_every_label(spark):
+    """More labelled rows than any bound on what goes to tasks: the shares of the kinds are those of all."""
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('word', id % 7) AS text").unionAll(spark.sql("SELECT CAST(NULL AS LONG), 'nameless'"))
+    labels = spark.range(21_000).selectExpr("id AS doc_id", "CAST(id % 10 > 0 AS INT) AS quality", "CAST(id % 100 = 1 AS INT) AS toxic")
+    prior = np.array([21_000 - 2_100 - 210 + 2, 2_100 + 0.5, 210 + 0.5])
+    assert np.allclose(np.exp(resampling.fit(docs, labels).prior), prior / prior.sum(), rtol=1e-12)
+
+
 def test_op10_against_a_plain_version(spark, texts):
     """Log ratios of the mixture by dictionaries, and the k largest after Gumbel noise."""
     labels = {r.doc_id: (r.quality, r.toxic) for r in pd.read_parquet(f"{SF}/labels.parquet").itertuples()}

@@ -43,16 +43,16 @@ def _features(tokens: list[bytes]) -> np.ndarray:
     return np.concatenate([one & np.uint64(HALF - 1), two + np.uint64(HALF)]).astype(np.int64)
 
 
-def _labelled(labels: DataFrame, bound: int) -> dict[int, tuple[int, int]]:
-    """doc_id -> (good, toxic) for at most bound labelled rows, those of the smallest id hash."""
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, good and toxic (0 or 1) of every row of docs; null where it has no label. Rows with a null id have none and stay out of the join."""
     have = {c.lower() for c in labels.columns}
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in have else F.lit(0)
-    one = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality", toxic.alias("toxic"))
-    n = one.count()
-    if n > bound:  # thinned by the same hash first, so that no task sends the driver more than its share
-        one = one.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < F.lit(int(1_300_000 * bound / n) + 100))
-    rows = one.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound).collect()
-    return {r["doc_id"]: (int(r["q"] > 0), int(r["t"] > 0)) for r in rows}
+    slim = id_and_text(docs)
+    one = labels.select(F.col("doc_id").try_cast(slim.schema["doc_id"].dataType).alias("_label_id"), "quality", toxic.alias("toxic")).where("_label_id is not null and quality is not null")
+    known = one.groupBy("_label_id").agg((F.min("quality") > 0).cast("int").alias("good"), (F.max("toxic") > 0).cast("int").alias("toxic"))
+    # a merge join at any size, so that what a small run writes tells what a large one will
+    named = slim.where("doc_id is not null").join(known.hint("merge"), F.col("doc_id") == F.col("_label_id"), "left").select("text", "good", "toxic")
+    return named.unionAll(slim.where("doc_id is null").select("text", F.lit(None).cast("int").alias("good"), F.lit(None).cast("int").alias("toxic")))
 
 
 TARGET, JUNK, TOXIC = range(3)
@@ -96,32 +96,33 @@ class Model:
         return -float(np.logaddexp.reduce(self.prior + [0.0, junk, toxic])), junk, toxic
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
-    """Raw counts over all documents; counts of the kinds over at most bound labelled rows.
-
-    The labelled ids are the one thing sent to every task, and bound limits them.
-    """
-    known = _labelled(labels, bound)
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Raw counts over all documents; counts of the kinds over all labelled ones, which a join tells: nothing that grows is sent to tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, documents = np.zeros((3, 2 * HALF), np.int64), np.zeros((2, HALF), np.int64), np.zeros(3, np.int64)
-        waiting: list[np.ndarray] = []
+        waiting: list[list[np.ndarray]] = [[], [], []]  # of all, target and junk
         Memo.enter("resampling")
-        for batch in sliced(batches):
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+
+        def add() -> None:
+            for row, own in zip(total, waiting, strict=True):
+                if own:
+                    row += np.bincount(np.concatenate(own), minlength=2 * HALF)
+                    own.clear()
+
+        for batch in sliced(batches, 0):
+            for text, good, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = features(text)
-                waiting.append(found)
-                if i in known:
-                    kind = _kind(*known[i])
+                waiting[0].append(found)
+                if good is not None:
+                    kind = _kind(good, toxic)
                     documents[kind] += 1
                     if kind != TOXIC:
-                        np.add.at(total[1 + kind], found, 1)
+                        waiting[1 + kind].append(found)
                     held[int(kind == TOXIC), np.unique(found[: (len(found) + 1) // 2])] += 1
-                if len(found) > 1 << 16 or len(waiting) >= 512:
-                    total[0] += np.bincount(np.concatenate(waiting), minlength=2 * HALF)
-                    waiting = []
-        if waiting:
-            total[0] += np.bincount(np.concatenate(waiting), minlength=2 * HALF)
+                if len(found) > 1 << 16 or len(waiting[0]) >= 512:
+                    add()
+        add()
         at = np.flatnonzero(total[0])
         both = np.concatenate([held, np.zeros_like(held)], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in (*total, *both))], names)
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(-1 - kinds), pa.array(documents), *(pa.array(0 * kinds) for _ in range(4))], names)
 
     names = ["bucket", "raw", "target", "junk", "other", "toxic"]
-    sums = id_and_text(docs).mapInArrow(count, ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    sums = _labelled(docs, labels).mapInArrow(count, ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names[1:]])
     counts, held, documents = np.zeros((3, 2 * HALF), np.int64), np.zeros((2, HALF), np.int64), np.zeros(3)
     for r in sums.collect():  # one row for each bucket at most
         if r["bucket"] < 0:
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
     return Model(counts, held, documents)
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000, seed: int = 17, temperature: float = 0.05) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05) -> DataFrame:
     """doc_id, log_ratio, n_features, junk_ratio, toxic_ratio and kept for every row of docs.
 
     log_ratio is the log importance weight of the text: the ratio of the hashed n-gram
@@ -155,10 +156,11 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
 
     Null text counts as empty and has no features: its ratio is that of the prior.
     Repeated rows get equal scores and are drawn alike, ties by order. Rows with a null id
-    are scored like any other. Without labels every row is kept. Columns other than
+    are scored like any other. All labelled rows count; of several labels of one id the
+    smallest quality and the largest toxic do. Without labels every row is kept. Columns other than
     doc_id and text are not read. An empty table gives an empty result.
     """
-    model = fit(docs, labels, bound)
+    model = fit(docs, labels)
     slim = id_and_text(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, bound: int = 20_000,
     return ranked.select("doc_id", "log_ratio", "n_features", "junk_ratio", "toxic_ratio", (F.col("rank") < F.lit(k)).alias("kept"))
 
 
-def keep_resampled(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
+def keep_resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that importance_resample keeps, all columns as they were."""
-    kept = importance_resample(docs, labels, bound).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = importance_resample(docs, labels).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
