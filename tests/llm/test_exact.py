@@ -264,6 +264,16 @@ def test_large_classes_are_grouped_by_spark(spark, texts, monkeypatch):
     test_op4_against_all_windows(spark, texts)
 
 
+def test_op4_sends_the_bytes_of_a_stretch_once(spark):
+    """A task that meets a stretch again sends where it stands, without its bytes."""
+    text = "".join(random.Random(4).choices("abcdefgh ", k=900))
+    starts = suffix_arrays.stretches_of(text.encode(), 256)[1].tolist()
+    found = spark.createDataFrame([(k, 0, text, starts) for k in range(40)], "doc_id long, key long, text string, hits array<int>").coalesce(1)
+    got = suffix_arrays._extents(found, 400, 256).toPandas()
+    assert len(got) == 40 * len(starts)
+    assert got.body.notna().sum() == len({(c, bytes(d)) for c, d in zip(got["class"], got.digest, strict=True)}) < len(got)
+
+
 def test_op6_against_all_windows(spark, texts):
     words = {i: t.encode().split() for i, t in texts.items()}
     got, want = rows(spark, "op6_anchored_repeats"), repeats(words, 35)

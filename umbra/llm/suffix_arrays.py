@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.anchors import keyed_documents, real_id
-from umbra.llm.common import materialise, sliced
+from umbra.llm.common import discard, materialise, release, sliced
 from umbra.llm.exchange import meeting_positions, rolled_at, rolling
 
 GRAM = 48  # bytes hashed to pick anchors
@@ -20,6 +20,7 @@ PROBE = 256  # bytes of the shorter strings that n_repeated counts
 SORTED_BYTES = 600_000  # text sorted at once
 LARGE_CLASS = 3_000_000  # bytes of one class beyond which its windows are spread over tasks by their hashes
 BODY_BATCH = 4_000_000  # bytes of stretches sent on at once
+SENT = 200_000  # stretches whose body a task remembers to have sent
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 29) for b in range(256)], np.uint64)
 _OTHER_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 31) for b in range(256)], np.uint64)
 
@@ -158,12 +159,13 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def _extents(found: DataFrame, window: int, probe: int) -> DataFrame:
-    """A row for each stretch that was hit: its class, its number of starts, the bytes of their windows, and where it starts."""
+    """A row for each stretch that was hit: its class, its number of starts, the bytes of their windows, and where it starts. The bytes come once for each different stretch of a task, or now and then again."""
     names = ["doc_id", "key", "start", "class", "digest", "starts", "size", "body"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        sent: set[bytes] = set()
         size = 0
         for batch in batches:
             for k in range(batch.num_rows):
@@ -172,8 +174,16 @@ def _extents(found: DataFrame, window: int, probe: int) -> DataFrame:
                 use = np.isin(start, batch.column(3)[k].values.to_numpy(zero_copy_only=False))
                 for c, s, e in zip(codes[use].view(np.int64).tolist(), start[use].tolist(), stop[use].tolist(), strict=True):
                     body = text[s : e + window]
-                    rows.append((i, key, s, c, xxhash.xxh3_128_digest(body, e - s), e - s + 1, len(body), body))
-                    size += len(body)
+                    digest = xxhash.xxh3_128_digest(body, e - s)
+                    name = digest + c.to_bytes(8, signed=True)
+                    if again := name in sent:
+                        rows.append((i, key, s, c, digest, e - s + 1, len(body), None))
+                    else:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(name)
+                        rows.append((i, key, s, c, digest, e - s + 1, len(body), body))
+                    size += 64 if again else len(body)
                     if size > BODY_BATCH:
                         yield _batch(rows, names, kinds)
                         rows, size = [], 0
@@ -229,10 +239,12 @@ def _distinct_repeats(extents: DataFrame, window: int, probe: int) -> DataFrame:
     runs = lambda last: F.when(last >= 0, F.array(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     places = extents.groupBy("class", "digest").agg(F.first("starts").alias("starts"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
     whole = places.where("n > 1").select("class", "digest", runs(F.least(F.col("starts") - 1, F.col("size") - window)).alias("long_runs"), runs(F.col("starts") - 1).alias("short_runs"))
-    sizes = places.groupBy("class").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("size").cast("long")).alias("total"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    bodies = extents.groupBy("class", "digest").agg(F.first("starts").alias("starts"), F.first("body").alias("body"))
-    # dealt by class before the join: whatever join is chosen, a class stays in one task
-    shared = bodies.repartition("class").join(sizes.select("class", "total"), "class").select("class", "digest", "starts", "body", "total")
+    mixed = places.groupBy("class").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("size").cast("long")).alias("total"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    sizes = materialise(mixed.select("class", "total"))
+    release(extents.sparkSession)
+    # dealt by class before the join: whatever join is chosen, a class stays in one task. Tasks have sent a body once, so few come twice
+    dealt = extents.where("body is not null").select("class", "digest", "starts", "body").repartition("class")
+    shared = lambda some: dealt.join(sizes.where(some).select("class"), "class").select("class", "digest", "starts", "body")
     names, kinds = ["class", "digest", "long_runs", "short_runs"], [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +255,24 @@ def _distinct_repeats(extents: DataFrame, window: int, probe: int) -> DataFrame:
             return _batch([(c, d, x, y) for (c, d, _, _), x, y in zip(rows, *found, strict=True) if len(y)], names, kinds)
 
         held_bytes = 0
+        own: set[bytes] = set()  # digests of the class
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # a class stays whole; several small ones are sorted together
-                if held and held_bytes > SORTED_BYTES and row[0] != held[-1][0]:
-                    yield done(held)
-                    held, held_bytes = [], 0
+                if held and row[0] != held[-1][0]:
+                    own.clear()
+                    if held_bytes > SORTED_BYTES:
+                        yield done(held)
+                        held, held_bytes = [], 0
+                if row[1] in own:
+                    continue
+                own.add(row[1])
                 held.append(row)
                 held_bytes += len(row[3]) + 1
         if held:
             yield done(held)
 
-    small = shared.where(F.col("total") <= LARGE_CLASS).select("class", "digest", "starts", "body")
-    sorted_ = small.sortWithinPartitions("class", "digest").mapInArrow(run, "class long, digest binary, long_runs array<int>, short_runs array<int>")
+    sorted_ = shared(F.col("total") <= LARGE_CLASS).sortWithinPartitions("class").mapInArrow(run, "class long, digest binary, long_runs array<int>, short_runs array<int>")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,11 +287,14 @@ def _distinct_repeats(extents: DataFrame, window: int, probe: int) -> DataFrame:
                             [pa.array([width] * len(at), pa.int32()), *map(pa.array, cols), pa.array([c] * len(at), pa.int64()), pa.array([digest] * len(at), pa.binary()), pa.array(at, pa.int32())], ["width", "a", "b", "class", "digest", "at"]
                         )
 
-    large = shared.where(F.col("total") > LARGE_CLASS).select("class", "digest", "starts", "body").repartition("digest").mapInArrow(hashes, "width int, a long, b long, class long, digest binary, at int")
+    found = whole.unionAll(sorted_)
+    if sizes.where(F.col("total") > LARGE_CLASS).isEmpty():
+        return found
+    large = shared(F.col("total") > LARGE_CLASS).dropDuplicates(["class", "digest"]).repartition("digest").mapInArrow(hashes, "width int, a long, b long, class long, digest binary, at int")
     again = large.groupBy("width", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("width", "a", "b")
     at = lambda width: F.flatten(F.collect_list(F.when(F.col("width") == width, F.array("at", "at"))))
     counted = large.join(again, ["width", "a", "b"]).groupBy("class", "digest").agg(at(window).alias("long_runs"), at(probe).alias("short_runs"))
-    return whole.unionAll(sorted_).unionAll(counted)  # a body may come twice; runs that overlap do no harm
+    return found.unionAll(counted)  # a body may come twice; runs that overlap do no harm
 
 
 def _covered(runs: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -310,17 +330,24 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, probe: int = PROBE
     rows = keyed.select("doc_id", "key", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole_sha256"))
     groups = rows.groupBy("whole_sha256").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key")).alias("stays"))
     base = materialise(rows.join(groups, "whole_sha256"))
-    hits = materialise(meeting_positions(keyed, stretch_coder(probe), anchored=False))
+    written = materialise(meeting_positions(keyed, stretch_coder(probe), anchored=False))
+    release(docs.sparkSession)
     # one document of each group of copies stands for all
     lone = base.where(F.struct("doc_id", "key") == F.col("stays")).select("doc_id", "key").dropDuplicates()
-    hits = hits.join(lone, ["doc_id", "key"])
+    hits = written.join(lone, ["doc_id", "key"])
     found = keyed.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "hits").dropDuplicates(["doc_id", "key"])
     extents = materialise(_extents(found, window, probe))
+    discard(written)
+    release(docs.sparkSession)
     runs = materialise(_distinct_repeats(extents, window, probe))
+    release(docs.sparkSession)
     single = base.where("copies = 1").select("doc_id", "key")  # in a group of copies all goes anyway
     placed = extents.select("doc_id", "key", "start", "class", "digest").join(runs, ["class", "digest"]).join(single, ["doc_id", "key"], "left_semi")
     moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda s: s + F.col("start")))).alias(c)
-    starts = placed.groupBy("doc_id", "key").agg(moved("long_runs"), moved("short_runs"))
+    starts = materialise(placed.groupBy("doc_id", "key").agg(moved("long_runs"), moved("short_runs")))
+    discard(extents)
+    discard(runs)
+    release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
