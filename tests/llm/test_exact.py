@@ -100,6 +100,50 @@ def test_outputs_of_many_steps_are_worked_out_together(monkeypatch):
     assert np.allclose(gru.document_logs(w, xs, ys, v.soft), whole, rtol=1e-5) and sum(calls) == 2 * 2_041
 
 
+def test_numbers_of_pairs_say_all_that_the_network_needs():
+    """Training and scoring read two bytes a token, written once, instead of looking the words of all texts up again."""
+    counts = np.arange(5_000, 0, -1)
+    v = gru.Vocabulary({b"%d" % k: k for k in range(4_999)} | {gru.END: 4_999}, counts, int(counts.sum()) + 9, 5_009)
+    pairs, numbers, x, y = gru.Pairs.of(v), gru.Pairs.numbers(v), v.inputs(), v.targets()
+    coded = [*range(5_000), *range(gru.HEAD, gru.HEAD + gru.TAILS)]
+    assert (pairs.x[numbers[coded]] == x[coded]).all() and (pairs.y[numbers[coded]] == y[coded]).all()
+    docs = [v.codes().of([*words, gru.END]) for words in ([], [b"7", b"4321", b"unknown"], [b"9"])]
+    got_x, got_y, lengths = pairs.read([numbers[d].tobytes() for d in docs])
+    assert lengths.tolist() == [1, 4, 2]
+    assert got_x.tolist() == [k for d in docs for k in [gru.START, *x[d[:-1]].tolist()]] and got_y.tolist() == [k for d in docs for k in y[d].tolist()]
+
+
+def test_what_lanes_leave_over_is_learned_with_the_next(monkeypatch):
+    """Every token is learned, and only the last ones of a task in a single lane."""
+    v = gru.Vocabulary({b"a": 0, b"b": 1, gru.END: 2}, np.array([5, 4, 3]), 12, 3)
+    seen = []
+    monkeypatch.setattr(gru, "window_gradient", lambda w, x, y, h, *rest: seen.append(x.copy()) or ({k: np.zeros_like(u) for k, u in w.items()}, h, 0.0))
+    own, x = gru.Trainer(gru.fresh_weights(v), 0.02), np.zeros(0, np.int32)
+    given = [np.full(gru.CHUNK + 300 + k, k, np.int32) for k in range(3)]
+    for part in given:
+        x, _ = own.learn(np.concatenate([x, part]), np.zeros(len(x) + len(part), np.int32), v.soft, last=False)
+    assert 0 < len(x) < gru.LANES and {s.shape[1] for s in seen} == {gru.LANES}
+    own.learn(x, np.zeros_like(x), v.soft)
+    every = np.concatenate([s.ravel() for s in seen])
+    assert np.bincount(every).tolist() == [len(part) for part in given]
+
+
+def test_work_arrays_are_filled_again():
+    """Windows of any shape work in the same arrays, and those change no result."""
+    r = np.random.default_rng(6)
+    v = gru.Vocabulary({bytes([97 + k]): k for k in range(20)} | {gru.END: 20}, np.arange(41, 20, -1), 2_000, 300)
+    w, room, held = gru.fresh_weights(v), gru.Room(), None
+    w["class"] = r.standard_normal(w["class"].shape).astype(np.float32)
+    for shape in ((16, 40), (3, 7), (16, 1), (16, 40)):
+        x, y = r.integers(0, 21, shape).astype(np.int32), r.integers(0, v.soft + v.bands, shape).astype(np.int32)
+        h = r.standard_normal((shape[1], gru.HIDDEN)).astype(np.float32)
+        grad, state, logs = gru.window_gradient(w, x, y, h, v.soft, room)
+        fresh = gru.window_gradient(w, x, y, h, v.soft)
+        assert all(np.array_equal(grad[k], fresh[0][k]) for k in w) and np.array_equal(state, fresh[1]) and logs == fresh[2]
+        held = held or {k: id(a) for k, a in room.items() if k != "scores"}  # the widest block of scores depends on the classes met
+        assert held == {k: id(a) for k, a in room.items() if k != "scores"}
+
+
 def test_scores_out_of_range_stay_finite():
     v = gru.Vocabulary({bytes([97 + k]): k for k in range(20)} | {gru.END: 20}, np.arange(41, 20, -1), 2_000, 300)
     w = gru.fresh_weights(v)

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.llm.common import Memo, materialise, settle, sliced
 
@@ -25,15 +27,22 @@ STEPS = 16  # length of truncated backpropagation
 LANES = 512
 FLUSH = 250_000
 BLOCK = 1_024  # rows of scores worked on at once, so that they stay in the cache
+PIECE = 16_384  # weights that are changed at once, so that they stay in the cache
 POOL = 32_768  # states, at least, whose outputs are worked out together, be they of many documents or of many steps
+CHUNK = LANES * STEPS * 40  # tokens, at least, that are cut in lanes together
 ROUNDS = (0.125, 1.0)  # shares of the training documents, by id hash, up to which each averaging round goes
 GATHER = 16  # rows in which the weights of all tasks come to the driver
 
 Weights = dict[str, np.ndarray]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The UTF-8 of a text column, without a detour by str."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -56,7 +65,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
         Memo.enter("gru")
         for batch in sliced(batches, 0):
-            for text in batch.column(0).to_pylist():
+            for text in bytes_of(batch.column(0)):
                 counts.update(words_of(text))
                 counts[END] += 1
                 if len(counts) > FLUSH:
@@ -153,6 +162,35 @@ class Vocabulary:
         return out
 
 
+@dataclass
+class Pairs:
+    """Numbers of two bytes for what the network takes in and is to tell of a word: a soft word has its own, others one for each input and band. Texts are looked up once and go through all rounds as these."""
+
+    x: np.ndarray  # number -> input
+    y: np.ndarray  # number -> target
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> Pairs:
+        x = np.concatenate([np.arange(SOFT), SOFT + np.repeat(np.arange(TAILS), v.bands)])
+        y = np.concatenate([np.minimum(np.arange(SOFT), max(v.soft - 1, 0)), v.soft + np.tile(np.arange(v.bands), TAILS)])
+        return cls(x.astype(np.int16), y.astype(np.int16))
+
+    @staticmethod
+    def numbers(v: Vocabulary) -> np.ndarray:
+        """Number of each code."""
+        x, y = v.inputs(), v.targets()
+        return np.where(y < v.soft, y, SOFT + (x - SOFT) * v.bands + (y - v.soft)).astype(np.uint16)
+
+    def read(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, targets, number of tokens of each document) of documents behind one another, each with its end."""
+        own = np.frombuffer(b"".join(raw), np.uint16)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        x = np.empty(len(own), np.int16)
+        x[1:] = self.x[own[:-1]]
+        x[np.cumsum(lengths) - lengths] = START
+        return x, self.y[own], lengths
+
+
 def _tail(word: bytes) -> int:
     return (word[-1] * 7 + (word[-2] if len(word) > 1 else 0)) % TAILS
 
@@ -167,6 +205,16 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+class Room(dict):
+    """Arrays that are filled again and again: the pages of a fresh large array cost more than the sums that go into it."""
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, held = math.prod(shape), self.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+
 START = SOFT + TAILS
 TINY = np.float32(np.finfo(np.float32).tiny)
 
@@ -215,9 +263,10 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray, gates: np.ndarray, inner: np.
     out += fresh
 
 
-def _log_softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, ones: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def _log_softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, ones: np.ndarray, learning: bool, room: Room) -> tuple[np.ndarray, np.ndarray | None]:
     """(natural log share of each target among the scores h w, gradient of those scores). Scores start as log shares and stay small; where one doesn't, a bound keeps them finite."""
-    scores = h @ w
+    scores = room("scores", (len(h), w.shape[1]), h.dtype)
+    np.matmul(h, w, out=scores)
     at = np.arange(0, scores.size, scores.shape[1])
     at += target
     logs = scores.ravel()[at]
@@ -237,23 +286,25 @@ def _log_softmax(h: np.ndarray, w: np.ndarray, target: np.ndarray, ones: np.ndar
     return logs, scores
 
 
-def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(natural log probability of each target, gradient for h). A target from soft on stands for a band."""
+    room = Room() if room is None else room
     size = w["word"].shape[2]
     group = np.where(y < soft, y // size, y + (CLASSES - soft))
     order = np.argsort(group.astype(np.uint8), kind="stable")
     y, group = y[order], group[order]  # class by class
     bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     logs, learning = np.empty(len(y)), grad is not None
-    one = np.ones((len(y), HIDDEN + 1), h.dtype)  # biases are the weights of a last unit that is always one
-    one[:, :HIDDEN] = np.take(h, order, axis=0)
+    one = room("one", (len(y), HIDDEN + 1), h.dtype)  # biases are the weights of a last unit that is always one
+    one[:, HIDDEN] = 1
+    one[:, :HIDDEN] = np.take(h, order, axis=0, out=room("ordered", h.shape, h.dtype), mode="clip")
     to_class, to_word = np.vstack([w["class"], w["class_bias"]]), np.concatenate([w["word"], w["word_bias"][:, None]], axis=1)
     of_class, of_word = np.ones(to_class.shape[1], h.dtype), np.ones(size, h.dtype)
-    back = np.empty_like(h) if learning else None
+    back = room("back", h.shape, h.dtype) if learning else None
     with np.errstate(over="ignore"):
         for s in range(0, len(y), BLOCK):
             own = one[s : s + BLOCK]
-            logs[s : s + BLOCK], e = _log_softmax(own, to_class, group[s : s + BLOCK], of_class, learning)
+            logs[s : s + BLOCK], e = _log_softmax(own, to_class, group[s : s + BLOCK], of_class, learning, room)
             if learning:
                 g = own.T @ e
                 grad["class"] += g[:HIDDEN]
@@ -263,7 +314,7 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights |
             for s in range(bounds[c], bounds[c + 1], BLOCK):
                 t = min(s + BLOCK, bounds[c + 1])
                 own = one[s:t]
-                found, e = _log_softmax(own, to_word[c], y[s:t] - c * size, of_word, learning)
+                found, e = _log_softmax(own, to_word[c], y[s:t] - c * size, of_word, learning, room)
                 logs[s:t] += found
                 if learning:
                     g = own.T @ e
@@ -273,65 +324,66 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, soft: int, grad: Weights |
     out = np.empty(len(y))
     out[order] = logs
     if back is not None:
-        unsorted = np.empty_like(back)
+        unsorted = room("unsorted", h.shape, h.dtype)
         unsorted[order] = back
         back = unsorted
     return out, back
 
 
-def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, soft: int) -> tuple[Weights, np.ndarray, float]:
-    """Truncated backpropagation over x, y of shape (steps, lanes) from state h: (gradient, last state, sum of logs)."""
-    grad = {k: np.zeros_like(v) for k, v in w.items()}
-    kind, shape = w["rec"].dtype, (*x.shape, HIDDEN)
+def window_gradient(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, soft: int, room: Room | None = None) -> tuple[Weights, np.ndarray, float]:
+    """Truncated backpropagation over x, y of shape (steps, lanes) from state h: (gradient, last state, sum of logs). The gradient is in room's arrays."""
+    room, kind, shape, plane = Room() if room is None else room, w["rec"].dtype, (*x.shape, HIDDEN), (x.size, HIDDEN)
+    grad = {k: room("grad " + k, v.shape, kind) for k, v in w.items()}
+    for g in grad.values():
+        g.fill(0)
     alive = (x != START).astype(kind)[:, :, None]  # the state before a document's first word is zero
-    gates = np.empty((len(x), 2, x.shape[1], HIDDEN), kind)
-    before, inner, n, states = (np.empty(shape, kind) for _ in range(4))
+    gates = room("gates", (len(x), 2, *shape[1:]), kind)
+    before, inner, n, states = (room(name, shape, kind) for name in ("before", "inner", "n", "states"))
     for t in range(len(x)):
         np.multiply(h, alive[t], out=before[t])
         step(w, x[t], before[t], gates[t], inner[t], n[t], states[t])
         h = states[t]
-    logs, back = outputs(w, states.reshape(-1, HIDDEN), y.reshape(-1), soft, grad)
+    logs, back = outputs(w, states.reshape(plane), y.reshape(-1), soft, grad, room)
     back = back.reshape(shape)
-    inputs, through = np.empty((3, *shape), kind), np.empty((3, *shape), kind)  # by gate: gradients of what the inputs and of what the state before adds
-    back_rec, part = np.ascontiguousarray(w["rec"].transpose(0, 2, 1)), np.empty((3, x.shape[1], HIDDEN), kind)
+    through, news = room("through", (3, *shape), kind), room("news", shape, kind)  # gradients of what the state before adds, by gate, and of what the inputs add to the last, which is the one that differs
+    back_rec, part = np.ascontiguousarray(w["rec"].transpose(0, 2, 1)), room("part", (3, *shape[1:]), kind)
     ahead, own = np.zeros_like(h), np.empty_like(h)
     for t in range(len(x) - 1, -1, -1):
         z, r = gates[t]
         d = back[t]
         d += ahead
         np.subtract(1, z, out=own)
-        new = inputs[2, t]  # d (1 - z) (1 - n n)
+        new = news[t]  # d (1 - z) (1 - n n)
         np.multiply(n[t], n[t], out=new)
         np.subtract(1, new, out=new)
         new *= own
         new *= d
-        up = inputs[0, t]  # d (h - n) z (1 - z)
+        up = through[0, t]  # d (h - n) z (1 - z)
         np.subtract(before[t], n[t], out=up)
         up *= own
         up *= z
         up *= d
-        again = inputs[1, t]  # new inner r (1 - r)
+        again = through[1, t]  # new inner r (1 - r)
         np.subtract(1, r, out=again)
         again *= r
         again *= inner[t]
         again *= new
         np.multiply(new, r, out=through[2, t])
-        through[:2, t] = inputs[:2, t]
         np.matmul(through[:, t], back_rec, out=part)
         np.multiply(d, z, out=ahead)
         for k in range(3):
             ahead += part[k]
         ahead *= alive[t]
-    grad["rec"] += before.reshape(-1, HIDDEN).T @ through.reshape(3, -1, HIDDEN)
+    grad["rec"] += before.reshape(plane).T @ through.reshape(3, *plane)
     ids = x.reshape(-1)
     order = np.argsort(ids.astype(np.int16), kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    by_id = np.empty((len(ids), 3, HIDDEN), kind)
-    for k in range(3):
-        by_id[:, k] = np.take(inputs[k].reshape(-1, HIDDEN), order, axis=0)
-    grad["in"][:, ids[first]] = np.add.reduceat(by_id.reshape(len(ids), -1), first, axis=0).reshape(-1, 3, HIDDEN).transpose(1, 0, 2)
-    return grad, h, float(logs.sum())
+    twos = np.result_type(kind, np.complex64)  # sums of complex numbers are those of two columns at once
+    for k, of_inputs in enumerate((through[0], through[1], news)):
+        by_id = np.take(of_inputs.reshape(plane), order, axis=0, out=room("by id", plane, kind), mode="clip")
+        grad["in"][k, ids[first]] = np.add.reduceat(by_id.view(twos), first, axis=0).view(kind)
+    return grad, h.copy(), float(logs.sum())
 
 
 class Trainer:
@@ -342,7 +394,7 @@ class Trainer:
         self.rate, self.count = rate, 0
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.s = {k: np.zeros_like(v) for k, v in w.items()}
-        self.room = {k: np.empty_like(v) for k, v in w.items()}
+        self.spare, self.room = np.empty(PIECE, np.float32), Room()
 
     def update(self, grad: Weights, n: int) -> None:
         self.count += 1
@@ -350,32 +402,37 @@ class Trainer:
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
         rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.count) / (1 - 0.9**self.count))
         for k, g in grad.items():
-            m, s, room = self.m[k], self.s[k], self.room[k]
-            g *= scale
-            np.subtract(g, m, out=room)
-            room *= np.float32(0.1)
-            m += room
-            np.multiply(g, g, out=room)
-            room -= s
-            room *= np.float32(0.01)
-            s += room
-            np.sqrt(s, out=room)
-            room += np.float32(1e-6)
-            np.divide(m, room, out=room)
-            room *= rate
-            self.w[k] -= room
-
-    def learn(self, x: np.ndarray, y: np.ndarray, soft: int) -> None:
-        """x and y are the tokens of whole documents behind one another; they are cut in lanes that run side by side, and what is left over runs behind in one."""
-        while len(x):
+            for at in range(0, g.size, PIECE):
+                self._step(*(v.reshape(-1)[at : at + PIECE] for v in (self.w[k], g, self.m[k], self.s[k])), self.spare[: min(PIECE, g.size - at)], scale, rate)
+
+    @staticmethod
+    def _step(w: np.ndarray, g: np.ndarray, m: np.ndarray, s: np.ndarray, room: np.ndarray, scale: np.float32, rate: np.float32) -> None:
+        g *= scale
+        np.subtract(g, m, out=room)
+        room *= np.float32(0.1)
+        m += room
+        np.multiply(g, g, out=room)
+        room -= s
+        room *= np.float32(0.01)
+        s += room
+        np.sqrt(s, out=room)
+        room += np.float32(1e-6)
+        np.divide(m, room, out=room)
+        room *= rate
+        w -= room
+
+    def learn(self, x: np.ndarray, y: np.ndarray, soft: int, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """x and y are the tokens of whole documents behind one another; they are cut in lanes that run side by side. What is left over runs behind in one if these are the last, and is given back otherwise, to be learned with the next."""
+        while len(x) and (last or len(x) >= CHUNK):
             lanes = max(1, min(LANES, len(x) // (STEPS * 40)))
             length = len(x) // lanes
             a, b = (v[: lanes * length].reshape(lanes, length).T for v in (x, y))
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, length, STEPS):
-                grad, h, _ = window_gradient(self.w, np.ascontiguousarray(a[t : t + STEPS]), np.ascontiguousarray(b[t : t + STEPS]), h, soft)
+                grad, h, _ = window_gradient(self.w, np.ascontiguousarray(a[t : t + STEPS]), np.ascontiguousarray(b[t : t + STEPS]), h, soft, self.room)
                 self.update(grad, lanes * len(a[t : t + STEPS]))
             x, y = x[lanes * length :], y[lanes * length :]
+        return x, y
 
 
 def _pack(w: Weights) -> bytes:
@@ -390,30 +447,25 @@ def _unpack(raw: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def train_round(train: DataFrame, w: Weights, v: Vocabulary, rate: float) -> Weights:
-    """Every task learns from all of its documents; weights are averaged by tokens, in two steps."""
-    chunk = LANES * STEPS * 40
+def train_round(train: DataFrame, w: Weights, pairs: Pairs, soft: int, rate: float) -> Weights:
+    """Every task learns from all of its documents, given as numbers of pairs; weights are averaged by tokens, in two steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes, inputs, targets = Trainer(w, rate), v.codes(), v.inputs(), v.targets()
-        end = targets[v.head.get(END, HEAD)]
+        own = Trainer(w, rate)
         Memo.enter("gru")
-        xs: list[np.ndarray] = []
-        ys: list[np.ndarray] = []
+        xs, ys = [np.zeros(0, np.int16)], [np.zeros(0, np.int16)]
         held = total = 0
-        for batch in sliced(batches, 0):
-            for text in batch.column(0).to_pylist():
-                ids = codes.of(words_of(text))
-                xs.append(np.append(np.int32(START), inputs[ids]))
-                ys.append(np.append(targets[ids], end))
-                held += len(ids) + 1
-                if held >= chunk:
-                    own.learn(np.concatenate(xs), np.concatenate(ys), v.soft)
-                    xs, ys, total, held = [], [], total + held, 0
-        if held:
-            own.learn(np.concatenate(xs), np.concatenate(ys), v.soft)
-        if total + held:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total + held]), pa.array([_pack(own.w)], pa.binary())], ["part", "tokens", "weights"])
+        for batch in sliced(batches, 0, CHUNK):
+            x, y, _ = pairs.read(batch.column(0).to_pylist())
+            xs.append(x)
+            ys.append(y)
+            held, total = held + len(x), total + len(x)
+            if held >= CHUNK:
+                x, y = own.learn(np.concatenate(xs), np.concatenate(ys), soft, last=False)
+                xs, ys, held = [x], [y], len(x)
+        own.learn(np.concatenate(xs), np.concatenate(ys), soft)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([_pack(own.w)], pa.binary())], ["part", "tokens", "weights"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, tokens = None, 0
@@ -425,7 +477,7 @@ def train_round(train: DataFrame, w: Weights, v: Vocabulary, rate: float) -> Wei
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["tokens", "weights"])
 
-    each = train.select("text").mapInArrow(run, "part long, tokens long, weights binary")
+    each = train.select("ids").mapInArrow(run, "part long, tokens long, weights binary")
     dealt = each.repartition(GATHER, "part").sortWithinPartitions("part").mapInArrow(add, "tokens long, weights binary")
     rows = dealt.collect()  # GATHER rows at most at the usual width
     if not rows:
@@ -444,10 +496,12 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     begins = np.cumsum(lengths) - lengths
     out = np.zeros(len(xs))
     h = np.zeros((len(xs), HIDDEN), np.float32)
-    room = np.empty((4, len(xs) * HIDDEN), np.float32)
+    room, used = np.empty((4, len(xs) * HIDDEN), np.float32), Room()
     states, places, owners, pooled = [], [], [], 0
+    now = len(xs)
     for s in range(int(lengths[0])):
-        now = int(np.searchsorted(-lengths, -s, side="left"))  # documents longer than s
+        while lengths[now - 1] <= s:  # now is the number of documents longer than s
+            now -= 1
         at = begins[:now] + s
         new = np.empty((now, HIDDEN), np.float32)
         step(w, x[at], h[:now], room[:2].reshape(-1)[: 2 * now * HIDDEN], room[2, : now * HIDDEN].reshape(now, HIDDEN), room[3, : now * HIDDEN].reshape(now, HIDDEN), new)
@@ -457,7 +511,7 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
         owners.append(np.arange(now))
         pooled += now
         if pooled >= POOL or s + 1 == lengths[0]:
-            logs, _ = outputs(w, np.concatenate(states), y[np.concatenate(places)], soft)
+            logs, _ = outputs(w, np.concatenate(states), y[np.concatenate(places)], soft, None, used)
             out += np.bincount(np.concatenate(owners), weights=logs, minlength=len(xs))
             states, places, owners, pooled = [], [], [], 0
     back = np.empty(len(xs))
@@ -465,6 +519,48 @@ def document_logs(w: Weights, xs: list[np.ndarray], ys: list[np.ndarray], soft:
     return back
 
 
+def look_up(own: DataFrame, v: Vocabulary) -> DataFrame:
+    """For each row the numbers of its words and its end as bytes (ids), what its words in the head bring to the scores, and its other words with how often it has each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        codes, numbers, targets = v.codes(), Pairs.numbers(v), v.targets()
+        base, tail = np.zeros(len(targets)), np.zeros(len(targets))  # by code: log10 of the smoothed count, and of the share in the band for words that the network doesn't tell apart
+        base[: len(v.counts)] = np.log10(v.counts + 0.1)
+        tail[v.soft : len(v.counts)] = (base - v.band_logs()[np.maximum(targets - v.soft, 0)])[v.soft : len(v.counts)]
+        Memo.enter("gru")
+        for batch in sliced(batches, 2, 1_000_000):
+            words: list[bytes] = []
+            ends = []
+            for text in bytes_of(batch.column(2)):
+                words += words_of(text)
+                words.append(END)
+                ends.append(len(words))
+            ids = codes.of(words)
+            begins = np.array([0, *ends[:-1]])
+            others = np.flatnonzero(ids >= len(v.counts))
+            stops = np.searchsorted(others, ends)
+            found = [words[k] for k in others.tolist()]
+            rare = [Counter(found[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            n = np.diff(ends, prepend=0)
+            arrays = [
+                pa.array(np.arange(first, first + len(n))), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(n - np.diff(stops, prepend=0), pa.int64()),
+                pa.array(np.add.reduceat(base[ids], begins)), pa.array(np.add.reduceat(tail[ids], begins)), _cut(numbers[ids].tobytes(), 2 * np.array([0, *ends])),
+                pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
+            ]
+            first += len(n)
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "tail_head", "ids", "rest", "times"]
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, tail_head double, ids binary, rest array<binary>, times array<long>")
+
+
+def _cut(whole: bytes, bounds: np.ndarray) -> pa.Array:
+    """A binary column of the pieces between bounds."""
+    return pa.array([whole[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+
+
 def score_documents(docs: DataFrame, unit_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
@@ -477,77 +573,62 @@ def score_documents(docs: DataFrame, unit_bytes: int = 6_000_000) -> DataFrame:
     the network, and bands of rarer ones, in which each word has its smoothed share of
     the counts. The HEAD most frequent words go to every task with their counts; of the
     others each row sends each word once with how often it has it, and the counts come by
-    a join. State is carried through the whole document.
+    a join. Words are looked up once: training and scoring read the numbers written then,
+    two bytes a token, and documents with unit_bytes of them are scored together. State is
+    carried through the whole document.
 
     Null text has only an end. Repeated rows count each. A null doc_id is not held out.
     Without training tokens score and base_score are zero. Columns other than doc_id
     and text are not read. An empty table gives an empty result.
     """
     own = prepared(docs)
-    train = own.where(~F.col("held_out"))
-    counts = materialise(count_words(train))
+    counts = materialise(count_words(own.where(~F.col("held_out"))))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = frequent(counts)
     v = Vocabulary({word: k for k, (word, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), total["n"], total["v"])
-    w = None
+    looked_up = materialise(look_up(own, v))
+    pairs, soft, w = Pairs.of(v), v.soft, None
     if v.tokens:
         w = fresh_weights(v)
         done = 0.0
         for k, upto in enumerate(ROUNDS):
             share = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1000)) / F.lit(1000.0)
-            w = train_round(train.where((share >= done) & (share < upto)), w, v, rate=0.02 / (k + 1))
+            w = train_round(looked_up.where(~F.col("held_out") & (share >= done) & (share < upto)), w, pairs, soft, rate=0.02 / (k + 1))
             done = upto
     rest_log = float(v.band_logs()[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId() << 33, 0
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        codes, inputs, targets, end = v.codes(), v.inputs(), v.targets(), v.head.get(END, HEAD)
-        shares = np.concatenate([v.band_logs()[targets[v.soft : len(v.counts)] - v.soft], np.zeros(0)])  # of head words that the network doesn't tell apart
         Memo.enter("gru")
 
-        def out(rows: list[tuple], first: int) -> pa.RecordBatch:
-            xs, ys, cols, rest, times = [], [], [], [], []
-            for _, _, text in rows:
-                words = words_of(text)
-                ids = codes.of(words)
-                every = np.append(ids, np.int32(end))
-                low = every[every < HEAD]
-                logs = np.log10(v.counts[low] + 0.1)
-                banded = low >= v.soft
-                cols.append((len(every), len(low), float(logs.sum()), float((logs[banded] - shares[low[banded] - v.soft]).sum())))
-                rare = Counter([words[k] for k in np.flatnonzero(ids >= HEAD).tolist()] + [END] * (end >= HEAD))
-                rest.append(list(rare))
-                times.append(list(rare.values()))
-                if w is not None:
-                    xs.append(np.append(np.int32(START), inputs[ids]))
-                    ys.append(targets[every])
-            neural = document_logs(w, xs, ys, v.soft) / math.log(10) if w is not None else np.zeros(len(rows))
-            n, low, base, tail = zip(*cols, strict=True)
-            arrays = [
-                pa.array(np.arange(first, first + len(rows)) + part), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.bool_()), pa.array(n, pa.int64()), pa.array(low, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(tail, pa.float64()), pa.array(neural, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        for batch in sliced(batches, 2):
-            id_type = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= unit_bytes:
-                    yield out(held, made)
-                    made, held, size = made + len(held), [], 0
+        def out() -> Iterator[pa.RecordBatch]:
+            if w is None:
+                neural = np.zeros(sum(b.num_rows for b in held))
+            else:
+                x, y, lengths = pairs.read([raw for b in held for raw in b.column(0).to_pylist()])
+                ends = np.cumsum(lengths)[:-1]
+                neural = document_logs(w, np.split(x, ends), np.split(y, ends), soft) / math.log(10)
+                del x, y
+            at = 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(neural[at : at + b.num_rows], pa.float64())], [*b.schema.names[1:], "neural"])
+                at += b.num_rows
+
+        for batch in sliced(batches, 0):
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+            if size >= unit_bytes:
+                yield from out()
+                held, size = [], 0
         if held:
-            yield out(held, made)
+            yield from out()
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "tail_head", "neural", "rest", "times"]
-    kind = own.schema["doc_id"].dataType.simpleString()
-    scored = materialise(own.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, tail_head double, neural double, rest array<binary>, times array<long>"))
-    rare = scored.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("times")))).join(counts, "word", "left")
+    kept = looked_up.drop("ids", "rest", "times")
+    scored = materialise(looked_up.select("ids", *kept.columns).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("neural", T.DoubleType())])))
+    rare = looked_up.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("times")))).join(counts, "word", "left")
     tail = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail_rest"), F.sum("times").alias("n_rest"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("known_rest"))
-    both = scored.drop("rest", "times").join(tail, "row", "left").na.fill(0, ["known_rest", "n_rest"]).na.fill(0.0, ["tail_rest"])
+    both = scored.join(tail, "row", "left").na.fill(0, ["known_rest", "n_rest"]).na.fill(0.0, ["tail_rest"])
     nothing = F.lit(w is None)
     return both.select(
         "doc_id",
