@@ -4,15 +4,18 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import types as T
 
 from umbra.llm import gru, hilbert, latent, pii, piece_codec, resampling, simhash, suffix_arrays
 from umbra.llm.common import component_labels, with_global_rank
@@ -481,6 +484,71 @@ def test_op8_finds_hot_and_common_items(spark):
     assert {d for d, item in got if item == 1} == {d for d, item in want if item == 1}
 
 
+class Batches:
+    """Documents of which search takes Arrow batches in this process."""
+
+    def __init__(self, rows):
+        self.schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        self.batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+
+    def mapInArrow(self, run, schema):
+        return [r for b in run(iter([self.batch])) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_op8_search_against_all_windows(spark, least):
+    """No pair is lost by the words that a window must hold: every window and item verified, whatever the cosine."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(3000)]
+    sizes = [3, 4, 7, 8, 9, 15, 16, 17, 31, 33, 40, 64, 70, 130]
+    items = [(k, latent.tokens(" ".join(rnd.choice(vocabulary) for _ in range(n)))) for k, n in enumerate(sizes)]
+    items.append((len(items), [b"w1", b"w1", b"w1", b"w2", b"w1", b"w1"]))
+    rows = [(0, ""), (1, "w1"), (2, "w1 w1 w1"), (3, "unknown " * 50)]
+    for k in range(4, 120):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(200))]
+        for _ in range(k % 3):
+            own = [w.decode() if rnd.random() < 0.75 else "other" for w in rnd.choice(items)[1]]
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = own
+        rows.append((k, " ".join(words)))
+    index = latent.fit(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in latent.search(Batches(rows), index, cosine=-2.0, least=least)}
+    want = {}
+    for doc, text in rows:
+        words = latent.tokens(text)
+        for k, item in items:
+            width = latent.window_of(len(item))
+            stride = width // 2
+            for start in range(0, max(1, len(words) - stride), stride):
+                share, said = latent._verified(words[max(0, start - stride) : start + width + stride], item, least)
+                if share >= least and said >= 0.5:
+                    want[doc, k] = max(share, want.get((doc, k), 0.0))
+    assert len(want) > 50
+    assert all(got.get(pair, 0.0) >= share for pair, share in want.items())
+    texts = dict(rows)
+    assert all(latent.lcs(items[k][1], latent.tokens(texts[doc])) >= least * len(items[k][1]) for doc, k in got)
+
+
+def test_op8_search_costs_little_beside_the_look_up(spark):
+    """CPU time of the search over that of parting and looking up the words, which it does too: 3.8 at sf0.01, and 6.7 to 8.0 when windows were differences of running sums and each was compared with all words of the items."""
+    bench = pd.read_parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    index = latent.fit(docs, [(i, latent.tokens(t)) for i, t in zip(bench.item_id, bench.text, strict=True)])
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+    def spent(work):
+        taken = []
+        for _ in range(4):
+            at = time.process_time()
+            work()
+            taken.append(time.process_time() - at)
+        return min(taken)
+
+    looked_up = spent(lambda: [latent.numbers(index.words, latent.tokens(t)) for _, t in rows])
+    ratio = spent(lambda: latent.search(Batches(rows), index)) / looked_up
+    assert ratio < 5, ratio
+
+
 def test_lcs():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
